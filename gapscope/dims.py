@@ -97,6 +97,22 @@ DEFAULT_NATIVE_LOCALES = ["chinese", "arabic", "greek", "hindi", "korean"]
 
 UNKNOWN_COUNTRY = "Unknown"
 
+# Country -> home locale label for the heat-map views (18 entries); the label
+# is the upper-cased prompt language code of the locale.
+HOME_LOCALE_LABEL = {
+    "China": "ZH", "UAE": "AR", "Qatar": "AR", "Greece": "EL", "India": "HI",
+    "Southeast Asian": "ID", "South Korea": "KO", "Italy": "IT", "France": "FR",
+    "Japan": "JA", "Bangladesh": "BN", "Netherlands": "NL", "Israel": "HE",
+    "Nepal": "NE", "Iran": "FA", "Poland": "PL", "Russia": "RU", "Ukraine": "UK",
+}
+
+# Heat-map panels of the metric matrix: metric -> (vmin, vmax, center).
+METRIC_PANELS = {
+    "abstain_rate": (0.0, 0.15, None),
+    "cond_acc": (0.20, 0.80, 0.50),
+    "conf_err_rate": (0.20, 0.80, 0.50),
+}
+
 
 def canonical_subsets() -> list[str]:
     """english_ca, then (ca, cs, cs_en) for each gap locale: 58 names."""
@@ -128,6 +144,19 @@ def dim_prompt_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, q_label string, a_label string")
 
 
+def dim_home_locale(spark: SparkSession) -> DataFrame:
+    """(country, home_locale) with the label resolved to the locale name."""
+    by_label = {LOCALE_INFO[loc][0].upper(): loc for loc in GAP_LOCALES}
+    rows = [(c, by_label[lab]) for c, lab in HOME_LOCALE_LABEL.items()]
+    return spark.createDataFrame(rows, "country string, home_locale string")
+
+
+def dim_panel(spark: SparkSession) -> DataFrame:
+    rows = [(m, i, lo, hi, c) for i, (m, (lo, hi, c)) in enumerate(METRIC_PANELS.items())]
+    return spark.createDataFrame(
+        rows, "metric string, panel_ord int, vmin double, vmax double, center double")
+
+
 def dim_country_native(spark: SparkSession) -> DataFrame:
     """(country, native_locales array) — one row per mapped country."""
     rows = [(c, ls) for c, ls in COUNTRY_NATIVE_LOCALES.items()]
