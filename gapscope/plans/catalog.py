@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gapscope.plans import gapviews, merges, scores  # noqa: F401
+from gapscope.plans import gapviews, logits, merges, scores  # noqa: F401
 from gapscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

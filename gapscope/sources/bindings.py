@@ -86,3 +86,47 @@ SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS model,
        {_case_sql('n_nationkey % 9', BIND_COUNTRIES)} AS country
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
+
+
+# ---------------------------------------------------------------------------
+# logits: one response per embeddings row, the 64 floats are the logits
+# ---------------------------------------------------------------------------
+
+BIND_LOGIT_SUBSETS = ["chinese_ca", "chinese_cs", "chinese_cs_en"]
+
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, subset, pos, gold, logits array<float>) from embeddings."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return e.select(
+        F.concat(F.lit("E"), F.col("label").cast("string")).alias("model"),
+        F.element_at(literal_array(BIND_LOGIT_SUBSETS), (F.col("vec_id") % 3 + 1).cast("int")).alias("subset"),
+        F.col("vec_id").alias("pos"),
+        F.substring(F.lit("ABCD"), (F.col("vec_id") % 4 + 1).cast("int"), 1).alias("gold"),
+        F.col("embedding").alias("logits"))
+
+
+LOGITS_SQL = """
+SELECT 'E' || CAST(label AS VARCHAR) AS model,
+       CASE vec_id % 3 WHEN 0 THEN 'chinese_ca' WHEN 1 THEN 'chinese_cs' ELSE 'chinese_cs_en' END AS subset,
+       vec_id AS pos, substr('ABCD', CAST(vec_id % 4 + 1 AS INTEGER), 1) AS gold, embedding AS logits
+FROM embeddings
+"""
+
+
+def letter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, prefix, letter, token_ids): encodings of prefix+letter per model.
+
+    Vocabulary rule of the binding: ids 0-3 are " A".." D", ids 4-7 are
+    "A".."D"; "\\n"+letter encodes to two tokens (newline id 8, then the letter),
+    so that prefix never works.
+    """
+    models = logits(spark, sf_dir).select("model").distinct()
+    enc = F.array(
+        *[F.struct(F.lit(" ").alias("prefix"), F.lit(L).alias("letter"), F.array(F.lit(i)).alias("token_ids"))
+          for i, L in enumerate("ABCD")],
+        *[F.struct(F.lit("").alias("prefix"), F.lit(L).alias("letter"), F.array(F.lit(4 + i)).alias("token_ids"))
+          for i, L in enumerate("ABCD")],
+        *[F.struct(F.lit("\n").alias("prefix"), F.lit(L).alias("letter"),
+                   F.array(F.lit(8), F.lit(4 + i)).alias("token_ids")) for i, L in enumerate("ABCD")])
+    return models.select("model", F.inline(enc))
