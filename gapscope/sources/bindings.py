@@ -130,3 +130,51 @@ def letter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.struct(F.lit("\n").alias("prefix"), F.lit(L).alias("letter"),
                    F.array(F.lit(8), F.lit(4 + i)).alias("token_ids")) for i, L in enumerate("ABCD")])
     return models.select("model", F.inline(enc))
+
+
+# ---------------------------------------------------------------------------
+# items (documents + labels), label replies (events)
+# ---------------------------------------------------------------------------
+
+def items(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """(pos, config, split, strat, question, claude_cs [, extra document columns]).
+
+    config = lang, strat = source, position = doc_id, question = text,
+    claude_cs = labels.quality (null for unlabelled documents).
+    """
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", *extra)
+    lab = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return docs.join(lab, "doc_id", "left").select(
+        F.col("doc_id").alias("pos"), F.col("lang").alias("config"), F.lit("test").alias("split"),
+        F.col("source").alias("strat"), F.col("text").alias("question"),
+        F.col("quality").alias("claude_cs"), *extra)
+
+
+ITEMS_SQL = """
+SELECT d.doc_id AS pos, d.lang AS config, 'test' AS split, d.source AS strat, d.text AS question,
+       l.quality AS claude_cs
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+"""
+
+
+def label_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, config, expected, reply): JSON label replies, some fenced, some junk."""
+    ev = table(spark, sf_dir, "events", "event_id", "event_type", "props")
+    n = (F.get_json_object("props", "$.k").cast("int") % 2)
+    body = F.concat(F.lit('{"culturally_dependent": '), n.cast("string"), F.lit("}"))
+    reply = (F.when(F.col("event_id") % 17 == 0, F.lit("oops"))
+             .when(F.col("event_id") % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+             .otherwise(body))
+    return ev.select(F.col("event_id").alias("pos"), F.col("event_type").alias("config"),
+                     n.alias("expected"), reply.alias("reply"))
+
+
+LABEL_REPLIES_SQL = """
+SELECT event_id AS pos, event_type AS config, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 AS expected,
+       CASE WHEN event_id % 17 = 0 THEN 'oops'
+            WHEN event_id % 5 = 0 THEN '```json' || chr(10) || '{"culturally_dependent": '
+                 || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 AS VARCHAR) || '}' || chr(10) || '```'
+            ELSE '{"culturally_dependent": ' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 AS VARCHAR)
+                 || '}' END AS reply
+FROM events
+"""
