@@ -173,3 +173,91 @@ def split_subset_name(subset: str) -> tuple[str, str]:
 
 def literal_array(values: list) -> F.Column:
     return F.array(*[F.lit(v) for v in values])
+
+
+# ---------------------------------------------------------------------------
+# Prompt styles (fixed values): lang -> labels per scoring style
+# ---------------------------------------------------------------------------
+
+# Log-likelihood, five options: (question label, answer label, "I don't know" option)
+LOGLIK5_LABELS = {
+    "zh": ("问题：", "答案：", "我不知道"),
+    "el": ("Ερώτηση: ", "Απάντηση:", "Δεν ξέρω"),
+    "ar": ("السؤال: ", "الجواب:", "لا أعرف"),
+    "hi": ("प्रश्न: ", "उत्तर:", "मुझे नहीं पता"),
+    "id": ("Pertanyaan: ", "Jawaban:", "Saya tidak tahu"),
+    "ko": ("질문: ", "답변:", "모르겠습니다"),
+    "it": ("Domanda: ", "Risposta:", "Non lo so"),
+    "fr": ("Question : ", "Réponse :", "Je ne sais pas"),
+    "ja": ("質問：", "回答：", "わかりません"),
+    "es": ("Pregunta: ", "Respuesta:", "No lo sé"),
+    "en": ("Question: ", "Answer:", "I don't know"),
+    "bn": ("প্রশ্ন: ", "উত্তর:", "আমি জানি না"),
+    "nl": ("Vraag: ", "Antwoord:", "Ik weet het niet"),
+    "he": ("שאלה: ", "תשובה:", "אני לא יודע"),
+    "ne": ("प्रश्न: ", "उत्तर:", "मलाई थाहा छैन"),
+    "fa": ("سؤال: ", "جواب:", "نمی‌دانم"),
+    "pl": ("Pytanie: ", "Odpowiedź:", "Nie wiem"),
+    "ru": ("Вопрос: ", "Ответ:", "Я не знаю"),
+    "te": ("ప్రశ్న: ", "సమాధానం:", "నాకు తెలియదు"),
+    "uk": ("Питання: ", "Відповідь:", "Я не знаю"),
+}
+
+# Generation, four options: (question label, instruction, answer label)
+GEN4_LABELS = {
+    "zh": ("问题：", "仅用字母（A、B、C 或 D）作答。", "答案："),
+    "el": ("Ερώτηση: ", "Απαντήστε μόνο με το γράμμα (A, B, C ή D).", "Απάντηση:"),
+    "ar": ("السؤال: ", "أجب بالحرف فقط (A أو B أو C أو D).", "الجواب:"),
+    "hi": ("प्रश्न: ", "केवल अक्षर (A, B, C, या D) से उत्तर दें।", "उत्तर:"),
+    "id": ("Pertanyaan: ", "Jawab hanya dengan huruf (A, B, C, atau D).", "Jawaban:"),
+    "ko": ("질문: ", "알파벳(A, B, C 또는 D)으로만 답하세요.", "답변:"),
+    "en": ("Question: ", "Answer with only the letter (A, B, C, or D).", "Answer:"),
+}
+
+# Generation, five options: (question label, instruction, answer label, "I don't know" option)
+GEN5_LABELS = {
+    "zh": ("问题：", "仅用字母（A、B、C、D 或 E）作答。", "答案：", "我不知道"),
+    "el": ("Ερώτηση: ", "Απαντήστε μόνο με το γράμμα (A, B, C, D ή E).", "Απάντηση:", "Δεν ξέρω"),
+    "ar": ("السؤال: ", "أجب بالحرف فقط (A أو B أو C أو D أو E).", "الجواب:", "لا أعرف"),
+    "hi": ("प्रश्न: ", "केवल अक्षर (A, B, C, D, या E) से उत्तर दें।", "उत्तर:", "मुझे नहीं पता"),
+    "id": ("Pertanyaan: ", "Jawab hanya dengan huruf (A, B, C, D, atau E).", "Jawaban:", "Saya tidak tahu"),
+    "ko": ("질문: ", "알파벳(A, B, C, D 또는 E)으로만 답하세요.", "답변:", "모르겠습니다"),
+    "en": ("Question: ", "Answer with only the letter (A, B, C, D, or E).", "Answer:", "I don't know"),
+}
+
+# Instruct-model detection and the two fixed chat wrappers.
+INSTRUCT_KEYWORDS = ["instruct", "-it", "-chat", "-chat-hf"]
+INSTRUCT_MODEL_OVERRIDES = ["SeaLLMs/SeaLLM-7B-v2.5", "naver-hyperclovax/HyperCLOVAX-SEED-Omni-8B",
+                            "CohereLabs/aya-expanse-8b"]
+JAIS_CHAT_MODELS = ["inceptionai/jais-13b-chat", "core42/jais-13b-chat"]
+ACEGPT_CHAT_MODELS = ["FreedomIntelligence/AceGPT-v2-8B-Chat"]
+JAIS_PROMPT_EN = ("### Instruction: Complete the conversation below between [|Human|] and [|AI|]:\n"
+                  "### Input: [|Human|] {Question}\n### Response: [|AI|]")
+JAIS_PROMPT_AR = ("### Instruction: أكمل المحادثة أدناه بين [|Human|] و [|AI|]:\n"
+                  "### Input: [|Human|] {Question}\n### Response: [|AI|]")
+
+# Short-answer study prompts (zh / en).
+QA_INSTRUCTION = {
+    "zh": ("请用简短短语回答。如果不确定，请回答“不知道”，不要猜测。", "问题：", "答案："),
+    "en": ("Answer with a short phrase. If you are not sure, say \"I don't know.\" Do not guess.",
+           "Question: ", "Answer:"),
+}
+
+
+def dim_template(spark: SparkSession, style: str) -> DataFrame:
+    """(lang, q_label, instruction, a_label, idk_option) for one prompt style.
+
+    styles: loglik4, loglik5, gen4, gen5 (instruction / idk null where unused).
+    """
+    if style == "loglik4":
+        rows = [(k, q, None, a, None) for k, (q, a) in PROMPT_LABELS.items()]
+    elif style == "loglik5":
+        rows = [(k, q, None, a, e) for k, (q, a, e) in LOGLIK5_LABELS.items()]
+    elif style == "gen4":
+        rows = [(k, q, i, a, None) for k, (q, i, a) in GEN4_LABELS.items()]
+    elif style == "gen5":
+        rows = [(k, q, i, a, e) for k, (q, i, a, e) in GEN5_LABELS.items()]
+    else:
+        raise ValueError(f"unknown prompt style {style}")
+    return spark.createDataFrame(
+        rows, "lang string, q_label string, instruction string, a_label string, idk_option string")

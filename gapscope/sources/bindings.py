@@ -178,3 +178,71 @@ SELECT event_id AS pos, event_type AS config, CAST(json_extract_string(props, '$
                  || '}' END AS reply
 FROM events
 """
+
+
+# ---------------------------------------------------------------------------
+# generations (conversations), prompt items (benchmark), run plan (lineitem)
+# ---------------------------------------------------------------------------
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short-answer responses: assistant turns of conversations.
+
+    (id, model, category, lang, question, generation, answers, answer_type)
+    """
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    a = c.where(F.col("role") == "assistant")
+    answers = F.when(F.col("conv_id") % 3 == 0, F.array(F.substring("text", 1, 3))).otherwise(
+        F.array(F.lit("zzz")))
+    atype = F.when(F.col("conv_id") % 7 == 0, "pair").when(F.col("conv_id") % 7 == 1, "set_any")
+    return a.select(
+        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.concat(F.lit("M"), (F.col("turn") % 2).cast("string")).alias("model"),
+        F.when(F.floor(F.col("conv_id") / 2) % 2 == 0, "global").otherwise("local_cn").alias("category"),
+        F.when(F.col("conv_id") % 2 == 0, "zh").otherwise("en").alias("lang"),
+        F.col("text").alias("generation"), answers.alias("answers"),
+        F.coalesce(atype, F.lit("entity")).alias("answer_type"))
+
+
+GENERATIONS_SQL = """
+SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id,
+       'M' || CAST(turn % 2 AS VARCHAR) AS model,
+       CASE WHEN (conv_id // 2) % 2 = 0 THEN 'global' ELSE 'local_cn' END AS category,
+       CASE WHEN conv_id % 2 = 0 THEN 'zh' ELSE 'en' END AS lang,
+       text AS generation,
+       CASE WHEN conv_id % 3 = 0 THEN [substr(text, 1, 3)] ELSE ['zzz'] END AS answers,
+       coalesce(CASE WHEN conv_id % 7 = 0 THEN 'pair' WHEN conv_id % 7 = 1 THEN 'set_any' END, 'entity')
+         AS answer_type
+FROM conversations WHERE role = 'assistant'
+"""
+
+
+def prompt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, subset, question, option_a..d, answer) from benchmark."""
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    locale = F.element_at(literal_array(BIND_LOCALES), (F.col("item_id") % 7 + 1).cast("int"))
+    kind = F.when(locale == "english", F.lit("ca")).otherwise(
+        F.element_at(literal_array(["ca", "cs", "cs_en"]), (F.col("item_id") % 3 + 1).cast("int")))
+    opts = [F.substring("text", 8 * n + 1, 8).alias(c) for n, c in
+            enumerate(["option_a", "option_b", "option_c", "option_d"], 1)]
+    return b.select("item_id", F.concat_ws("_", locale, kind).alias("subset"), F.col("text").alias("question"),
+                    *opts, F.substring(F.lit("ABCD"), (F.col("item_id") % 4 + 1).cast("int"), 1).alias("answer"))
+
+
+PROMPT_ITEMS_SQL = f"""
+SELECT item_id, locale || '_' || kind AS subset, question, option_a, option_b, option_c, option_d, answer FROM (
+  SELECT item_id, {_case_sql('item_id % 7', BIND_LOCALES)} AS locale,
+         CASE WHEN item_id % 7 = 0 THEN 'ca' ELSE CASE item_id % 3 WHEN 0 THEN 'ca' WHEN 1 THEN 'cs' ELSE 'cs_en' END END
+           AS kind,
+         text AS question, substr(text, 9, 8) AS option_a, substr(text, 17, 8) AS option_b,
+         substr(text, 25, 8) AS option_c, substr(text, 33, 8) AS option_d,
+         substr('ABCD', CAST(item_id % 4 + 1 AS INTEGER), 1) AS answer
+  FROM benchmark) b
+"""
+
+
+def run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, subset): which model was run on which subset (from responses)."""
+    return responses(spark, sf_dir).select("model", "subset").distinct()
+
+
+RUN_PLAN_SQL = "SELECT DISTINCT model, subset FROM (" + RESPONSES_SQL + ") rr"
