@@ -58,10 +58,11 @@ def _style_langs(style: str) -> list[str]:
 
 def pick_question(df: DataFrame) -> DataFrame:
     """Code-switched question column by subset suffix (plain ``question`` otherwise)."""
-    q = (F.when(F.col("kind") == "cs_mix", F.col("question_cs_mix"))
-         .when(F.col("kind") == "en_mix", F.col("question_en_mix")))
-    if "question" in df.columns:
-        q = q.otherwise(F.col("question"))
+    q = F.col("question") if "question" in df.columns else F.lit(None).cast("string")
+    if "question_en_mix" in df.columns:
+        q = F.when(F.col("kind") == "en_mix", F.col("question_en_mix")).otherwise(q)
+    if "question_cs_mix" in df.columns:
+        q = F.when(F.col("kind") == "cs_mix", F.col("question_cs_mix")).otherwise(q)
     return df.withColumn("question_text", q)
 
 
@@ -117,10 +118,11 @@ def build_prompts(df: DataFrame, style: str = "loglik4") -> DataFrame:
         jais = F.when(F.col("prompt_lang") == "ar", F.lit(D.JAIS_PROMPT_AR)).otherwise(F.lit(D.JAIS_PROMPT_EN))
         jais_text = F.replace(jais, F.lit("{Question}"), plain)
         ace = F.concat(F.lit("<User>: "), body, F.lit("\n"), F.col("instruction"), F.lit(" <Assistant>: "))
-        instruct = F.col("is_instruct") if "is_instruct" in df.columns else F.lit(False)
-        text = (F.when(instruct & F.col("model").isin(D.JAIS_CHAT_MODELS), jais_text)
-                .when(instruct & F.col("model").isin(D.ACEGPT_CHAT_MODELS), ace)
-                .otherwise(text))
+        if "model" in df.columns:
+            instruct = F.col("is_instruct") if "is_instruct" in df.columns else flag_instruct("model")
+            text = (F.when(instruct & F.col("model").isin(D.JAIS_CHAT_MODELS), jais_text)
+                    .when(instruct & F.col("model").isin(D.ACEGPT_CHAT_MODELS), ace)
+                    .otherwise(text))
     return out.withColumn("prompt", text).drop("q_label", "instruction", "a_label", "idk_option")
 
 
