@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gapscope.plans import benchmark, gapviews, logits, merges, prompting, scores, text  # noqa: F401
+from gapscope.plans import benchmark, gapviews, irt, logits, merges, prompting, scores, text  # noqa: F401
 from gapscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
