@@ -126,9 +126,10 @@ def build_prompts(df: DataFrame, style: str = "loglik4") -> DataFrame:
     return out.withColumn("prompt", text).drop("q_label", "instruction", "a_label", "idk_option")
 
 
-def limit_per_subset(items: DataFrame, n: int, order: str = "item_index") -> DataFrame:
-    """First n items of each subset (``row_number() <= n`` -> WindowGroupLimit)."""
-    w = Window.partitionBy("subset").orderBy(order)
+def limit_per_subset(items: DataFrame, n: int, order: str = "item_index", keys=("subset",)) -> DataFrame:
+    """First n items of each subset (``row_number() <= n`` -> WindowGroupLimit,
+    so each map task forwards at most n rows per subset)."""
+    w = Window.partitionBy(*keys).orderBy(order)
     return items.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
