@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscope.dims import BASELINE_SUBSET, GAP_LOCALES, METRICS, UNKNOWN_COUNTRY, literal_array
+from gapscope.dims import BASELINE_SUBSET, GAP_LOCALES, KINDS, METRICS, UNKNOWN_COUNTRY
 from gapscope.functions.names import subset_kind, subset_locale
 
 COUNT_COLS = ["n", "n_correct", "n_abstained", "n_conf_wrong"]
@@ -88,10 +88,10 @@ def with_country(df: DataFrame, dim_model: DataFrame, default: str = UNKNOWN_COU
     return out.drop("_country")
 
 
-def long_scores(scored: DataFrame, dim_model: DataFrame) -> DataFrame:
-    """Scored responses -> canonical long table."""
+def long_scores(scored: DataFrame, dim_model: DataFrame, metrics=METRICS) -> DataFrame:
+    """Scored responses -> canonical long table (only the listed metrics are unpivoted)."""
     wide = subset_metrics(scored)
-    return with_subset_parts(with_country(scores_long(wide), dim_model)).select(
+    return with_subset_parts(with_country(scores_long(wide, metrics), dim_model)).select(
         "model", "country", "subset", "locale", "kind", "metric", "value")
 
 
@@ -99,37 +99,39 @@ def long_scores(scored: DataFrame, dim_model: DataFrame) -> DataFrame:
 # G1 accuracy_gaps / R6 gaps_long, G2 hallucination_gap
 # ---------------------------------------------------------------------------
 
-def _valid_locales(s: DataFrame, baseline: str) -> DataFrame:
-    """Gap locales for which the baseline and all three kinds exist anywhere."""
-    subs = s.select("subset", "locale", "kind").distinct()
-    complete = (subs.where(F.col("kind").isin("ca", "cs", "cs_en"))
-                .groupBy("locale").agg(F.countDistinct("kind").alias("nk"))
-                .where(F.col("nk") == 3).select("locale"))
-    base_rows = (subs.where(F.col("subset") == baseline)
-                 .select(F.explode(literal_array(GAP_LOCALES)).alias("locale")))
-    return complete.join(base_rows, "locale", "left_semi")
+def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str]) -> DataFrame:
+    """One row per (model, locale): baseline + the locale's three scores.
 
-
-def gaps_long(long: DataFrame, metric: str = "accuracy", baseline: str = BASELINE_SUBSET) -> DataFrame:
+    A single pivot over explicit subset values (one shuffle of the already
+    aggregated scores), then an ``explode`` of per-locale structs.  Every
+    later branch derives from this one frame, so the scan and aggregation
+    below it are planned once (exchange reuse).
+    """
+    subsets = [baseline] + [f"{loc}_{k}" for loc in locales for k in KINDS]
+    s = long.where(F.col("metric") == metric).select("model", "country", "subset", "value")
+    wide = s.groupBy("model", "country").pivot("subset", subsets).agg(F.first("value"))
+    cells = F.array(*[F.struct(F.lit(loc).alias("locale"), F.col(f"{loc}_ca").alias("local_ca"),
+                               F.col(f"{loc}_cs").alias("local_cs"), F.col(f"{loc}_cs_en").alias("cs_en"))
+                      for loc in locales])
+    return wide.select("model", "country", F.col(baseline).alias("english_ca"), F.explode(cells).alias("c")) \
+        .select("model", "country", "c.locale", "english_ca", "c.local_ca", "c.local_cs", "c.cs_en")
+
+
+def gaps_long(long: DataFrame, metric: str = "accuracy", baseline: str = BASELINE_SUBSET,
+              locales: list[str] = GAP_LOCALES) -> DataFrame:
     """R6 + G1: one row per (model, locale) with the 4 scores and 3 gaps.
 
     global = ca - baseline, local = cs - cs_en, knowledge = local - global,
     computed from unrounded parts.  A locale is present when its three
-    subsets and the baseline exist for some model; a model missing one of
-    them gets null gaps (missing propagates).
+    subsets and the baseline exist for some model (a per-locale aggregate of
+    at most ``len(locales)`` rows, joined back on locale); a model missing one
+    of them gets null gaps (missing propagates).
     """
-    s = long.where(F.col("metric") == metric)
-    parts = (s.where(F.col("locale").isin(GAP_LOCALES))
-             .groupBy("model", "locale").agg(
-                 F.max(F.when(F.col("kind") == "ca", F.col("value"))).alias("local_ca"),
-                 F.max(F.when(F.col("kind") == "cs", F.col("value"))).alias("local_cs"),
-                 F.max(F.when(F.col("kind") == "cs_en", F.col("value"))).alias("cs_en")))
-    base = (s.where(F.col("subset") == baseline)
-            .groupBy("model").agg(F.max("value").alias("english_ca")))
-    frame = (s.select("model", "country").distinct()
-             .withColumn("locale", F.explode(literal_array(GAP_LOCALES)))
-             .join(_valid_locales(s, baseline), "locale", "left_semi"))
-    out = frame.join(parts, ["model", "locale"], "left").join(base, "model", "left")
+    rows = _locale_rows(long, metric, baseline, locales)
+    seen = lambda c: F.max(F.col(c).isNotNull())
+    valid = (rows.groupBy("locale").agg((seen("english_ca") & seen("local_ca") & seen("local_cs")
+                                         & seen("cs_en")).alias("ok")).where("ok").select("locale"))
+    out = rows.join(valid, "locale", "left_semi")
     g = F.col("local_ca") - F.col("english_ca")
     loc = F.col("local_cs") - F.col("cs_en")
     return out.select("model", "country", "locale", "english_ca", "local_ca", "local_cs", "cs_en",
@@ -142,20 +144,17 @@ def accuracy_gaps(long: DataFrame, metric: str = "accuracy", baseline: str = BAS
         "model", "country", "locale", "global_gap", "local_gap", "knowledge_gap")
 
 
-def hallucination_gap(long: DataFrame, metric: str = "conf_err_rate") -> DataFrame:
+def hallucination_gap(long: DataFrame, metric: str = "conf_err_rate", baseline: str = BASELINE_SUBSET,
+                      locales: list[str] = GAP_LOCALES) -> DataFrame:
     """conf_err(cs_en) - conf_err(cs) per (model, locale), where both subsets exist."""
-    s = long.where((F.col("metric") == metric) & F.col("locale").isin(GAP_LOCALES))
-    subs = s.select("locale", "kind").distinct()
-    both = (subs.where(F.col("kind").isin("cs", "cs_en")).groupBy("locale")
-            .agg(F.countDistinct("kind").alias("nk")).where(F.col("nk") == 2).select("locale"))
-    per = (s.groupBy("model", "country", "locale").agg(
-        F.max(F.when(F.col("kind") == "cs", F.col("value"))).alias("conf_err_cs"),
-        F.max(F.when(F.col("kind") == "cs_en", F.col("value"))).alias("conf_err_cs_en")))
-    frame = (s.select("model", "country").distinct()
-             .withColumn("locale", F.explode(literal_array(GAP_LOCALES)))
-             .join(both, "locale", "left_semi"))
-    out = frame.join(per, ["model", "country", "locale"], "left")
-    return out.withColumn("hall_gap", F.col("conf_err_cs_en") - F.col("conf_err_cs"))
+    rows = _locale_rows(long, metric, baseline, locales)
+    seen = lambda c: F.max(F.col(c).isNotNull())
+    valid = (rows.groupBy("locale").agg((seen("local_cs") & seen("cs_en")).alias("ok"))
+             .where("ok").select("locale"))
+    out = rows.join(valid, "locale", "left_semi")
+    return out.select("model", "country", "locale", F.col("local_cs").alias("conf_err_cs"),
+                      F.col("cs_en").alias("conf_err_cs_en"),
+                      (F.col("cs_en") - F.col("local_cs")).alias("hall_gap"))
 
 
 # ---------------------------------------------------------------------------

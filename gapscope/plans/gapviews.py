@@ -23,7 +23,7 @@ DEC = 10   # means of doubles: compared after rounding (summation order differs
 
 
 def _gl(spark, sf_dir):
-    return gaps_long(long_table(spark, sf_dir))
+    return gaps_long(long_table(spark, sf_dir, ["accuracy"]))
 
 
 def _sql_list(xs):

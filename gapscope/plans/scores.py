@@ -15,8 +15,8 @@ def scored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_choice(B.responses(spark, sf_dir))
 
 
-def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.long_scores(scored_responses(spark, sf_dir), B.dim_model(spark, sf_dir))
+def long_table(spark: SparkSession, sf_dir: str, metrics=M.METRICS) -> DataFrame:
+    return M.long_scores(scored_responses(spark, sf_dir), B.dim_model(spark, sf_dir), metrics)
 
 
 @register("subset_metrics", with_ctes(BASE_CTES, "SELECT * FROM mw"))
@@ -32,12 +32,12 @@ def q_long_scores(spark, sf_dir):
 @register("accuracy_gaps", with_ctes({**BASE_CTES, **gaps_sql()}, """
 SELECT model, country, locale, global_gap, local_gap, knowledge_gap FROM gl"""))
 def q_accuracy_gaps(spark, sf_dir):
-    return M.accuracy_gaps(long_table(spark, sf_dir))
+    return M.accuracy_gaps(long_table(spark, sf_dir, ["accuracy"]))
 
 
 @register("gaps_long", with_ctes({**BASE_CTES, **gaps_sql()}, "SELECT * FROM gl"))
 def q_gaps_long(spark, sf_dir):
-    return M.gaps_long(long_table(spark, sf_dir))
+    return M.gaps_long(long_table(spark, sf_dir, ["accuracy"]))
 
 
 @register("hallucination_gap", with_ctes(BASE_CTES, """
@@ -53,7 +53,7 @@ FROM (SELECT DISTINCT model, country FROM s) m CROSS JOIN both_ b
 LEFT JOIN per p ON p.model = m.model AND p.country = m.country AND p.locale = b.locale
 """))
 def q_hallucination_gap(spark, sf_dir):
-    return M.hallucination_gap(long_table(spark, sf_dir))
+    return M.hallucination_gap(long_table(spark, sf_dir, ["conf_err_rate"]))
 
 
 @register("metric_identity_check", with_ctes(BASE_CTES, """
@@ -69,4 +69,4 @@ WHERE metric = 'accuracy' AND model IN (
   SELECT model FROM lg WHERE metric = 'accuracy' GROUP BY model
   HAVING bool_or(coalesce(TRY_CAST(value AS DOUBLE) >= 0.25, false)))"""))
 def q_drop_low_models(spark, sf_dir):
-    return M.drop_low_models(long_table(spark, sf_dir), threshold=0.25)
+    return M.drop_low_models(long_table(spark, sf_dir, ["accuracy"]), threshold=0.25)

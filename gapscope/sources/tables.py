@@ -8,7 +8,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+_READS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """``spark.read.parquet`` of one table; ``cols`` narrows the ReadSchema."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """``spark.read.parquet`` of one table; ``cols`` narrows the ReadSchema.
+
+    The relation (file listing + footer schema) is resolved once per session
+    and path; DataFrames are immutable plans, so sharing one is safe.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
     return df.select(*cols) if cols else df
