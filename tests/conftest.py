@@ -19,4 +19,5 @@ def spark():
 def rows(df, *cols):
     """Sorted list of tuples (order-insensitive comparisons)."""
     cols = cols or df.columns
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    key = lambda t: tuple((v is not None, v) for v in t)  # noqa: E731  nulls first
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=key)
