@@ -18,7 +18,9 @@ Fit (joint maximum likelihood, no prior):
   parameter tables broadcast when their row count is under a checked bound
   (else sort-merge), followed by a partial+final aggregate — the response
   table is never shuffled;
-* parameter tables are checkpointed every iteration (small, cuts lineage).
+* parameter tables are checkpointed every iteration (small, cuts lineage);
+  the per-component anchor (mean theta 0) is applied once at the end, since
+  the likelihood depends on theta - b only.
 
 The log-likelihood is concave, so any convergent optimiser reaches the same
 anchored point when a finite MLE exists.
@@ -190,30 +192,33 @@ def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 100, component
 
     log, converged = [], False
     for it in range(max_iter):
+        # theta step (items fixed): one pass over the responses, partial aggregates per examinee
         d = r.join(_maybe_broadcast(theta, n_e), "e").join(_maybe_broadcast(b, n_i), "i")
         p = sigmoid(F.col("theta") - F.col("b"))
         st = d.groupBy("e").agg(F.sum(F.col("y") - p).alias("g"), F.sum(p * (1 - p)).alias("h"))
         step_t = F.greatest(F.lit(-STEP_CLIP), F.least(F.lit(STEP_CLIP), F.col("g") / F.col("h")))
-        theta_new = theta.join(st, "e").select("e", (F.col("theta") + step_t).alias("theta"),
-                                              F.abs(step_t).alias("step"))
-        theta_new = reliable_checkpoint(theta_new)
+        theta_new = reliable_checkpoint(theta.join(st, "e").select(
+            "e", (F.col("theta") + step_t).alias("theta"), F.abs(step_t).alias("step")))
+        # b step (thetas fixed)
         d2 = r.join(_maybe_broadcast(theta_new.select("e", "theta"), n_e), "e").join(_maybe_broadcast(b, n_i), "i")
         sb = d2.groupBy("i").agg(F.sum(p - F.col("y")).alias("g"), F.sum(p * (1 - p)).alias("h"))
         step_b = F.greatest(F.lit(-STEP_CLIP), F.least(F.lit(STEP_CLIP), F.col("g") / F.col("h")))
-        b_new = b.join(sb, "i").select("i", (F.col("b") + step_b).alias("b"), F.abs(step_b).alias("step"))
-        # M5: anchor — subtract the component's mean theta from its thetas and bs
-        mean_t = (theta_new.join(comp_e, "e").groupBy("component").agg(F.avg("theta").alias("mt")))
-        theta_a = (theta_new.join(comp_e, "e").join(mean_t, "component")
-                   .select("e", (F.col("theta") - F.col("mt")).alias("theta"), "step"))
-        b_a = (b_new.join(comp_i, "i").join(mean_t, "component")
-               .select("i", (F.col("b") - F.col("mt")).alias("b"), "step"))
-        theta_a, b_a = reliable_checkpoint(theta_a), reliable_checkpoint(b_a)
-        max_step = max(theta_a.agg(F.max("step")).first()[0] or 0.0, b_a.agg(F.max("step")).first()[0] or 0.0)
-        theta, b = theta_a.select("e", "theta"), b_a.select("i", "b")
+        b_new = reliable_checkpoint(b.join(sb, "i").select(
+            "i", (F.col("b") + step_b).alias("b"), F.abs(step_b).alias("step")))
+        max_step = (theta_new.select("step").unionByName(b_new.select("step"))
+                    .agg(F.max("step")).first()[0] or 0.0)
+        theta, b = theta_new.select("e", "theta"), b_new.select("i", "b")
         log.append({"iter": it, "max_step": float(max_step)})
         if max_step < tol:
             converged = True
             break
+    # M5: anchor once at the end — the likelihood only depends on theta - b,
+    # so shifting a component's thetas and bs by its mean theta changes nothing else
+    mean_t = theta.join(comp_e, "e").groupBy("component").agg(F.avg("theta").alias("mt"))
+    theta = reliable_checkpoint(theta.join(comp_e, "e").join(mean_t, "component")
+                                .select("e", (F.col("theta") - F.col("mt")).alias("theta")))
+    b = reliable_checkpoint(b.join(comp_i, "i").join(mean_t, "component")
+                            .select("i", (F.col("b") - F.col("mt")).alias("b")))
     nll = rasch_nll_eib(r, theta, b, n_e, n_i)
     if log:
         log[-1]["nll"] = nll

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapscope.functions.names import strip_cs_suffix
@@ -110,24 +110,30 @@ def merge_cs_en_scores(cs: DataFrame, en: DataFrame, ref: DataFrame | None = Non
     ``ref`` both sides are limited to the locales of the ref file.  A
     ``<x>_cs_en`` key from EN wins when CS has ``<x>_cs`` or the key itself;
     any other EN key is added only when CS has no key of its locale.
+
+    One pass: both sides are unioned and every row is judged against the
+    flags of its (file, metric, locale) group — a window over groups of a
+    handful of rows (one per kind and side), so no group can be large.
     Rows keep ``side`` (0 = CS, 1 = EN) and ``pos`` for the interleaved order.
     """
     files = (ref if ref is not None else cs).select("file").distinct()
-    c = _restrict(cs.join(files, "file", "left_semi"), ref).select(
-        "file", "model", "subset", "metric", "value", "pos", F.lit(0).alias("side"))
-    e = _restrict(en.join(files, "file", "left_semi"), ref).select(
-        "file", "model", "subset", "metric", "value", "pos", F.lit(1).alias("side"))
-    cs_bases = c.select("file", "metric", strip_cs_suffix("subset").alias("_b")).distinct()
-    cs_twins = c.where(F.col("subset").endswith("_cs")).select(
-        "file", "metric", F.concat(strip_cs_suffix("subset"), F.lit("_cs_en")).alias("subset"))
-    cs_keys = c.select("file", "metric", "subset")
-    # EN _cs_en keys that pair with a CS key (EN wins for these)
-    paired = (e.where(F.col("subset").endswith("_cs_en"))
-              .join(cs_twins.unionByName(cs_keys).distinct(), ["file", "metric", "subset"], "left_semi"))
-    en_only = (e.withColumn("_b", strip_cs_suffix("subset"))
-               .join(cs_bases, ["file", "metric", "_b"], "left_anti").drop("_b"))
-    kept_cs = c.join(paired.select("file", "metric", "subset"), ["file", "metric", "subset"], "left_anti")
-    return kept_cs.unionByName(paired).unionByName(en_only)
+    cols = ["file", "model", "subset", "metric", "value", "pos"]
+    c = _restrict(cs.join(files, "file", "left_semi"), ref).select(*cols, F.lit(0).alias("side"))
+    e = _restrict(en.join(files, "file", "left_semi"), ref).select(*cols, F.lit(1).alias("side"))
+    u = c.unionByName(e).withColumn("_b", strip_cs_suffix("subset"))
+    w = Window.partitionBy("file", "metric", "_b")
+    is_cs = F.col("side") == 0
+    twin = F.concat("_b", F.lit("_cs_en"))
+    flag = lambda cond: F.max(cond.cast("int")).over(w) == 1
+    u = u.withColumns({
+        "_cs_any": flag(is_cs),
+        "_cs_pair": flag(is_cs & ((F.col("subset") == F.concat("_b", F.lit("_cs"))) | (F.col("subset") == twin))),
+        "_en_twin": flag(~is_cs & (F.col("subset") == twin)),
+    })
+    is_twin = F.col("subset").endswith("_cs_en") & (F.col("subset") == twin)
+    keep = (F.when(is_cs, ~(is_twin & F.col("_en_twin")))
+            .otherwise(F.when(is_twin, F.col("_cs_pair") | ~F.col("_cs_any")).otherwise(~F.col("_cs_any"))))
+    return u.where(keep).select(*cols, "side")
 
 
 def merge_cs_en_predictions(cs: DataFrame, en: DataFrame, ref: DataFrame | None = None) -> DataFrame:

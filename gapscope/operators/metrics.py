@@ -22,22 +22,25 @@ COUNT_COLS = ["n", "n_correct", "n_abstained", "n_conf_wrong"]
 # A1 subset_metrics, A2 top_rank_rates
 # ---------------------------------------------------------------------------
 
-def subset_metrics(scored: DataFrame, keys=("model", "subset")) -> DataFrame:
+def subset_metrics(scored: DataFrame, keys=("model", "subset"), extra: dict | None = None) -> DataFrame:
     """accuracy, abstain_rate, conf_err_rate, cond_acc per key from C9 flags.
 
     Integer counts first, one division each (exact, engine independent).
-    ``cond_acc`` is 0.0 when nothing was attempted.
+    ``cond_acc`` is 0.0 when nothing was attempted.  ``extra`` adds more
+    aggregate columns to the same pass (name -> aggregate expression).
     """
     keys = list(keys)
+    extra = extra or {}
     agg = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("correct")).alias("n_correct"),
         F.count_if(F.col("abstained")).alias("n_abstained"),
         F.count_if(F.col("conf_wrong")).alias("n_conf_wrong"),
+        *[e.alias(k) for k, e in extra.items()],
     )
     attempted = F.col("n_correct") + F.col("n_conf_wrong")
     return agg.select(
-        *keys, *COUNT_COLS,
+        *keys, *COUNT_COLS, *extra.keys(),
         (F.col("n_correct") / F.col("n")).alias("accuracy"),
         (F.col("n_abstained") / F.col("n")).alias("abstain_rate"),
         (F.col("n_conf_wrong") / F.col("n")).alias("conf_err_rate"),

@@ -52,7 +52,7 @@ SELECT replace(model, '/', '__') AS file, model, subset, item, gold, pred, batch
 def q_read_predictions(spark, sf_dir):
     path = _scratch(spark, "predictions")
     recs = B.responses(spark, sf_dir).select("model", *PRED_RECORD.fieldNames())
-    S.write_by_model(recs, path)
+    S.write_by_model(recs, path, files_per_model=4)
     return S.read_predictions(spark, path, PRED_RECORD, layout="partitioned")
 
 
@@ -64,7 +64,7 @@ def q_upsert_predictions_files(spark, sf_dir):
     """S10 on files: the re-run's records replace the stored ones per (model, subset)."""
     path = _scratch(spark, "upsert")
     r = B.responses(spark, sf_dir).select("model", *PRED_RECORD.fieldNames())
-    S.write_by_model(r.where(F.col("batch") == "base"), path)
+    S.write_by_model(r.where(F.col("batch") == "base"), path, files_per_model=4)
     old = S.read_predictions(spark, path, PRED_RECORD, layout="partitioned").drop("file")
     new = r.where((F.col("batch") == "overlay") & F.col("subset").endswith("_cs_en"))
     return upsert_predictions(old, new)

@@ -38,8 +38,7 @@ FROM (SELECT model, subset, batch, min(pos) AS pos, count(*) AS n,
 def batch_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, model, subset, batch, pos, metric, value): one score file per (model, batch)."""
     sc = scored_responses(spark, sf_dir)
-    m = subset_metrics(sc, keys=("model", "subset", "batch")).join(
-        sc.groupBy("model", "subset", "batch").agg(F.min("pos").alias("pos")), ["model", "subset", "batch"])
+    m = subset_metrics(sc, keys=("model", "subset", "batch"), extra={"pos": F.min("pos")})
     return (m.unpivot(["model", "subset", "batch", "pos"], METRICS, "metric", "value")
             .withColumn("file", F.concat("model", F.lit("_accuracy.json")))
             .select("file", "model", "subset", "batch", "pos", "metric", "value"))

@@ -166,13 +166,25 @@ def scores_to_documents(long: DataFrame, metrics=METRICS) -> DataFrame:
     return per.groupBy("model").pivot("metric", list(metrics)).agg(F.first("values"))
 
 
-def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "overwrite") -> None:
+def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "overwrite",
+                   files_per_model: int = 1) -> None:
     """One folder per model, ``slug=<slug>``; MCQ slug '/'->'__', QA slug
     runs of other characters -> '_'.  Dynamic partition overwrite replaces
-    only the models present in ``df``."""
+    only the models present in ``df``.
+
+    Rows are clustered by (slug, salt) first, so each model folder is written
+    by ``files_per_model`` tasks instead of every task opening a file in
+    every folder; a salt > 1 spreads a hot model's records over several
+    tasks (use it for prediction records, keep 1 for per-model documents).
+    """
     slug = model_slug("model") if kind == "mcq" else qa_slug("model")
-    (df.withColumn("slug", slug).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("slug").json(path))
+    out = df.withColumn("slug", slug)
+    if files_per_model > 1:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_model))
+        out = out.repartition("slug", salt)
+    else:
+        out = out.repartition("slug")
+    (out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(path))
 
 
 def publish_config(df: DataFrame, path: str, config: str = "config") -> None:
