@@ -166,3 +166,19 @@ def split_by_suffix(df: DataFrame, suffix: str = "_cs_en") -> DataFrame:
 def extract_ca(df: DataFrame) -> DataFrame:
     """Keep only ``_ca`` subsets (a metric with no such key disappears)."""
     return df.where(F.col("subset").endswith("_ca"))
+
+
+# ---------------------------------------------------------------------------
+# J9 with_short_name
+# ---------------------------------------------------------------------------
+
+def with_short_name(df: DataFrame, dim_short: DataFrame | None = None, model: str = "model") -> DataFrame:
+    """Figure label of a model.  With ``dim_short`` (model, short): table
+    lookup, the id itself when absent; without it: the rule chain (last path
+    segment and fixed replacements)."""
+    from gapscope.functions.names import short_model_name
+    if dim_short is None:
+        return df.withColumn("short", short_model_name(model))
+    d = dim_short.select(F.col("model").alias("_m"), F.col("short").alias("_s"))
+    return (df.join(d, df[model] == d["_m"], "left")
+            .withColumn("short", F.coalesce("_s", F.col(model))).drop("_m", "_s"))

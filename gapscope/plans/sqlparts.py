@@ -40,10 +40,10 @@ JOIN (SELECT model, subset, 'accuracy' AS metric, accuracy AS value FROM mw
 BASE_CTES = {"r": RESPONSES_SQL, "dm": DIM_MODEL_SQL, "mw": METRICS_SQL, "lg": LONG_SQL}
 
 
-def gaps_sql(metric: str = "accuracy") -> str:
-    """CTE bodies for R6/G1 over ``lg``; final CTE is ``gl``."""
+def gaps_sql(metric: str = "accuracy", source: str = "lg") -> str:
+    """CTE bodies for R6/G1 over ``source``; final CTE is ``gl``."""
     return {
-        "s": f"SELECT * FROM lg WHERE metric = '{metric}'",
+        "s": f"SELECT * FROM {source} WHERE metric = '{metric}'",
         "parts": f"""
 SELECT model, locale,
        max(CASE WHEN kind = 'ca' THEN value END) AS local_ca,
