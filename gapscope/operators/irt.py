@@ -80,12 +80,15 @@ def irt_components(resp: DataFrame, max_iter: int = 50) -> DataFrame:
     label changes (a driver-side count).
     """
     edges = reliable_checkpoint(_examinee(resp).select("e", F.col("item_key").alias("i")).distinct())
-    lab_i = edges.select("i").distinct().withColumn("li", F.col("i"))
-    lab_e = edges.groupBy("e").agg(F.min("i").alias("le"))
+    lab_i = reliable_checkpoint(edges.select("i").distinct().withColumn("li", F.col("i")))
+    lab_e = reliable_checkpoint(edges.groupBy("e").agg(F.min("i").alias("le")))
+    n_e, n_i = lab_e.count(), lab_i.count()
     for _ in range(max_iter):
-        new_i = (edges.join(lab_e, "e").groupBy("i").agg(F.min("le").alias("m"))
+        # label tables are broadcast below a checked row count, so the
+        # edge table (response-sized) is scanned, never shuffled
+        new_i = (edges.join(_maybe_broadcast(lab_e, n_e), "e").groupBy("i").agg(F.min("le").alias("m"))
                  .join(lab_i, "i").select("i", F.least("m", "li").alias("li")))
-        new_e = edges.join(new_i, "i").groupBy("e").agg(F.min("li").alias("le"))
+        new_e = edges.join(_maybe_broadcast(new_i, n_i), "i").groupBy("e").agg(F.min("li").alias("le"))
         new_i, new_e = reliable_checkpoint(new_i), reliable_checkpoint(new_e)
         changed = (new_e.join(lab_e.withColumnRenamed("le", "old"), "e")
                    .where(F.col("le") != F.col("old")).limit(1).count())
@@ -148,8 +151,10 @@ def trim_extremes(resp: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, Da
         if bad.limit(1).count() == 0:
             break
         excluded.append(bad)
-        cur = reliable_checkpoint(
-            cur.join(bad.where(F.col("kind") == "e").select(F.col("node").alias("e")), "e", "left_anti")
+        # the dropped sets are small (checked by the count above being cheap
+        # aggregates); anti-joins keep the lineage short, the caller
+        # checkpoints the final responses once
+        cur = (cur.join(bad.where(F.col("kind") == "e").select(F.col("node").alias("e")), "e", "left_anti")
                .join(bad.where(F.col("kind") == "i").select(F.col("node").alias("i")), "i", "left_anti"))
     empty = spark.createDataFrame([], "kind string, node string, reason string, round int")
     out = empty
