@@ -9,6 +9,7 @@ hot, which map-side combining absorbs.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,10 @@ def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str]
     """
     subsets = [baseline] + [f"{loc}_{k}" for loc in locales for k in KINDS]
     s = long.where(F.col("metric") == metric).select("model", "country", "subset", "value")
-    wide = s.groupBy("model", "country").pivot("subset", subsets).agg(F.first("value"))
+    # models x subsets, small: persisted so the row branch and the validity
+    # branch read one computation (AQE does not reuse their exchanges)
+    wide = s.groupBy("model", "country").pivot("subset", subsets).agg(F.first("value")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     cells = F.array(*[F.struct(F.lit(loc).alias("locale"), F.col(f"{loc}_ca").alias("local_ca"),
                                F.col(f"{loc}_cs").alias("local_cs"), F.col(f"{loc}_cs_en").alias("cs_en"))
                       for loc in locales])
