@@ -179,11 +179,14 @@ def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "ove
     """
     slug = model_slug("model") if kind == "mcq" else qa_slug("model")
     out = df.withColumn("slug", slug)
+    # an explicit partition count: AQE would otherwise coalesce a small
+    # shuffle into one task that writes every model folder serially
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if files_per_model > 1:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_model))
-        out = out.repartition("slug", salt)
+        out = out.repartition(n, "slug", salt)
     else:
-        out = out.repartition("slug")
+        out = out.repartition(n, "slug")
     (out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(path))
 
 
