@@ -221,7 +221,7 @@ def q_union_parts(spark, sf_dir):
 def _translation_replies(spark, sf_dir):
     """Replies for the items: sentences upper-cased as the 'translation'; every
     7th reply carries a stray inner quote and a raw newline (repairable), every
-    11th is cut short (unrepairable)."""
+    11th is a refusal without JSON (unrepairable)."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
     parts = F.split("text", r"\. ")
     fields = F.struct(F.upper("text").alias("question"),
@@ -229,7 +229,7 @@ def _translation_replies(spark, sf_dir):
                         for i, f in enumerate(["option_a", "option_b", "option_c", "option_d"])])
     js = F.to_json(fields)
     broken = F.regexp_replace(js, r'^\{"question":"', '{"question":"say "hi"\n ')
-    reply = (F.when(F.col("doc_id") % 11 == 0, F.substring(js, 1, 20))
+    reply = (F.when(F.col("doc_id") % 11 == 0, F.lit("I cannot translate this item."))
              .when(F.col("doc_id") % 7 == 0, F.concat(F.lit("```json\n"), broken, F.lit("\n```")))
              .otherwise(F.concat(F.lit("Here you go: "), js)))
     return d.select(F.col("doc_id").alias("pos"), reply.alias("reply"))
