@@ -13,9 +13,12 @@ a third of the data.  ``index_within`` computes the same 0-based position from
 4. a join of the rows to their (group, partition) offset.
 
 The order columns must be a total order within the group (add a unique
-tiebreaker), which also makes the result deterministic under task retries:
-the sorted partition content does not depend on shuffle fetch order.
-The range exchange is shared by steps 2 and 3 (exchange reuse).
+tiebreaker).  The range-partitioned, locally numbered frame is written once
+to the shared checkpoint folder and both the count table and the final join
+read that copy: range bounds come from a sample whose input partitions AQE
+may shape differently in two separate evaluations, so recomputing it per
+branch could place a row in different partitions.  Pass only the columns
+the caller needs (the copy is as wide as the input).
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapscope.session import reliable_checkpoint
+
 
 def index_within(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
@@ -30,9 +35,10 @@ def index_within(df: DataFrame, group_cols: list[str], order_cols: list, name: s
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    staged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    staged = reliable_checkpoint(
+        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
     counts = staged.groupBy(*group_cols, "_pid").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

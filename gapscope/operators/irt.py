@@ -18,7 +18,9 @@ Fit (joint maximum likelihood, no prior):
   parameter tables broadcast when their row count is under a checked bound
   (else sort-merge), followed by a partial+final aggregate — the response
   table is never shuffled;
-* parameter tables are checkpointed every iteration (small, cuts lineage);
+* parameter tables are checkpointed every iteration (small, cuts lineage:
+  each step's plan references the previous tables several times, so an
+  uncut plan would grow exponentially with the iteration count);
   the per-component anchor (mean theta 0) is applied once at the end, since
   the likelihood depends on theta - b only.
 
