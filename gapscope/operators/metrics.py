@@ -103,23 +103,30 @@ def long_scores(scored: DataFrame, dim_model: DataFrame, metrics=METRICS) -> Dat
 # G1 accuracy_gaps / R6 gaps_long, G2 hallucination_gap
 # ---------------------------------------------------------------------------
 
-def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str]) -> DataFrame:
-    """One row per (model, locale): baseline + the locale's three scores.
+def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str],
+                 required: tuple[str, ...] = ("base", "ca", "cs", "cs_en")) -> DataFrame:
+    """One row per (model, locale): baseline + the locale's three scores, for
+    the locales whose ``required`` columns exist for some model.
 
     A single pivot over explicit subset values (one shuffle of the already
-    aggregated scores), then an ``explode`` of per-locale structs.  Every
-    later branch derives from this one frame, so the scan and aggregation
-    below it are planned once (exchange reuse).
+    aggregated scores) is persisted; which subsets exist anywhere is one tiny
+    aggregate over it (a single row of flags read on the driver, like a pivot's
+    value discovery); then an ``explode`` of the valid locales' structs.  The
+    scan and aggregation below the pivot run once.
     """
     subsets = [baseline] + [f"{loc}_{k}" for loc in locales for k in KINDS]
     s = long.where(F.col("metric") == metric).select("model", "country", "subset", "value")
-    # models x subsets, small: persisted so the row branch and the validity
-    # branch read one computation (AQE does not reuse their exchanges)
     wide = s.groupBy("model", "country").pivot("subset", subsets).agg(F.first("value")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
+    seen = wide.agg(*[F.max(F.col(c).isNotNull()).alias(f"_{i}") for i, c in enumerate(subsets)]).first()
+    present = {c: bool(seen[f"_{i}"]) for i, c in enumerate(subsets)}
+    name = {"base": lambda loc: baseline, "ca": lambda loc: f"{loc}_ca", "cs": lambda loc: f"{loc}_cs",
+            "cs_en": lambda loc: f"{loc}_cs_en"}
+    valid = [loc for loc in locales if all(present[name[r](loc)] for r in required)]
     cells = F.array(*[F.struct(F.lit(loc).alias("locale"), F.col(f"{loc}_ca").alias("local_ca"),
                                F.col(f"{loc}_cs").alias("local_cs"), F.col(f"{loc}_cs_en").alias("cs_en"))
-                      for loc in locales])
+                      for loc in valid]) if valid else F.array().cast(
+        "array<struct<locale:string,local_ca:double,local_cs:double,cs_en:double>>")
     return wide.select("model", "country", F.col(baseline).alias("english_ca"), F.explode(cells).alias("c")) \
         .select("model", "country", "c.locale", "english_ca", "c.local_ca", "c.local_cs", "c.cs_en")
 
@@ -130,15 +137,10 @@ def gaps_long(long: DataFrame, metric: str = "accuracy", baseline: str = BASELIN
 
     global = ca - baseline, local = cs - cs_en, knowledge = local - global,
     computed from unrounded parts.  A locale is present when its three
-    subsets and the baseline exist for some model (a per-locale aggregate of
-    at most ``len(locales)`` rows, joined back on locale); a model missing one
-    of them gets null gaps (missing propagates).
+    subsets and the baseline exist for some model; a model missing one of
+    them gets null gaps (missing propagates).
     """
-    rows = _locale_rows(long, metric, baseline, locales)
-    seen = lambda c: F.max(F.col(c).isNotNull())
-    valid = (rows.groupBy("locale").agg((seen("english_ca") & seen("local_ca") & seen("local_cs")
-                                         & seen("cs_en")).alias("ok")).where("ok").select("locale"))
-    out = rows.join(valid, "locale", "left_semi")
+    out = _locale_rows(long, metric, baseline, locales)
     g = F.col("local_ca") - F.col("english_ca")
     loc = F.col("local_cs") - F.col("cs_en")
     return out.select("model", "country", "locale", "english_ca", "local_ca", "local_cs", "cs_en",
@@ -154,11 +156,7 @@ def accuracy_gaps(long: DataFrame, metric: str = "accuracy", baseline: str = BAS
 def hallucination_gap(long: DataFrame, metric: str = "conf_err_rate", baseline: str = BASELINE_SUBSET,
                       locales: list[str] = GAP_LOCALES) -> DataFrame:
     """conf_err(cs_en) - conf_err(cs) per (model, locale), where both subsets exist."""
-    rows = _locale_rows(long, metric, baseline, locales)
-    seen = lambda c: F.max(F.col(c).isNotNull())
-    valid = (rows.groupBy("locale").agg((seen("local_cs") & seen("cs_en")).alias("ok"))
-             .where("ok").select("locale"))
-    out = rows.join(valid, "locale", "left_semi")
+    out = _locale_rows(long, metric, baseline, locales, required=("cs", "cs_en"))
     return out.select("model", "country", "locale", F.col("local_cs").alias("conf_err_cs"),
                       F.col("cs_en").alias("conf_err_cs_en"),
                       (F.col("cs_en") - F.col("local_cs")).alias("hall_gap"))
