@@ -102,6 +102,22 @@ def irt_components(resp: DataFrame, max_iter: int = 50) -> DataFrame:
                                       F.col("li").alias("component"))))
 
 
+def component_report(components: DataFrame) -> DataFrame:
+    """M2 check: observed components against the ones implied by the item keys.
+
+    One row per (observed component, key component) with node counts; a key
+    component spread over several observed ones (disconnected design) or an
+    observed component spanning several key components is flagged.
+    """
+    items = components.where(F.col("kind") == "i").withColumn("key_component", key_component("node"))
+    pairs = items.groupBy("component", "key_component").agg(F.count(F.lit(1)).alias("n_items"))
+    n_obs = pairs.groupBy("key_component").agg(F.count(F.lit(1)).alias("n_observed"))
+    n_key = pairs.groupBy("component").agg(F.count(F.lit(1)).alias("n_key"))
+    return (pairs.join(n_obs, "key_component").join(n_key, "component")
+            .withColumn("status", F.when(F.col("n_observed") > 1, "split")
+                        .when(F.col("n_key") > 1, "merged").otherwise("ok")))
+
+
 # ---------------------------------------------------------------------------
 # M3 rasch_nll
 # ---------------------------------------------------------------------------

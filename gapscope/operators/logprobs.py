@@ -120,6 +120,9 @@ def score_logprobs(responses: DataFrame, variants: DataFrame, used_prefix: DataF
         "pred": F.col("_best.letter"),
         "argmax_token_id": F.col("_best.token_id"),
     })
+    # C2 flag: is each top token one of the model's answer-letter variants
+    df = df.withColumn("top_tokens", F.transform("top_tokens", lambda t: t.withField(
+        "is_letter", F.exists("variants", lambda v: v["token_id"] == t["token_id"]))))
     top_ids = F.transform("top_tokens", lambda s: s["token_id"])
     df = df.withColumns({
         "argmax_is_top1": F.element_at(top_ids, 1) == F.col("argmax_token_id"),

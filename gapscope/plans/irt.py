@@ -52,6 +52,11 @@ def q_irt_components(spark, sf_dir):
     return M.irt_components(_resp(spark, sf_dir))
 
 
+@register("irt_component_report")
+def q_irt_component_report(spark, sf_dir):
+    return M.component_report(M.irt_components(_resp(spark, sf_dir)))
+
+
 @register("rasch_nll", with_ctes(IR_CTES, """
 , te AS (SELECT model, subset, (sum(y) - count(*) / 2) / count(*) AS theta FROM ir GROUP BY model, subset)
 , bi AS (SELECT item_key, (count(*) / 2 - sum(y)) / count(*) AS b FROM ir GROUP BY item_key)

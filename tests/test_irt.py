@@ -94,3 +94,12 @@ def test_rasch_nll_at_zero(spark):
     b = r.select("item_key").distinct().withColumn("b", F.lit(0.0))
     out = M.rasch_nll(r, theta, b).first()
     assert out.nll == pytest.approx(out.n * np.log(2))
+
+
+def test_component_report_flags_disconnected_design(spark):
+    # two examinees answer disjoint CA items: the key-derived 'ca' component is split
+    rows = [("m1", "english_ca", i, i % 2 == 0) for i in range(4)] + \
+           [("m2", "greek_ca", 10 + i, i % 2 == 0) for i in range(4)]
+    resp = M.irt_responses(spark.createDataFrame(rows, "model string, subset string, item long, correct boolean"))
+    rep = M.component_report(M.irt_components(resp)).collect()
+    assert len(rep) == 2 and {r.status for r in rep} == {"split"} and {r.key_component for r in rep} == {"ca"}
