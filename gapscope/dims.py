@@ -164,7 +164,7 @@ def dim_country_native(spark: SparkSession) -> DataFrame:
 
 
 def split_subset_name(subset: str) -> tuple[str, str]:
-    """Python twin of :func:`gapscope.functions.names.subset_parts` for literals."""
+    """Python twin of :func:`gapscope.functions.names.subset_locale` / ``subset_kind`` for literals."""
     for kind in ("cs_en", "cs", "ca", "cs_mix", "en_mix"):
         if subset.endswith("_" + kind):
             return subset[: -len(kind) - 1], kind
