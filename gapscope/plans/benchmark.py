@@ -13,7 +13,7 @@ from gapscope.sources.tables import table
 ITEMS = {"it": B.ITEMS_SQL}
 REPLIES = {"rp": B.LABEL_REPLIES_SQL}
 
-# DuckDB twin of parse_label_reply (JSON truthiness of the key; failures -> 0)
+# DuckDB twin of parse_labels (JSON truthiness of the key; failures -> 0)
 PARSE_SQL = r"""
 , t0 AS (SELECT *, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS t FROM rp)
 , t1 AS (SELECT *, CASE WHEN contains(t, '```') AND regexp_extract(t, '(?s)\{.*?\}', 0) <> ''
@@ -222,16 +222,16 @@ def _translation_replies(spark, sf_dir):
     """Replies for the items: sentences upper-cased as the 'translation'; every
     7th reply carries a stray inner quote and a raw newline (repairable), every
     11th is a refusal without JSON (unrepairable)."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
-    parts = F.split("text", r"\. ")
+    d = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("_parts", F.split("text", r"\. "))
+    parts = F.col("_parts")
     fields = F.struct(F.upper("text").alias("question"),
                       *[F.upper(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))).alias(f)
                         for i, f in enumerate(["option_a", "option_b", "option_c", "option_d"])])
-    js = F.to_json(fields)
-    broken = F.regexp_replace(js, r'^\{"question":"', '{"question":"say "hi"\n ')
+    d = d.withColumn("_js", F.to_json(fields))          # staged: referenced by two branches below
+    broken = F.regexp_replace("_js", r'^\{"question":"', '{"question":"say "hi"\n ')
     reply = (F.when(F.col("doc_id") % 11 == 0, F.lit("I cannot translate this item."))
              .when(F.col("doc_id") % 7 == 0, F.concat(F.lit("```json\n"), broken, F.lit("\n```")))
-             .otherwise(F.concat(F.lit("Here you go: "), js)))
+             .otherwise(F.concat(F.lit("Here you go: "), F.col("_js"))))
     return d.select(F.col("doc_id").alias("pos"), reply.alias("reply"))
 
 
