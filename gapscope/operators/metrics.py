@@ -18,6 +18,16 @@ from gapscope.functions.names import subset_kind, subset_locale
 
 COUNT_COLS = ["n", "n_correct", "n_abstained", "n_conf_wrong"]
 
+_PERSISTED: list[DataFrame] = []
+
+
+def release_persisted() -> int:
+    """Unpersist the small pivot tables the gap operators cached; returns how many."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+    return n
+
 
 # ---------------------------------------------------------------------------
 # A1 subset_metrics, A2 top_rank_rates
@@ -118,6 +128,7 @@ def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str]
     s = long.where(F.col("metric") == metric).select("model", "country", "subset", "value")
     wide = s.groupBy("model", "country").pivot("subset", subsets).agg(F.first("value")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(wide)           # released with release_persisted()
     seen = wide.agg(*[F.max(F.col(c).isNotNull()).alias(f"_{i}") for i, c in enumerate(subsets)]).first()
     present = {c: bool(seen[f"_{i}"]) for i, c in enumerate(subsets)}
     name = {"base": lambda loc: baseline, "ca": lambda loc: f"{loc}_ca", "cs": lambda loc: f"{loc}_cs",

@@ -64,3 +64,11 @@ def test_drop_low_models(spark):
     rep = M.drop_low_report(long, 0.25).first()
     assert (rep.removed, rep.kept) == (2, 1)
     assert {r.model for r in M.drop_low_models(long, 0.0).collect()} == {"a", "b"}   # all-missing row removed
+
+
+def test_release_persisted(spark):
+    long = _long(spark, [("m", "c", "english_ca", 0.5), ("m", "c", "greek_ca", 0.4), ("m", "c", "greek_cs", 0.3),
+                         ("m", "c", "greek_cs_en", 0.2)])
+    M.accuracy_gaps(long).collect()
+    assert M.release_persisted() >= 1
+    assert M.release_persisted() == 0
