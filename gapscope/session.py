@@ -24,6 +24,7 @@ def build_session(master: str | None = None, app: str = "gapscope",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
@@ -40,9 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints and intermediate tables.
 
     Uses the directory already set on the context or ``spark.checkpoint.dir``.
-    Only a local-mode session (tests, the bench) may fall back to a fresh
-    scratch folder; on a cluster a machine-local folder would not survive the
-    loss of an executor, so an unset directory is an error there.
+    Only an in-process session (``local`` / ``local[n]``: tests, the bench) may
+    fall back to a fresh scratch folder; with executors of their own a
+    machine-local folder would not survive the loss of one, so an unset
+    directory is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="gapscope-ckpt-"))
     return sc.getCheckpointDir()
@@ -70,9 +72,6 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_SHIPPED: set = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``gapscope`` importable on executors (Python UDF workers).
 
@@ -80,11 +79,10 @@ def ship_package(spark: SparkSession) -> None:
     the same as ``--py-files`` would; a no-op when already shipped.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
-    if key in _SHIPPED:
+    if getattr(sc, "_gapscope_shipped", False):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="gapscope-pyfiles-"), "gapscope.zip")
+    out = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="gapscope-pyfiles-")), "gapscope.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             for f in files:
@@ -92,4 +90,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(key)
+    sc._gapscope_shipped = True
