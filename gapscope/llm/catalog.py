@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import secrets
+from gapscope.llm import secrets, simhash
 from gapscope.llm.common import table
 
 QUERIES: dict = {}
@@ -23,3 +23,12 @@ def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_secret_linking"] = op7_secret_linking
+
+
+def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+QUERIES["op10_simhash_gray"] = op10_simhash_gray
