@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import secrets, simhash
+from gapscope.llm import langid, secrets, simhash
 from gapscope.llm.common import table
 
 QUERIES: dict = {}
@@ -32,3 +32,13 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_simhash_gray"] = op10_simhash_gray
+
+
+def op8_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"))
+    found = langid.predict(docs.select("doc_id", "held_out", "text"), model, "text")
+    return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score", "rejected")
+
+
+QUERIES["op8_nearest_centroid"] = op8_nearest_centroid
