@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import langid, secrets, simhash
+from gapscope.llm import decontaminate, langid, secrets, simhash
 from gapscope.llm.common import table
 
 QUERIES: dict = {}
@@ -42,3 +42,10 @@ def op8_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_nearest_centroid"] = op8_nearest_centroid
+
+
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op4_spaced_seeds"] = op4_spaced_seeds
