@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import decontaminate, langid, secrets, simhash
+from gapscope.llm import bpe, decontaminate, langid, secrets, simhash
 from gapscope.llm.common import table
 
 QUERIES: dict = {}
@@ -49,3 +50,10 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_spaced_seeds"] = op4_spaced_seeds
+
+
+def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_and_decoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES["op2_prefix_bpe"] = op2_prefix_bpe
