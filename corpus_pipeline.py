@@ -1,7 +1,62 @@
-"""The corpus pipeline: documents in, token ids out, one operator a stage."""
-STAGES = []
+"""The corpus pipeline: documents in, token ids out, one operator a stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes
+as Parquet in the shared checkpoint folder and reads again as the next stage's
+``docs``.  All stages but the last return the columns of ``documents``; rows with
+nulls, empty texts, repeated rows and additional columns pass by the rules that the
+operators state.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gapscope.llm import bpe, decontaminate, langid, secrets, simhash
+from gapscope.llm.common import staged, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is recognised."""
+    return langid.keep_recognised(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each SimHash group: the one of least id."""
+    return simhash.keep_one(docs, shingle=4, distance=4)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that overlap with a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps all documents; secrets in their texts are replaced, lengths follow."""
+    out = secrets.redact_secrets(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of the ids and of the text decoded from them."""
+    return bpe.encoded_and_decoded(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("tokens", tokens),
+]
+
+#: Language ID, SimHash groups and BPE are not expressible in SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
