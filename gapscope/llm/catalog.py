@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, decontaminate, langid, secrets, simhash
-from gapscope.llm.common import table
+from gapscope.llm import bpe, decontaminate, langid, secrets, simhash, tokenfile
+from gapscope.llm.common import fresh_path, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,12 @@ def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_prefix_bpe"] = op2_prefix_bpe
+
+
+def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfile.read_token_files(spark, path)
+
+
+QUERIES["op1_rans_tokens"] = op1_rans_tokens
