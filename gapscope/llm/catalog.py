@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, decontaminate, langid, mtree, secrets, simhash, tokenfile
+from gapscope.llm import bpe, decontaminate, langid, maintext, mtree, secrets, simhash, tokenfile
 from gapscope.llm.common import fresh_path, table
 
 QUERIES: dict = {}
@@ -89,3 +89,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 5
 """
+
+
+def op6_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op6_min_cut_text"] = op6_min_cut_text
