@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, decontaminate, langid, maintext, mtree, secrets, simhash, tokenfile
+from gapscope.llm import bpe, decontaminate, langid, maintext, mtree, secrets, simhash, tokenfile, warc
 from gapscope.llm.common import fresh_path, table
 
 QUERIES: dict = {}
@@ -96,3 +96,13 @@ def op6_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_min_cut_text"] = op6_min_cut_text
+
+
+def op9_revisit_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "url", "target_id", "state", warc.header_text(F.col("headers")).alias("headers"),
+                        F.col("payload.digest").alias("payload_digest"), F.col("payload.n_chars").alias("payload_chars"))
+
+
+QUERIES["op9_revisit_asof"] = op9_revisit_asof
+ORACLES["op9_revisit_asof"] = warc.ORACLE
