@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, decontaminate, langid, maintext, mtree, secrets, simhash, tokenfile, warc
+from gapscope.llm import backoff, bpe, decontaminate, langid, maintext, mtree, secrets, simhash, tokenfile, warc
 from gapscope.llm.common import fresh_path, table
 
 QUERIES: dict = {}
@@ -106,3 +106,10 @@ def op9_revisit_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op9_revisit_asof"] = op9_revisit_asof
 ORACLES["op9_revisit_asof"] = warc.ORACLE
+
+
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_stupid_backoff"] = op3_stupid_backoff
