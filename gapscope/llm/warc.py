@@ -11,7 +11,7 @@ before a revisit, and for revisits without one the last of the slots before, fou
 window over one row per URL and slot.  So a URL that holds a third of all
 records is spread over its slots, and no task orders more than a slot of a URL.
 
-Null URLs, records without time and revisits before any response are
+A revisit without id comes before all responses of its second; null URLs, records without time and revisits before any response are
 ``no_earlier_response``; a revisit without validators is ``no_validator``; repeated
 records are resolved one by one; an empty table gives an empty table.
 """

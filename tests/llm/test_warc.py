@@ -30,7 +30,7 @@ def brute(rows):
         if status != 304:
             continue
         url = canonical(uri)
-        earlier = [r for r in rows if r[3] == 200 and url is not None and canonical(r[1]) == url and None not in (r[2], at, r[0], i) and (r[2], r[0]) < (at, i)]
+        earlier = [r for r in rows if r[3] == 200 and url is not None and canonical(r[1]) == url and None not in (r[2], at, r[0]) and (r[2], r[0]) < (at, -1 if i is None else i)]
         if not earlier:
             out.append((i, url, None, "no_earlier_response", None, None))
             continue
