@@ -78,4 +78,4 @@ def test_empty_and_null_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.resolve_revisits(warc.records_of_pages(empty)).count() == 0
     odd = spark.createDataFrame([(None, None, None), (1, None, None), (2, "http://x", None)], "page_id long, url string, html string")
-    assert {r.state for r in warc.resolve_revisits(warc.records_of_pages(odd)).collect()} <= {"no_earlier_response", "resolved", "validator_mismatch"}
+    assert {r.state for r in warc.resolve_revisits(warc.records_of_pages(odd)).collect()} <= {"no_earlier_response", "no_validator", "resolved", "validator_mismatch"}
