@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from gapscope.dims import ABSTAIN_LETTER
 from gapscope.functions.names import col_
+from gapscope.operators.shortqa import strip_ws
 
 
 def normalize_gold(c="answer") -> Column:
     """``strip().upper()`` — Unicode whitespace, not only spaces."""
-    return F.upper(F.regexp_replace(col_(c), r"^\s+|\s+$", ""))
+    return F.upper(strip_ws(c))
 
 
 def score_choice(df: DataFrame, pred="pred", gold="gold", abstain: str = ABSTAIN_LETTER) -> DataFrame:

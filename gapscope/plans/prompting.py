@@ -117,12 +117,13 @@ def q_flag_instruct(spark, sf_dir):
 
 
 @register("normalize_gold", f"""
-SELECT item_id, upper(replace(regexp_replace(' ' || text || chr(10), '^\\s+|\\s+$', '', 'g'),
+SELECT item_id, upper(replace(regexp_replace(chr(160) || chr(12288) || ' ' || text || chr(10) || chr(8195),
+                                     '^[\\s\\x{{A0}}\\x{{2003}}\\x{{3000}}]+|[\\s\\x{{A0}}\\x{{2003}}\\x{{3000}}]+$', '', 'g'),
                               'ß', 'SS')) AS gold  -- full case mapping as in Python / the JVM
 FROM benchmark""")
 def q_normalize_gold(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark", "item_id", "text")
-    raw = F.concat(F.lit(" "), F.col("text"), F.lit("\n"))
+    raw = F.concat(F.lit("\u00a0\u3000 "), F.col("text"), F.lit("\n\u2003"))
     return b.select("item_id", normalize_gold(raw).alias("gold"))
 
 

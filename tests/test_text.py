@@ -52,3 +52,9 @@ def test_qa_did_missing_cell_is_zero(spark):
     r = Q.qa_did(cells).first()
     assert r.did_accuracy == pytest.approx((0.8 - 0.6) - (0.0 - 0.5))
     assert r.cells_present == "global__en,global__zh,local_cn__zh"
+
+
+def test_gold_strips_all_white_space(spark):
+    from gapscope.operators.scoring import normalize_gold
+    df = spark.createDataFrame([("\u00a0a\u3000",), (" b\n",), ("\u2003c d\u2028",)], "answer string")
+    assert [r.g for r in df.select(normalize_gold().alias("g")).collect()] == ["A", "B", "C D"]
