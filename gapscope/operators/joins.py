@@ -42,9 +42,9 @@ def upsert_predictions(old: DataFrame, new: DataFrame, keys=("model", "subset"))
 def overlay_scores(base: DataFrame, overlay: DataFrame) -> DataFrame:
     """Every key of an overlay file overrides the base file of the same name.
 
-    Overlay files without a base file are ignored.
+    Overlay files without a base file are ignored; the model is the base file's.
     """
-    o = overlay.join(base.select("file").distinct(), "file", "left_semi")
+    o = overlay.drop("model").join(base.select("file", "model").distinct(), "file")
     keys = ["file", "metric", "subset"]
     return base.join(o.select(*keys), keys, "left_anti").unionByName(o.select(*base.columns))
 
@@ -114,12 +114,16 @@ def merge_cs_en_scores(cs: DataFrame, en: DataFrame, ref: DataFrame | None = Non
     One pass: both sides are unioned and every row is judged against the
     flags of its (file, metric, locale) group — a window over groups of a
     handful of rows (one per kind and side), so no group can be large.
-    Rows keep ``side`` (0 = CS, 1 = EN) and ``pos`` for the interleaved order.
+    (file, metric, group_side, group_pos, side, pos) is the merged file's order:
+    each CS locale's rows, then its EN row; locales that only EN has come last.
     """
     files = (ref if ref is not None else cs).select("file").distinct()
     cols = ["file", "model", "subset", "metric", "value", "pos"]
     c = _restrict(cs.join(files, "file", "left_semi"), ref).select(*cols, F.lit(0).alias("side"))
     e = _restrict(en.join(files, "file", "left_semi"), ref).select(*cols, F.lit(1).alias("side"))
+    # the CS file names the model; a file that only EN has keeps EN's
+    named = cs.groupBy("file").agg(F.min("model").alias("_model"))
+    e = e.join(named, "file", "left").withColumn("model", F.coalesce("_model", "model")).drop("_model")
     u = c.unionByName(e).withColumn("_b", strip_cs_suffix("subset"))
     w = Window.partitionBy("file", "metric", "_b")
     is_cs = F.col("side") == 0
@@ -129,11 +133,14 @@ def merge_cs_en_scores(cs: DataFrame, en: DataFrame, ref: DataFrame | None = Non
         "_cs_any": flag(is_cs),
         "_cs_pair": flag(is_cs & ((F.col("subset") == F.concat("_b", F.lit("_cs"))) | (F.col("subset") == twin))),
         "_en_twin": flag(~is_cs & (F.col("subset") == twin)),
+        # where the locale's rows stand in the merged file: its first CS position; EN-only locales follow
+        "group_side": F.min("side").over(w),
+        "group_pos": F.coalesce(F.min(F.when(is_cs, F.col("pos"))).over(w), F.min("pos").over(w)),
     })
     is_twin = F.col("subset").endswith("_cs_en") & (F.col("subset") == twin)
     keep = (F.when(is_cs, ~(is_twin & F.col("_en_twin")))
             .otherwise(F.when(is_twin, F.col("_cs_pair") | ~F.col("_cs_any")).otherwise(~F.col("_cs_any"))))
-    return u.where(keep).select(*cols, "side")
+    return u.where(keep).select(*cols, "side", "group_side", "group_pos")
 
 
 def merge_cs_en_predictions(cs: DataFrame, en: DataFrame, ref: DataFrame | None = None) -> DataFrame:

@@ -51,13 +51,14 @@ def _side(spark, sf_dir, batch):
 @register("overlay_scores", with_ctes(BL_CTES, """
 , base AS (SELECT file, model, subset, pos, metric, value FROM bl WHERE batch = 'base')
 , o AS (SELECT file, model, subset, pos, metric, value FROM bl
-        WHERE batch = 'overlay' AND right(subset, 3) = '_ca' AND file IN (SELECT file FROM base))
-SELECT * FROM base b WHERE NOT EXISTS (
-  SELECT 1 FROM o WHERE o.file = b.file AND o.metric = b.metric AND o.subset = b.subset)
+        WHERE batch = 'overlay' AND file IN (SELECT file FROM base))
+SELECT b.* FROM base b LEFT JOIN (SELECT file, metric, subset, 1 AS hit FROM o) k
+  ON k.file = b.file AND k.metric = b.metric AND k.subset = b.subset WHERE k.hit IS NULL
 UNION ALL SELECT * FROM o"""))
 def q_overlay_scores(spark, sf_dir):
     base = _side(spark, sf_dir, "base")
-    overlay = _side(spark, sf_dir, "overlay").where(F.col("subset").endswith("_ca"))
+    # another run's files name the model differently; the base file's name stays
+    overlay = _side(spark, sf_dir, "overlay").withColumn("model", F.concat(F.lit("local/"), "model"))
     return J.overlay_scores(base, overlay)
 
 
@@ -126,7 +127,8 @@ def q_merge_cs_en_scores(spark, sf_dir):
     bl = batch_long(spark, sf_dir)
     cs = bl.where((F.col("batch") == "base") & ~F.col("subset").endswith("_cs_en")).drop("batch")
     en = bl.where((F.col("batch") == "overlay") & F.col("subset").endswith("_cs_en")).drop("batch")
-    return J.merge_cs_en_scores(cs, en, ref=cs)
+    en = en.withColumn("model", F.concat(F.lit("local/"), "model"))
+    return J.merge_cs_en_scores(cs, en, ref=cs).drop("group_side", "group_pos")
 
 
 @register("merge_cs_en_predictions", with_ctes(BASE_CTES, f"""

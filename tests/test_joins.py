@@ -66,3 +66,13 @@ def test_attach_ca(spark):
                                 ("f", "m", "hindi_ca", 0.3)], S)
     out = dict(rows(J.attach_ca(cs, ca), "subset", "value"))
     assert out == {"english_ca": 0.7, "greek_ca": 0.8, "greek_cs": 0.5, "greek_cs_en": 0.6}
+
+
+def test_model_names_come_from_the_base_file(spark):
+    base = spark.createDataFrame([("f", "m/base", "greek_cs", "accuracy", 0.5, 3), ("f", "m/base", "hindi_cs", "accuracy", 0.4, 1)], SC)
+    other = spark.createDataFrame([("f", "local/m", "greek_cs_en", "accuracy", 0.6, 0), ("f", "local/m", "hindi_cs_en", "accuracy", 0.7, 2),
+                                   ("f", "local/m", "korean_cs_en", "accuracy", 0.1, 1), ("f", "local/m", "greek_cs", "accuracy", 0.9, 5)], SC)
+    assert {r.model for r in J.overlay_scores(base, other).collect()} == {"m/base"}
+    out = J.merge_cs_en_scores(base, other.where("subset <> 'greek_cs'")).orderBy("file", "metric", "group_side", "group_pos", "side", "pos").collect()
+    assert [r.subset for r in out] == ["hindi_cs", "hindi_cs_en", "greek_cs", "greek_cs_en", "korean_cs_en"]
+    assert {r.model for r in out} == {"m/base"}
