@@ -9,7 +9,7 @@ variant list (models, not responses, so it is small; AQE broadcasts it).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapscope.dims import literal_array
@@ -40,11 +40,15 @@ def log_softmax(logits="logits") -> Column:
 def top_k_tokens(log_probs="log_probs", k: int = 5) -> Column:
     """array<struct<rank, token_id, log_prob, prob>> of the k best tokens.
 
-    Ties go to the lower token id.  Per-row sort of the vocab array; for
-    vocab-long tables use ``row_number() <= k`` (WindowGroupLimit) instead.
+    Ties go to the lower token id.  One pass over the vocab array that keeps k
+    entries; only a token above the least of them makes these few be sorted anew.
     """
-    keyed = F.transform(col_(log_probs), lambda v, i: F.struct(v.alias("lp"), (-i).alias("neg_id")))
-    best = F.slice(F.sort_array(keyed, asc=False), 1, k)
+    entry = "struct<lp:double,neg_id:int>"
+    keyed = F.transform(col_(log_probs), lambda v, i: F.struct(v.cast("double").alias("lp"), (-i).alias("neg_id")))
+    best = F.aggregate(
+        keyed, F.array().cast(f"array<{entry}>"),
+        lambda kept, x: F.when((F.size(kept) < k) | (x > F.element_at(kept, -1)),
+                               F.slice(F.sort_array(F.array_append(kept, x), asc=False), 1, k)).otherwise(kept))
     return F.transform(best, lambda s, i: F.struct(
         (i + 1).alias("rank"), (-s["neg_id"]).alias("token_id"),
         s["lp"].alias("log_prob"), F.exp(s["lp"]).alias("prob")))
@@ -54,25 +58,25 @@ def top_k_tokens(log_probs="log_probs", k: int = 5) -> Column:
 # C3 / C4 resolve_variants
 # ---------------------------------------------------------------------------
 
-def resolve_variants(tokens: DataFrame, mode: str = "all") -> DataFrame:
+def resolve_variants(tokens: DataFrame, mode: str = "all", letters: list[str] = LETTERS) -> DataFrame:
     """Working answer-token variants per model.
 
     ``tokens``: (model, prefix, letter, token_ids array<int>) — the encoding
-    of ``prefix + letter``.  A prefix works iff every letter encodes to one
-    token.  mode 'all': every working prefix of (" ", ""); mode 'first': the
+    of ``prefix + letter``.  A prefix works iff every one of ``letters`` encodes
+    to one token (five letters for the form with an abstain option).  mode 'all': every working prefix of (" ", ""); mode 'first': the
     first working prefix of (" ", "", "\\n").  A model with no working prefix
     raises at run time.
     Returns (model, prefix, prefix_ord, letter, letter_ord, token_id).
     """
     order = PREFIXES_ALL if mode == "all" else PREFIXES_FIRST
     pord = F.array_position(literal_array(order), F.col("prefix")) - 1
-    lord = F.array_position(literal_array(LETTERS), F.col("letter")) - 1
+    lord = F.array_position(literal_array(letters), F.col("letter")) - 1
     t = tokens.withColumns({"prefix_ord": pord, "letter_ord": lord}).where(
         (F.col("prefix_ord") >= 0) & (F.col("letter_ord") >= 0))
     per = t.groupBy("model", "prefix", "prefix_ord").agg(
         (F.max(F.size("token_ids")) == 1).alias("single"),
         F.countDistinct("letter").alias("n_letters"))
-    ok = per.where(F.col("single") & (F.col("n_letters") == len(LETTERS)))
+    ok = per.where(F.col("single") & (F.col("n_letters") == len(letters)))
     if mode == "first":
         ok = ok.groupBy("model").agg(F.min("prefix_ord").alias("prefix_ord"))
     chosen = t.join(ok.select("model", "prefix_ord"), ["model", "prefix_ord"]).select(
@@ -182,9 +186,3 @@ def overall_stats(rates: DataFrame) -> DataFrame:
     """Number of models, distinct subsets and (model, subset) pairs."""
     return rates.agg(F.countDistinct("model").alias("n_models"), F.countDistinct("subset").alias("n_subsets"),
                      F.count(F.lit(1)).alias("n_pairs"))
-
-
-def rank_window_topk(long_lp: DataFrame, k: int, key="pos") -> DataFrame:
-    """C2 long form: (key, token_id, log_prob) -> k best per key via WindowGroupLimit."""
-    w = Window.partitionBy(key).orderBy(F.desc("log_prob"), "token_id")
-    return long_lp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

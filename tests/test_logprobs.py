@@ -44,3 +44,16 @@ def test_argmax_tie_goes_to_earliest_prefix(spark):
     assert (r.argmax_prefix, r.pred, r.argmax_token_id) == (" ", "B", 1)
     assert r.argmax_is_top1 and r.argmax_is_top5
     assert r.gold_prob == pytest.approx(math.exp(5) / (math.exp(5) + 3))
+
+
+def test_five_letters_can_be_scored(spark):
+    letters = list("ABCDE")
+    tokens = spark.createDataFrame([("m", p, c, [i + (5 if p else 0)]) for p in ("", " ") for i, c in enumerate(letters)],
+                                   "model string, prefix string, letter string, token_ids array<int>")
+    logits = spark.createDataFrame([("m", "s", 0, "A", [1.0, 0.0, 0.0, 0.0, 9.0] + [0.5] * 7)], "model string, subset string, pos long, gold string, logits array<double>")
+    five = L.score_logprobs(logits, L.resolve_variants(tokens, "first", letters)).first()
+    assert five.pred in ("A", "B", "C", "D", "E") and L.resolve_variants(tokens, "all", letters).count() == 10
+    assert L.score_logprobs(logits, L.resolve_variants(tokens, "all", letters)).first().pred == "E"
+    assert L.score_logprobs(logits, L.resolve_variants(tokens, "all")).first().pred == "A"
+    top = [(t.rank, t.token_id) for t in five.top_tokens]
+    assert top == [(1, 4), (2, 0), (3, 5), (4, 6), (5, 7)]
