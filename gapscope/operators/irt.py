@@ -14,10 +14,9 @@ Fit (joint maximum likelihood, no prior):
 * components of the observed examinee-item graph (min-label propagation)
   carry the identification: theta is anchored to mean 0 per component;
 * each iteration is a damped Newton step for every theta (items fixed), then
-  for every b (thetas fixed): ``responses x theta x b`` joins with the
-  parameter tables broadcast when their row count is under a checked bound
-  (else sort-merge), followed by a partial+final aggregate — the response
-  table is never shuffled;
+  for every b (thetas fixed): ``responses x theta x b`` joins, broadcast only
+  where Spark's own size estimate (exact for a checkpoint) is under the
+  session's limit, followed by a partial+final aggregate;
 * parameter tables are checkpointed every iteration (small, cuts lineage:
   each step's plan references the previous tables several times, so an
   uncut plan would grow exponentially with the iteration count);
@@ -35,9 +34,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapscope.functions.components import components
 from gapscope.session import reliable_checkpoint
 
-BROADCAST_MAX_ROWS = 2_000_000   # parameter tables up to this many rows are broadcast
 STEP_CLIP = 1.0                  # damping: |Newton step| <= 1 logit
 
 
@@ -71,35 +70,26 @@ def irt_responses(scored: DataFrame) -> DataFrame:
 
 
 def _examinee(df: DataFrame) -> DataFrame:
-    return df.withColumn("e", F.concat_ws("|", "model", "subset"))
+    """Adds the examinee's name ``model|subset``; a bar within the model is escaped, so names are unique."""
+    return df.withColumn("e", F.concat_ws("|", F.regexp_replace("model", r"([\\\\|])", r"\\\\$1"), "subset"))
 
 
-def irt_components(resp: DataFrame, max_iter: int = 50) -> DataFrame:
-    """M2: connected components of the examinee-item graph by min-label propagation.
+def irt_components(resp: DataFrame) -> DataFrame:
+    """M2: connected components of the examinee-item graph.
 
     Returns (node, kind 'e'|'i', component) with component = smallest item key
-    reachable.  Each round is two joins + two aggregates; it stops when no
-    label changes (a driver-side count).
+    reachable.  Star steps until nothing changes: the number of rounds grows with
+    the logarithm of the longest chain, and there is no cap on it.
     """
-    edges = reliable_checkpoint(_examinee(resp).select("e", F.col("item_key").alias("i")).distinct())
-    lab_i = reliable_checkpoint(edges.select("i").distinct().withColumn("li", F.col("i")))
-    lab_e = reliable_checkpoint(edges.groupBy("e").agg(F.min("i").alias("le")))
-    n_e, n_i = lab_e.count(), lab_i.count()
-    for _ in range(max_iter):
-        # label tables are broadcast below a checked row count, so the
-        # edge table (response-sized) is scanned, never shuffled
-        new_i = (edges.join(_maybe_broadcast(lab_e, n_e), "e").groupBy("i").agg(F.min("le").alias("m"))
-                 .join(lab_i, "i").select("i", F.least("m", "li").alias("li")))
-        new_e = edges.join(_maybe_broadcast(new_i, n_i), "i").groupBy("e").agg(F.min("li").alias("le"))
-        new_i, new_e = reliable_checkpoint(new_i), reliable_checkpoint(new_e)
-        changed = (new_e.join(lab_e.withColumnRenamed("le", "old"), "e")
-                   .where(F.col("le") != F.col("old")).limit(1).count())
-        lab_i, lab_e = new_i, new_e
-        if changed == 0:
-            break
-    return (lab_e.select(F.col("e").alias("node"), F.lit("e").alias("kind"), F.col("le").alias("component"))
-            .unionByName(lab_i.select(F.col("i").alias("node"), F.lit("i").alias("kind"),
-                                      F.col("li").alias("component"))))
+    # items sort before examinees, so the least node of a component is its smallest item
+    edges = _examinee(resp).select(F.concat(F.lit("i"), "item_key").alias("i"), F.concat(F.lit("~"), "e").alias("e")).distinct()
+    edges = reliable_checkpoint(edges)
+    found = components(edges)
+    roots = found.select(F.col("root").alias("node"), "root").distinct()
+    nodes = found.unionByName(roots)
+    return nodes.select(F.expr("substr(node, 2)").alias("node"),
+                        F.when(F.col("node").startswith("~"), "e").otherwise("i").alias("kind"),
+                        F.expr("substr(root, 2)").alias("component"))
 
 
 def component_report(components: DataFrame) -> DataFrame:
@@ -144,62 +134,52 @@ class RaschFit:
     converged: bool = False
 
 
-def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_MAX_ROWS else df
-
-
-def trim_extremes(resp: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Drop all-right / all-wrong examinees and items until none is left.
+def trim_extremes(resp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drop all-right / all-wrong examinees and items until none is left (no cap on the rounds).
 
     Returns (kept responses (e, i, y), excluded (kind, node, reason, round)).
+    Each round reads the responses that the round before kept.
     """
-    spark = resp.sparkSession
     cur = resp
-    excluded = []
-    for rnd in range(max_rounds):
-        ex = (cur.groupBy("e").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
-              .where((F.col("s") == 0) | (F.col("s") == F.col("n")))
-              .select(F.lit("e").alias("kind"), F.col("e").alias("node"),
-                      F.when(F.col("s") == 0, "all_wrong").otherwise("all_right").alias("reason")))
-        it = (cur.groupBy("i").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
-              .where((F.col("s") == 0) | (F.col("s") == F.col("n")))
-              .select(F.lit("i").alias("kind"), F.col("i").alias("node"),
-                      F.when(F.col("s") == 0, "all_wrong").otherwise("all_right").alias("reason")))
-        bad = reliable_checkpoint(ex.unionByName(it).withColumn("round", F.lit(rnd)))
-        if bad.limit(1).count() == 0:
-            break
-        excluded.append(bad)
-        # the dropped sets are small (checked by the count above being cheap
-        # aggregates); anti-joins keep the lineage short, the caller
-        # checkpoints the final responses once
-        cur = (cur.join(bad.where(F.col("kind") == "e").select(F.col("node").alias("e")), "e", "left_anti")
-               .join(bad.where(F.col("kind") == "i").select(F.col("node").alias("i")), "i", "left_anti"))
-    empty = spark.createDataFrame([], "kind string, node string, reason string, round int")
-    out = empty
-    for x in excluded:
-        out = out.unionByName(x)
-    return cur, out
-
-
-def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 100, components: DataFrame | None = None
+    excluded = resp.sparkSession.createDataFrame([], "kind string, node string, reason string, round int")
+    rnd = 0
+    while True:
+        def extreme(kind: str, rows: DataFrame = cur, at: int = rnd) -> DataFrame:
+            s = rows.groupBy(kind).agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
+            return s.where((F.col("s") == 0) | (F.col("s") == F.col("n"))).select(
+                F.lit(kind).alias("kind"), F.col(kind).alias("node"),
+                F.when(F.col("s") == 0, "all_wrong").otherwise("all_right").alias("reason"), F.lit(at).alias("round"))
+        bad = reliable_checkpoint(extreme("e").unionByName(extreme("i")))
+        if bad.isEmpty():
+            return cur, excluded
+        excluded = excluded.unionByName(bad)
+        cur = reliable_checkpoint(
+            cur.join(bad.where(F.col("kind") == "e").select(F.col("node").alias("e")), "e", "left_anti")
+            .join(bad.where(F.col("kind") == "i").select(F.col("node").alias("i")), "i", "left_anti"))
+        rnd += 1
+
+
+class NotConverged(RuntimeError):
+    """The fit's steps did not get below the tolerance within the allowed iterations."""
+
+
+def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 500, known_components: DataFrame | None = None
               ) -> RaschFit:
     """M4 (+M5 anchor, M6 convergence): joint MLE by alternating damped Newton steps.
 
     ``resp``: (model, subset, item_key, y).  Stops when the largest parameter
-    step is below ``tol`` or after ``max_iter`` iterations; the loss (M3) and
-    the step size of every iteration are in ``log``.
+    step is below ``tol``; ``NotConverged`` is raised if that takes more than
+    ``max_iter`` iterations.  The loss (M3, at the parameters a step starts from)
+    and the size of every step are in ``log``.
     """
-    r0 = _examinee(resp).select("e", "model", "subset", F.col("item_key").alias("i"), F.col("y").cast("int"))
-    r0 = reliable_checkpoint(r0)
-    kept, excluded = trim_extremes(r0.select("e", "i", "y"))
-    r = reliable_checkpoint(kept)
+    named = _examinee(resp).select("e", "model", "subset", F.col("item_key").alias("i"), F.col("y").cast("int").alias("y"))
+    r0 = reliable_checkpoint(named)
+    names = r0.groupBy("e").agg(F.first("model").alias("model"), F.first("subset").alias("subset"))
+    r, excluded = trim_extremes(r0.select("e", "i", "y"))
     # observed components (M2) on the trimmed graph; theta anchored per component
-    if components is None:
-        comp = irt_components(r.select(F.split("e", r"\|").getItem(0).alias("model"),
-                                       F.split("e", r"\|").getItem(1).alias("subset"),
-                                       F.col("i").alias("item_key"), "y"))
-    else:
-        comp = components
+    comp = known_components
+    if comp is None:
+        comp = irt_components(r.join(names, "e").select("model", "subset", F.col("i").alias("item_key"), "y"))
     comp_e = comp.where(F.col("kind") == "e").select(F.col("node").alias("e"), "component")
     comp_i = comp.where(F.col("kind") == "i").select(F.col("node").alias("i"), "component")
 
@@ -207,34 +187,37 @@ def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 100, component
                                   .join(comp_e, "e"))
     stats_i = reliable_checkpoint(r.groupBy("i").agg(F.sum("y").alias("score"), F.count(F.lit(1)).alias("n"))
                                   .join(comp_i, "i"))
-    n_e, n_i = stats_e.count(), stats_i.count()
     # start: logit of the examinee's proportion right; b from the item's proportion right
     theta = stats_e.select("e", F.log(F.col("score") / (F.col("n") - F.col("score"))).alias("theta"))
     b = stats_i.select("i", (-F.log(F.col("score") / (F.col("n") - F.col("score")))).alias("b"))
     theta, b = reliable_checkpoint(theta), reliable_checkpoint(b)
 
     log, converged = [], False
+    p = sigmoid(F.col("theta") - F.col("b"))
+    x = F.col("theta") - F.col("b")
+    loss = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))) - F.col("y") * x
+    clipped = F.greatest(F.lit(-STEP_CLIP), F.least(F.lit(STEP_CLIP), F.col("g") / F.col("h")))
     for it in range(max_iter):
         # theta step (items fixed): one pass over the responses, partial aggregates per examinee
-        d = r.join(_maybe_broadcast(theta, n_e), "e").join(_maybe_broadcast(b, n_i), "i")
-        p = sigmoid(F.col("theta") - F.col("b"))
-        st = d.groupBy("e").agg(F.sum(F.col("y") - p).alias("g"), F.sum(p * (1 - p)).alias("h"))
-        step_t = F.greatest(F.lit(-STEP_CLIP), F.least(F.lit(STEP_CLIP), F.col("g") / F.col("h")))
+        st = r.join(theta, "e").join(b, "i").groupBy("e").agg(
+            F.sum(F.col("y") - p).alias("g"), F.sum(p * (1 - p)).alias("h"), F.sum(loss).alias("nll"))
         theta_new = reliable_checkpoint(theta.join(st, "e").select(
-            "e", (F.col("theta") + step_t).alias("theta"), F.abs(step_t).alias("step")))
+            "e", (F.col("theta") + clipped).alias("theta"), F.abs(clipped).alias("step"), "nll"))
         # b step (thetas fixed)
-        d2 = r.join(_maybe_broadcast(theta_new.select("e", "theta"), n_e), "e").join(_maybe_broadcast(b, n_i), "i")
-        sb = d2.groupBy("i").agg(F.sum(p - F.col("y")).alias("g"), F.sum(p * (1 - p)).alias("h"))
-        step_b = F.greatest(F.lit(-STEP_CLIP), F.least(F.lit(STEP_CLIP), F.col("g") / F.col("h")))
+        sb = r.join(theta_new.select("e", "theta"), "e").join(b, "i").groupBy("i").agg(
+            F.sum(p - F.col("y")).alias("g"), F.sum(p * (1 - p)).alias("h"))
         b_new = reliable_checkpoint(b.join(sb, "i").select(
-            "i", (F.col("b") + step_b).alias("b"), F.abs(step_b).alias("step")))
-        max_step = (theta_new.select("step").unionByName(b_new.select("step"))
-                    .agg(F.max("step")).first()[0] or 0.0)
+            "i", (F.col("b") + clipped).alias("b"), F.abs(clipped).alias("step")))
+        at = (theta_new.select("step", "nll").unionByName(b_new.select("step", F.lit(0.0).alias("nll")))
+              .agg(F.max("step").alias("step"), F.sum("nll").alias("nll")).first())
         theta, b = theta_new.select("e", "theta"), b_new.select("i", "b")
-        log.append({"iter": it, "max_step": float(max_step)})
+        max_step = at.step or 0.0
+        log.append({"iter": it, "max_step": float(max_step), "nll": float(at.nll or 0.0)})
         if max_step < tol:
             converged = True
             break
+    if not converged:
+        raise NotConverged(f"largest step {log[-1]['max_step']:.3g} after {max_iter} iterations, tolerance {tol:g}")
     # M5: anchor once at the end — the likelihood only depends on theta - b,
     # so shifting a component's thetas and bs by its mean theta changes nothing else
     mean_t = theta.join(comp_e, "e").groupBy("component").agg(F.avg("theta").alias("mt"))
@@ -242,23 +225,11 @@ def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 100, component
                                 .select("e", (F.col("theta") - F.col("mt")).alias("theta")))
     b = reliable_checkpoint(b.join(comp_i, "i").join(mean_t, "component")
                             .select("i", (F.col("b") - F.col("mt")).alias("b")))
-    nll = rasch_nll_eib(r, theta, b, n_e, n_i)
-    if log:
-        log[-1]["nll"] = nll
-    theta_out = (theta.join(stats_e, "e").select(
-        F.split("e", r"\|").getItem(0).alias("model"), F.split("e", r"\|").getItem(1).alias("subset"),
-        "component", "theta", "score", "n"))
+    theta_out = theta.join(stats_e, "e").join(names, "e").select("model", "subset", "component", "theta", "score", "n")
     b_out = b.join(stats_i, "i").select(F.col("i").alias("item_key"), "component", "b", "score", "n")
     return RaschFit(theta_out, b_out, excluded, log, converged)
 
 
-def rasch_nll_eib(r: DataFrame, theta: DataFrame, b: DataFrame, n_e: int, n_i: int) -> float:
-    d = r.join(_maybe_broadcast(theta, n_e), "e").join(_maybe_broadcast(b, n_i), "i")
-    x = F.col("theta") - F.col("b")
-    soft = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-    return float(d.agg(F.sum(soft - F.col("y") * x)).first()[0] or 0.0)
-
-
 def rasch_converged(log: list, window: int = 100, rel_tol: float = 1e-5) -> bool:
     """M6 (reference rule): relative loss change over ``window`` steps below ``rel_tol``."""
     losses = [x["nll"] for x in log if "nll" in x]
@@ -288,15 +259,16 @@ def theta_gaps(theta: DataFrame, dim_model: DataFrame | None = None) -> DataFram
 
 def theta_gaps_standardized(theta: DataFrame, dim_model: DataFrame | None = None) -> DataFrame:
     """M8 (our definition, the study gives none): each within-component gap
-    divided by the population SD of theta in its component, then
+    divided by the population SD of theta in the examinee's own component
+    (its ``<locale>_ca`` or ``<locale>_cs`` row's), then
     knowledge = local_std - global_std.  Raw gaps are kept beside it."""
     g = theta_gaps(theta, dim_model)
     sd = theta.groupBy("component").agg(F.stddev_pop("theta").alias("sd"))
-    sd_ca = sd.where(F.col("component").startswith("ca::")).agg(F.max("sd").alias("sd_ca"))
-    comp_of = theta.where(F.col("subset").endswith("_cs")).select(
-        F.regexp_extract("subset", r"^(.+?)_cs$", 1).alias("locale"), "component").distinct()
-    sd_cs = comp_of.join(sd, "component").groupBy("locale").agg(F.max("sd").alias("sd_cs"))
-    out = g.join(sd_cs, "locale", "left").join(F.broadcast(sd_ca), how="left")
+    own = theta.join(sd, "component").select(
+        "model", F.regexp_extract("subset", r"^(.+?)_(ca|cs)$", 1).alias("locale"),
+        F.regexp_extract("subset", r"^(.+?)_(ca|cs)$", 2).alias("kind"), "sd")
+    of = lambda kind: own.where(F.col("kind") == kind).select("model", "locale", F.col("sd").alias(f"sd_{kind}"))
+    out = g.join(of("cs"), ["model", "locale"], "left").join(of("ca"), ["model", "locale"], "left")
     gs = F.col("global_gap") / F.col("sd_ca")
     ls = F.col("local_gap") / F.col("sd_cs")
     return out.withColumns({"global_gap_std": gs, "local_gap_std": ls, "knowledge_gap_std": ls - gs})

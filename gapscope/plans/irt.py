@@ -21,19 +21,12 @@ SELECT model, subset,
 FROM sc""",
 }
 
-_FITS: dict = {}
-
-
 def _resp(spark, sf_dir):
     return M.irt_responses(B.irt_scored(spark, sf_dir))
 
 
 def _fit(spark, sf_dir) -> M.RaschFit:
-    """One fit per (session, folder): the fit-derived queries share it."""
-    key = (id(spark), sf_dir)
-    if key not in _FITS:
-        _FITS[key] = M.rasch_fit(_resp(spark, sf_dir), tol=1e-6, max_iter=200)
-    return _FITS[key]
+    return M.rasch_fit(_resp(spark, sf_dir))
 
 
 @register("irt_responses", with_ctes(IR_CTES, "SELECT * FROM ir"))

@@ -103,3 +103,30 @@ def test_component_report_flags_disconnected_design(spark):
     resp = M.irt_responses(spark.createDataFrame(rows, "model string, subset string, item long, correct boolean"))
     rep = M.component_report(M.irt_components(resp)).collect()
     assert len(rep) == 2 and {r.status for r in rep} == {"split"} and {r.key_component for r in rep} == {"ca"}
+
+
+def test_components_of_a_long_chain_and_bars_in_names(spark):
+    n = 130
+    rows = [(f"m{i:03}", "x_ca", f"ca::{j:03}", (i + j) % 2) for i in range(n) for j in (i, i + 1)]
+    rows += [("a|b", "c_ca", "ca::900", 1), ("a", "b|c_ca", "ca::901", 1)]
+    comp = M.irt_components(spark.createDataFrame(rows, "model string, subset string, item_key string, y int"))
+    assert {r.component for r in comp.where("node like 'm%'").collect()} == {"ca::000"}
+    assert comp.where("kind = 'e'").count() == n + 2
+
+
+def test_unconverged_fit_raises_and_the_log_has_every_loss(spark):
+    with pytest.raises(M.NotConverged):
+        M.rasch_fit(_planted(spark), tol=1e-12, max_iter=2)
+    log = M.rasch_fit(_planted(spark), tol=1e-4).log
+    assert all(b["nll"] <= a["nll"] + 1e-9 for a, b in zip(log, log[1:])) and len(log) > 3
+    assert M.rasch_converged([{"nll": 5.0 + 1e-9 * i} for i in range(102)]) and not M.rasch_converged(log[:2])
+
+
+def test_trimming_goes_on_until_nothing_is_extreme(spark):
+    # a staircase: each round only its ends are all right or all wrong
+    n = 24
+    rows = [(f"e{i:02}", f"i{j:02}", int(i > j)) for i in range(n) for j in range(n) if abs(i - j) <= 2 and i != j]
+    kept, gone = M.trim_extremes(spark.createDataFrame(rows, "e string, i string, y int"))
+    for k in ("e", "i"):
+        assert kept.groupBy(k).agg(F.sum("y").alias("s"), F.count("y").alias("n")).where("s = 0 or s = n").count() == 0
+    assert gone.agg(F.max("round")).first()[0] >= 2
