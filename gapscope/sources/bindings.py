@@ -10,25 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import functools
-
 from gapscope.dims import literal_array
 from gapscope.sources.tables import table
 
 
-def _per_session(fn):
-    """Memoise a binding per (session, folder, args): DataFrames are immutable
-    plans, so reusing one saves the Python-side plan building of every query."""
-    cache: dict = {}
-
-    @functools.wraps(fn)
-    def wrapper(spark, sf_dir, *args):
-        key = (id(spark), sf_dir, args)
-        if key not in cache:
-            cache[key] = fn(spark, sf_dir, *args)
-        return cache[key]
-    return wrapper
-
 # Fixed values of the bindings (FIXTURES.md part B).
 BIND_LOCALES = ["english", "chinese", "arabic", "greek", "hindi", "indonesian", "korean"]
 BIND_COUNTRIES = ["USA", "China", "UAE", "Greece", "India", "Southeast Asian",
@@ -45,7 +30,6 @@ def _case_sql(expr: str, values: list[str], base: int = 0) -> str:
 # responses: one scored-choice row per lineitem row
 # ---------------------------------------------------------------------------
 
-@_per_session
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, subset, locale, kind, item, gold, pred, batch, pos) from lineitem.
 
@@ -88,7 +72,6 @@ WHERE locale IS NOT NULL AND kind IS NOT NULL AND (locale <> 'english' OR kind =
 """
 
 
-@_per_session
 def dim_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, country): supplier's nation key -> country of origin.
 
@@ -117,7 +100,6 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey
 BIND_LOGIT_SUBSETS = ["chinese_ca", "chinese_cs", "chinese_cs_en"]
 
 
-@_per_session
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, subset, pos, gold, logits array<float>) from embeddings."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
@@ -137,7 +119,6 @@ FROM embeddings
 """
 
 
-@_per_session
 def letter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, prefix, letter, token_ids): encodings of prefix+letter per model.
 
@@ -160,7 +141,6 @@ def letter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # items (documents + labels), label replies (events)
 # ---------------------------------------------------------------------------
 
-@_per_session
 def items(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """(pos, config, split, strat, question, claude_cs [, extra document columns]).
 
@@ -182,7 +162,6 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
 
 
-@_per_session
 def label_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, config, expected, reply): JSON label replies, some fenced, some junk."""
     ev = table(spark, sf_dir, "events", "event_id", "event_type", "props")
@@ -210,7 +189,6 @@ FROM events
 # generations (conversations), prompt items (benchmark), run plan (lineitem)
 # ---------------------------------------------------------------------------
 
-@_per_session
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short-answer responses: assistant turns of conversations.
 
@@ -243,7 +221,6 @@ FROM conversations WHERE role = 'assistant'
 """
 
 
-@_per_session
 def prompt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, subset, question, option_a..d, answer) from benchmark."""
     b = table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -268,7 +245,6 @@ SELECT item_id, locale || '_' || kind AS subset, question, option_a, option_b, o
 """
 
 
-@_per_session
 def run_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, subset): which model was run on which subset (from responses)."""
     return responses(spark, sf_dir).select("model", "subset").distinct()
@@ -281,7 +257,6 @@ RUN_PLAN_SQL = "SELECT DISTINCT model, subset FROM (" + RESPONSES_SQL + ") rr"
 # IRT responses: 20 models x 19 subsets x 40 items per subset
 # ---------------------------------------------------------------------------
 
-@_per_session
 def irt_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, subset, item, correct): one row per (model, subset, item), taken
     from the lineitem row with the smallest (l_orderkey, l_partkey, l_quantity)

@@ -20,7 +20,7 @@ SCORE_MAPS = METRICS + ["argmax_is_top1_rate", "argmax_is_top5_rate"]
 
 SCORE_SCHEMA = T.StructType(
     [T.StructField("model", T.StringType())]
-    + [T.StructField(m, T.MapType(T.StringType(), T.DoubleType())) for m in SCORE_MAPS]
+    + [T.StructField(m, T.MapType(T.StringType(), T.StringType())) for m in SCORE_MAPS]
     + [T.StructField("option_ids_by_prefix", T.MapType(T.StringType(), T.MapType(T.StringType(), T.IntegerType())))])
 
 QA_SCHEMA = T.StructType([
@@ -44,17 +44,23 @@ def read_scores(spark: SparkSession, path: str, layout: str = "files", metrics=S
 
     layout 'files': ``<path>/*_accuracy.json`` documents (error when none match);
     layout 'partitioned': JSON Lines under ``<path>/slug=<slug>/`` (file = slug).
+
+    A document that is not valid JSON raises (``FAILFAST``).  Values are read as
+    text and cast one by one: one that is no number is null, its neighbours stay.
+    A file without any value of a metric keeps one row with null subset and value.
     """
+    reader = spark.read.option("mode", "FAILFAST")
     if layout == "files":
-        raw = (spark.read.schema(SCORE_SCHEMA).option("multiLine", True).json(f"{path.rstrip('/')}/*_accuracy.json")
+        raw = (reader.schema(SCORE_SCHEMA).option("multiLine", True).json(f"{path.rstrip('/')}/*_accuracy.json")
                .withColumn("file", _file_col()))
     else:
         schema = T.StructType([*SCORE_SCHEMA.fields, T.StructField("slug", T.StringType())])
-        raw = (spark.read.schema(schema).json(path)
+        raw = (reader.schema(schema).json(path)
                .withColumn("file", F.col("slug")))
     per_metric = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("values")) for m in metrics])
     return (raw.select("file", "model", F.explode(per_metric).alias("m"))
-            .select("file", "model", F.col("m.metric").alias("metric"), F.explode("m.values").alias("subset", "value")))
+            .select("file", "model", F.col("m.metric").alias("metric"), F.explode_outer("m.values").alias("subset", "value"))
+            .withColumn("value", F.expr("try_cast(value AS double)")))
 
 
 def read_predictions(spark: SparkSession, path: str, record_schema: T.StructType, layout: str = "files"

@@ -21,7 +21,7 @@ def test_read_scores_reference_layout(spark):
                                      "option_ids_by_prefix": {" ": {"A": 1}}})
     _write(d, "m__b_accuracy.json", {"model": "m/b", "accuracy": {"greek_cs": 0.5}})
     _write(d, "m__b_predictions.json", {"model": "m/b", "predictions": []})      # not matched by the glob
-    out = rows(S.read_scores(spark, d), "file", "model", "metric", "subset", "value")
+    out = rows(S.read_scores(spark, d).where("subset is not null"), "file", "model", "metric", "subset", "value")
     assert out == [("m__a_accuracy.json", "m/a", "abstain_rate", "english_ca", 0.1),
                    ("m__a_accuracy.json", "m/a", "accuracy", "chinese_ca", 0.66),
                    ("m__a_accuracy.json", "m/a", "accuracy", "english_ca", 0.71),
@@ -80,3 +80,15 @@ def test_publish_config_keeps_other_configs(spark):
     S.publish_config(mk("a", 1), d)          # republish a: replaces a only
     got = dict(rows(S.read_source(spark, d).groupBy("config").count(), "config", "count"))
     assert got == {"a": 1, "b": 3}
+
+
+def test_read_scores_keeps_files_with_bad_or_no_values_and_raises_on_cut_files(spark):
+    d = tempfile.mkdtemp()
+    _write(d, "a_accuracy.json", {"model": "a", "accuracy": {"english_ca": "n/a", "chinese_ca": 0.4}})
+    _write(d, "b_accuracy.json", {"model": "b", "accuracy": {}})
+    got = rows(S.read_scores(spark, d, metrics=["accuracy"]), "model", "subset", "value")
+    assert got == [("a", "chinese_ca", 0.4), ("a", "english_ca", None), ("b", None, None)]
+    with open(os.path.join(d, "c_accuracy.json"), "w") as f:
+        f.write('{"model": "c", "accuracy": {"english_ca": 0.')
+    with pytest.raises(Exception):
+        S.read_scores(spark, d, metrics=["accuracy"]).collect()
