@@ -9,26 +9,14 @@ hot, which map-side combining absorbs.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapscope.dims import BASELINE_SUBSET, GAP_LOCALES, KINDS, METRICS, UNKNOWN_COUNTRY
+from gapscope.dims import BASELINE_SUBSET, GAP_LOCALES, KINDS, METRICS, UNKNOWN_COUNTRY, literal_array
 from gapscope.functions.names import subset_kind, subset_locale
 
 COUNT_COLS = ["n", "n_correct", "n_abstained", "n_conf_wrong"]
 
-_PERSISTED: list[DataFrame] = []
-
-
-def release_persisted() -> int:
-    """Unpersist the small pivot tables the gap operators cached; returns how many."""
-    n = len(_PERSISTED)
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-    return n
-
-
 # ---------------------------------------------------------------------------
 # A1 subset_metrics, A2 top_rank_rates
 # ---------------------------------------------------------------------------
@@ -118,28 +106,26 @@ def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str]
     """One row per (model, locale): baseline + the locale's three scores, for
     the locales whose ``required`` columns exist for some model.
 
-    A single pivot over explicit subset values (one shuffle of the already
-    aggregated scores) is persisted; which subsets exist anywhere is one tiny
-    aggregate over it (a single row of flags read on the driver, like a pivot's
-    value discovery); then an ``explode`` of the valid locales' structs.  The
-    scan and aggregation below the pivot run once.
+    One pivot over explicit subset values (a shuffle of the already aggregated
+    scores) and an ``explode`` of all locales' cells.  Which locales count is a
+    second aggregate of the same scores to the set of subsets that have a value
+    (at most the listed ones), exploded to the valid locales; nothing runs
+    before the result is asked for and nothing is kept in memory.
     """
     subsets = [baseline] + [f"{loc}_{k}" for loc in locales for k in KINDS]
     s = long.where(F.col("metric") == metric).select("model", "country", "subset", "value")
-    wide = s.groupBy("model", "country").pivot("subset", subsets).agg(F.first("value")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(wide)           # released with release_persisted()
-    seen = wide.agg(*[F.max(F.col(c).isNotNull()).alias(f"_{i}") for i, c in enumerate(subsets)]).first()
-    present = {c: bool(seen[f"_{i}"]) for i, c in enumerate(subsets)}
-    name = {"base": lambda loc: baseline, "ca": lambda loc: f"{loc}_ca", "cs": lambda loc: f"{loc}_cs",
-            "cs_en": lambda loc: f"{loc}_cs_en"}
-    valid = [loc for loc in locales if all(present[name[r](loc)] for r in required)]
+    wide = s.groupBy("model", "country").pivot("subset", subsets).agg(F.first("value"))
+    present = s.where(F.col("subset").isin(subsets) & F.col("value").isNotNull()).agg(F.collect_set("subset").alias("seen"))
+    needed = {loc: [baseline if r == "base" else f"{loc}_{r}" for r in required] for loc in locales}
+    valid = present.select(F.explode(F.array_compact(F.array(*[
+        F.when(F.forall(literal_array(names), lambda n: F.array_contains("seen", n)), F.lit(loc))
+        for loc, names in needed.items()]))).alias("locale"))
     cells = F.array(*[F.struct(F.lit(loc).alias("locale"), F.col(f"{loc}_ca").alias("local_ca"),
                                F.col(f"{loc}_cs").alias("local_cs"), F.col(f"{loc}_cs_en").alias("cs_en"))
-                      for loc in valid]) if valid else F.array().cast(
-        "array<struct<locale:string,local_ca:double,local_cs:double,cs_en:double>>")
+                      for loc in locales])
     return wide.select("model", "country", F.col(baseline).alias("english_ca"), F.explode(cells).alias("c")) \
-        .select("model", "country", "c.locale", "english_ca", "c.local_ca", "c.local_cs", "c.cs_en")
+        .select("model", "country", "c.locale", "english_ca", "c.local_ca", "c.local_cs", "c.cs_en") \
+        .join(valid, "locale", "left_semi")
 
 
 def gaps_long(long: DataFrame, metric: str = "accuracy", baseline: str = BASELINE_SUBSET,

@@ -66,9 +66,12 @@ def test_drop_low_models(spark):
     assert {r.model for r in M.drop_low_models(long, 0.0).collect()} == {"a", "b"}   # all-missing row removed
 
 
-def test_release_persisted(spark):
+def test_gap_plans_run_nothing_until_asked(spark):
     long = _long(spark, [("m", "c", "english_ca", 0.5), ("m", "c", "greek_ca", 0.4), ("m", "c", "greek_cs", 0.3),
-                         ("m", "c", "greek_cs_en", 0.2)])
-    M.accuracy_gaps(long).collect()
-    assert M.release_persisted() >= 1
-    assert M.release_persisted() == 0
+                         ("m", "c", "greek_cs_en", 0.2), ("m", "c", "hindi_ca", 0.2), ("m", "c", "hindi_cs", None), ("m", "c", "hindi_cs_en", 0.1)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("gap-plan", "no job while planning")
+    out = M.accuracy_gaps(long)
+    assert not tracker.getJobIdsForGroup("gap-plan")
+    assert [r.locale for r in out.collect()] == ["greek"]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
