@@ -15,10 +15,18 @@ from gapscope.dims import canonical_subsets, literal_array
 GAPS = ["global_gap", "local_gap", "knowledge_gap"]
 
 
-def to_wide(long: DataFrame, metric: str, subsets: list[str]) -> DataFrame:
-    """(model, country, one column per subset) of ``metric``, missing -> null."""
+def to_wide(long: DataFrame, metric: str, subsets: list[str], keys=("model", "country")) -> DataFrame:
+    """(keys, one column per subset) of ``metric``, missing -> null.
+
+    ``subsets`` are the columns: pass ``present_subsets`` for all that occur.
+    """
     s = long.where(F.col("metric") == metric)
-    return s.groupBy("model", "country").pivot("subset", subsets).agg(F.max("value"))
+    return s.groupBy(*keys).pivot("subset", subsets).agg(F.max("value"))
+
+
+def present_subsets(long: DataFrame) -> list[str]:
+    """All subset names of a long table: the value discovery of a pivot, one name a subset."""
+    return [r.subset for r in long.select("subset").where("subset is not null").distinct().orderBy("subset").collect()]
 
 
 def order_columns(wide: DataFrame, policy: str = "canonical", keys=("model", "country"),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.dims import METRICS, canonical_subsets
+from gapscope.dims import METRICS
 from gapscope.operators import joins as J
 from gapscope.operators import metrics as M
 from gapscope.operators import reshape as R
@@ -31,37 +31,47 @@ def process_results(spark: SparkSession, results_dir: str, dim_model: DataFrame,
 
     S1 read (+ J1 overlay of the CA folder) -> J8 country -> R1/R2/R3 wide per
     metric -> G2 on conf_err_rate -> G3 on accuracy -> G1 from the filtered
-    accuracy.  Files are read once; every output derives from ``long``.
+    accuracy.  Every output derives from ``long``.  A wide table has one row per
+    file, also for a file without a value, and a column for every subset of the
+    files: canonical ones first, then others by name (or ``subsets``).
     """
     base = S.read_scores(spark, results_dir, layout=layout, metrics=list(metrics))
     if ca_dir is not None:
         base = J.overlay_scores(base, S.read_scores(spark, ca_dir, layout=layout, metrics=list(metrics)))
-    long = M.with_subset_parts(M.with_country(base.drop("file"), dim_model))
-    subs = subsets or canonical_subsets()
-    out = {m: R.order_columns(R.to_wide(long, m, subs), "canonical") for m in metrics}
+    by_file = M.with_country(base, dim_model)
+    long = M.with_subset_parts(by_file.drop("file"))
+    subs = subsets or R.present_subsets(base)
+    keys = ("file", "model", "country")
+    wide = lambda rows, m: R.order_columns(R.to_wide(rows, m, subs, keys), "canonical", keys).orderBy("model", "file")
+    out = {m: wide(by_file, m) for m in metrics}
     if "conf_err_rate" in metrics:
         out["hall_gaps"] = M.hallucination_gap(long)
     if "accuracy" in metrics:
         kept = M.drop_low_models(long, threshold)
-        out["accuracy_filtered"] = R.to_wide(kept, "accuracy", subs)
+        out["accuracy_filtered"] = wide(by_file.join(kept.select("model").distinct(), "model", "left_semi"), "accuracy")
         out["accuracy_gaps"] = M.accuracy_gaps(kept)
     return out
 
 
+def write_results(tables: dict[str, DataFrame], path: str) -> None:
+    """One CSV folder per result table of ``process_results``."""
+    for name, df in tables.items():
+        S.write_wide_csv(df, f"{path.rstrip('/')}/{name}", single_file=False)
+
+
 def _dump(spark, sf_dir):
-    """Base batch as score documents; overlay batch's CA keys as the CA folder."""
+    """Base batch as score documents; overlay batch as the CA folder."""
     run = uuid.uuid4().hex[:12]
     base_dir, ca_dir = scratch_path(spark, f"res-{run}"), scratch_path(spark, f"ca-{run}")
     bl = batch_long(spark, sf_dir).where(F.col("metric") == "accuracy")
     S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "base"), ["accuracy"]), base_dir)
-    S.write_by_model(S.scores_to_documents(
-        bl.where((F.col("batch") == "overlay") & F.col("subset").endswith("_ca")), ["accuracy"]), ca_dir)
+    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "overlay"), ["accuracy"]), ca_dir)
     return base_dir, ca_dir
 
 
 _MERGED = {
     "ob": "SELECT * FROM bl WHERE batch = 'base' AND metric = 'accuracy'",
-    "oo": "SELECT * FROM bl WHERE batch = 'overlay' AND metric = 'accuracy' AND right(subset, 3) = '_ca'",
+    "oo": "SELECT * FROM bl WHERE batch = 'overlay' AND metric = 'accuracy'",
     "lg2": f"""
 SELECT m.model, coalesce(dm.country, 'Unknown') AS country, m.subset,
        regexp_extract(m.subset, '^(.+?)_(cs_en|cs|ca)$', 1) AS locale,

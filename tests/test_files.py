@@ -92,3 +92,20 @@ def test_read_scores_keeps_files_with_bad_or_no_values_and_raises_on_cut_files(s
         f.write('{"model": "c", "accuracy": {"english_ca": 0.')
     with pytest.raises(Exception):
         S.read_scores(spark, d, metrics=["accuracy"]).collect()
+
+
+def test_process_results_keeps_every_subset_and_file(spark):
+    from gapscope.plans.process import process_results, write_results
+    d, out_dir = tempfile.mkdtemp(), tempfile.mkdtemp()
+    _write(d, "a_accuracy.json", {"model": "m", "accuracy": {"english_ca": 0.5, "chinese_cs_mix": 0.3}, "conf_err_rate": {"english_ca": 0.1}})
+    _write(d, "b_accuracy.json", {"model": "m", "accuracy": {"english_ca": 0.7}})
+    _write(d, "c_accuracy.json", {"model": "none", "accuracy": {}})
+    dims = spark.createDataFrame([("m", "USA")], "model string, country string")
+    out = process_results(spark, d, dims, metrics=["accuracy", "conf_err_rate"])
+    acc = out["accuracy"]
+    assert acc.columns == ["file", "model", "country", "english_ca", "chinese_cs_mix"]
+    assert [tuple(r) for r in acc.collect()] == [("a_accuracy.json", "m", "USA", 0.5, 0.3), ("b_accuracy.json", "m", "USA", 0.7, None),
+                                                 ("c_accuracy.json", "none", "Unknown", None, None)]
+    assert out["accuracy_filtered"].count() == 2 and out["accuracy_filtered"].columns == acc.columns
+    write_results(out, out_dir)
+    assert S.read_wide_csv(spark, f"{out_dir}/accuracy", keys=("file", "model", "country")).count() == 3
