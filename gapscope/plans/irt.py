@@ -100,3 +100,59 @@ def q_accuracy_vs_theta(spark, sf_dir):
     f = _fit(spark, sf_dir)
     acc = accuracy_gaps(long_table(spark, sf_dir))
     return M.accuracy_vs_theta(acc, M.theta_gaps(f.theta, B.dim_model(spark, sf_dir)))
+
+
+# closed-form parameters: what the views of a fit compute, comparable with SQL
+_CLOSED = {
+    "te": "SELECT model, subset, (sum(y) - count(*) / 2) / count(*) AS theta FROM ir GROUP BY model, subset",
+    "bi": "SELECT item_key, (count(*) / 2 - sum(y)) / count(*) AS b FROM ir GROUP BY item_key",
+}
+
+
+def _closed(spark, sf_dir):
+    r = _resp(spark, sf_dir)
+    half = F.count(F.lit(1)) / 2
+    theta = r.groupBy("model", "subset").agg(((F.sum("y") - half) / F.count(F.lit(1))).alias("theta"))
+    b = r.groupBy("item_key").agg(((half - F.sum("y")) / F.count(F.lit(1))).alias("b"))
+    return r, theta, b
+
+
+@register("theta_gaps_closed_form", with_ctes({**IR_CTES, **_CLOSED}, """
+, loc AS (SELECT DISTINCT regexp_extract(subset, '^(.+?)_cs$', 1) AS locale FROM te WHERE right(subset, 3) = '_cs')
+, ok AS (SELECT locale FROM loc WHERE locale || '_ca' IN (SELECT subset FROM te) AND locale || '_cs_en' IN (SELECT subset FROM te)
+         AND 'english_ca' IN (SELECT subset FROM te))
+SELECT m.model, ok.locale, round(ca.theta - en.theta, 9) AS global_gap, round(cs.theta - ce.theta, 9) AS local_gap,
+       round((cs.theta - ce.theta) - (ca.theta - en.theta), 9) AS knowledge_gap
+FROM (SELECT DISTINCT model FROM te) m CROSS JOIN ok
+LEFT JOIN te en ON en.model = m.model AND en.subset = 'english_ca'
+LEFT JOIN te ca ON ca.model = m.model AND ca.subset = ok.locale || '_ca'
+LEFT JOIN te cs ON cs.model = m.model AND cs.subset = ok.locale || '_cs'
+LEFT JOIN te ce ON ce.model = m.model AND ce.subset = ok.locale || '_cs_en'"""))
+def q_theta_gaps_closed_form(spark, sf_dir):
+    _, theta, _ = _closed(spark, sf_dir)
+    return M.theta_gaps(theta).select("model", "locale", *[F.round(c, 9).alias(c) for c in ("global_gap", "local_gap", "knowledge_gap")])
+
+
+@register("item_characteristics_closed_form", with_ctes({**IR_CTES, **_CLOSED}, """
+, w AS (SELECT min(theta) AS lo, (max(theta) - min(theta)) / 10 AS width FROM te)
+, d AS (SELECT ir.item_key, ir.y, te.theta, bi.b, least(CAST(floor((te.theta - w.lo) / w.width) AS INTEGER), 9) AS ability_bin
+        FROM ir JOIN te ON te.model = ir.model AND te.subset = ir.subset JOIN bi ON bi.item_key = ir.item_key CROSS JOIN w)
+SELECT item_key, ability_bin, count(*) AS n, round(avg(y), 9) AS observed, round(avg(1 / (1 + exp(b - theta))), 9) AS predicted
+FROM d GROUP BY item_key, ability_bin"""))
+def q_item_characteristics_closed_form(spark, sf_dir):
+    r, theta, b = _closed(spark, sf_dir)
+    return M.item_characteristics(r, theta, b).select(
+        "item_key", "ability_bin", "n", F.round("observed", 9).alias("observed"), F.round("predicted", 9).alias("predicted"))
+
+
+@register("rasch_residuals", with_ctes(IR_CTES, """
+SELECT what, CAST(0 AS DOUBLE) AS largest FROM (VALUES ('examinee'), ('item'), ('component mean')) t(what)"""))
+def q_rasch_residuals(spark, sf_dir):
+    """The fit's own conditions: sums of answers equal sums of probabilities, thetas of a component mean 0."""
+    fit, r = _fit(spark, sf_dir), _resp(spark, sf_dir)
+    d = r.join(fit.theta.select("model", "subset", "theta"), ["model", "subset"]).join(fit.b.select("item_key", "b"), "item_key")
+    off = F.abs(F.sum(F.col("y") - M.sigmoid(F.col("theta") - F.col("b")))).alias("off")
+    parts = [("examinee", d.groupBy("model", "subset").agg(off)), ("item", d.groupBy("item_key").agg(off)),
+             ("component mean", fit.theta.groupBy("component").agg(F.abs(F.avg("theta")).alias("off")))]
+    rows = [df.agg(F.round(F.max("off"), 3).alias("largest")).select(F.lit(w).alias("what"), "largest") for w, df in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

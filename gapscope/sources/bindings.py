@@ -254,7 +254,7 @@ RUN_PLAN_SQL = "SELECT DISTINCT model, subset FROM (" + RESPONSES_SQL + ") rr"
 
 
 # ---------------------------------------------------------------------------
-# IRT responses: 20 models x 19 subsets x 40 items per subset
+# IRT responses: every supplier is a model, answering a benchmark of 40 items per subset
 # ---------------------------------------------------------------------------
 
 def irt_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +268,7 @@ def irt_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("l_returnflag") == "R", "cs_en"))
     gold = F.substring(F.lit("ABCD"), (F.col("l_partkey") % 4 + 1).cast("int"), 1)
     pred = F.substring(F.lit("ABCDE"), (F.col("l_quantity").cast("bigint") % 5 + 1).cast("int"), 1)
-    df = li.select(F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("model"),
+    df = li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("model"),
                    locale.alias("locale"), kind.alias("kind"), (F.col("l_partkey") % 40).alias("item"),
                    (pred == gold).alias("correct"), "l_orderkey", "l_partkey", "l_quantity")
     df = df.where(F.col("locale").isNotNull() & F.col("kind").isNotNull()
@@ -282,7 +282,7 @@ IRT_SCORED_SQL = f"""
 SELECT model, subset, item, correct FROM (
   SELECT *, row_number() OVER (PARTITION BY model, subset, item ORDER BY l_orderkey, l_partkey, l_quantity) AS rn
   FROM (
-    SELECT 'S' || CAST(l_suppkey % 20 AS VARCHAR) AS model,
+    SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS model,
            {_case_sql('l_linenumber', BIND_LOCALES, 1)} || '_' ||
            CASE l_returnflag WHEN 'A' THEN 'ca' WHEN 'N' THEN 'cs' WHEN 'R' THEN 'cs_en' END AS subset,
            {_case_sql('l_linenumber', BIND_LOCALES, 1)} AS locale, l_returnflag,
