@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +43,10 @@ NEVER = 1 << 60
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in the vocabulary file."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -117,18 +122,29 @@ class Vocabulary:
     def encode(self, data: bytes) -> list[int]:
         """Ids of one piece."""
         last = [-1] * (len(data) + 1)
-        size = [0] * (len(data) + 1)
-        compatible, whole = self.compatible, self.whole
+        pair, done = self._pairs.get, -1
         for end, (token, n) in self.automaton.iter(data.decode("latin-1")):
+            if end == done:                        # this prefix has its one last token
+                continue
             at = end + 1 - n
-            if whole(token) if at == 0 else last[at] >= 0 and compatible(last[at], token):
-                last[end + 1], size[end + 1] = token, n
+            if at:
+                before = last[at]
+                if before < 0:
+                    continue
+                fits = pair(before << 24 | token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+            else:
+                fits = self.whole(token)
+            if fits:
+                last[end + 1], done = token, end
         out, at = [], len(data)
         while at:
-            if last[at] < 0:
+            token = last[at]
+            if token < 0:
                 raise ValueError("the vocabulary does not cover all bytes")
-            out.append(last[at])
-            at -= size[at]
+            out.append(token)
+            at -= len(self.tokens[token])
         return out[::-1]
 
 
@@ -159,7 +175,7 @@ class Tokenizer:
     def _piece(self, piece: str) -> bytes:
         ids = self._pieces.get(piece)
         if ids is None:
-            ids = np.array(self.vocabulary.encode(piece.encode()), "<u4").tobytes()
+            ids = _packed(self.vocabulary.encode(piece.encode()))
             if len(self._pieces) >= ENTRIES:
                 self._pieces.clear()
             if len(piece) < 100:
