@@ -8,6 +8,8 @@ nothing changes.  Every step's edges are written to the shared checkpoint folder
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +30,19 @@ def _to_minimum(edges: DataFrame, larger_only: bool) -> DataFrame:
         smaller.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = reliable_checkpoint) -> DataFrame:
     """(node, root) for every node of an edge, root the least node of its component.
 
     ``edges`` has two columns of one orderable type; direction, repetitions, loops
-    and nulls (dropped) do not matter.  The root itself is not listed.
+    and nulls (dropped) do not matter.  The root itself is not listed.  ``keep``
+    writes a step's edges to shared storage and returns them without lineage.
     """
     a, b = edges.columns
-    now = reliable_checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct())
+    now = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct())
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_minimum(both, larger_only=True).where("u <> v").distinct()
-        now = reliable_checkpoint(_to_minimum(large, larger_only=False).where("u <> v").distinct())
+        now = keep(_to_minimum(large, larger_only=False).where("u <> v").distinct())
         # stars: every node has one parent and no parent has a parent
         split = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
         deep = now.select(F.col("v").alias("u")).join(now.select("u"), "u", "left_semi")
