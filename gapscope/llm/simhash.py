@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapscope.functions.components import components
 from gapscope.llm.common import arrow_pass, pieces, shuffle_partitions, staged
-from gapscope.llm.components import components
 
 SHINGLE = 4
 DISTANCE = 4
@@ -231,7 +231,7 @@ def link_components(fps: DataFrame, distance: int = DISTANCE, group_rows: int =
             F.coalesce("chunks", F.lit(1)) < 2, F.array(F.lit(0).cast("long"))).otherwise(F.array_compact(pair))).alias("part"))
     rows = dealt.select(F.col("family").cast("long").alias("family"), "key", "part", "fp")
     rows = rows.repartition(shuffle_partitions(spark), "family", "key", "part").sortWithinPartitions("family", "key", "part")
-    return components(arrow_pass(rows, "a long, b long", _forests(distance)), "simhash-links")
+    return components(arrow_pass(rows, "a long, b long", _forests(distance)), lambda df: staged(df, "simhash-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
