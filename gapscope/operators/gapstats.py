@@ -100,7 +100,7 @@ def gap_box_stats(gl: DataFrame, col: str = "knowledge_gap") -> DataFrame:
 def home_locale_cells(gl: DataFrame, dim_home: DataFrame) -> DataFrame:
     """One row per (model, gap, locale) with ``is_home`` from the country map."""
     cells = gl.unpivot(["model", "country", "locale"], GAPS, "gap", "value")
-    home = F.broadcast(dim_home.select("country", "home_locale"))  # literal dim, <= 20 rows
+    home = dim_home.select("country", "home_locale")
     out = cells.join(home, "country", "left")
     return out.select("model", "country", "locale", "gap", "value",
                       F.coalesce(F.col("home_locale") == F.col("locale"), F.lit(False)).alias("is_home"))
@@ -114,7 +114,7 @@ def native_gaps(gl: DataFrame, dim_native: DataFrame,
     exploded, then a left join to the gap table so absent locales give nulls.
     """
     models = gl.select("model", "country").distinct()
-    nat = F.broadcast(dim_native.select("country", "native_locales"))  # literal dim
+    nat = dim_native.select("country", "native_locales")
     wanted = (models.join(nat, "country", "left")
               .select("model", "country",
                       F.explode(F.coalesce("native_locales", literal_array(default_locales))).alias("language")))

@@ -108,8 +108,8 @@ def metric_matrix(long: DataFrame, dim_panel: DataFrame, dim_subset: DataFrame)
     cells carry their panel, column position and column group (locale).
     Text labels are a display step (``format_string('%.2f', value)``).
     """
-    cells = long.join(F.broadcast(dim_panel), "metric").join(
-        F.broadcast(dim_subset.select("subset", "subset_ord", F.col("locale").alias("col_group"))), "subset")
+    cells = long.join(dim_panel, "metric").join(
+        dim_subset.select("subset", "subset_ord", F.col("locale").alias("col_group")), "subset")
     return cells.select(
         "metric", "panel_ord", "model", "country", "subset", "subset_ord", "col_group", "value",
         ((F.col("value") - F.col("vmin")) / (F.col("vmax") - F.col("vmin"))).alias("norm_value"))

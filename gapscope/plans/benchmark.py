@@ -65,10 +65,11 @@ def q_add_item_index(spark, sf_dir):
 SELECT l.pos, l.config, coalesce(d.CEB_index, -1) AS CEB_index, coalesce(d.CEB_config, '') AS CEB_config
 FROM (SELECT * FROM it WHERE claude_cs IS NOT NULL) l LEFT JOIN dim d ON d.question = l.question"""))
 def q_patch_item_index(spark, sf_dir):
-    it = B.items(spark, sf_dir)
-    bench = Bd.add_item_index(it.select("pos", "config", "split", "question"))
-    labeled = it.where(F.col("claude_cs").isNotNull()).select("pos", "config", "question")
-    return Bd.patch_item_index(labeled, bench).select("pos", "config", "CEB_index", "CEB_config")
+    # the index and the lookup move a 256-bit digest of the question, not its text
+    it = B.items(spark, sf_dir).withColumn("digest", F.sha2(F.col("question").cast("binary"), 256))
+    bench = Bd.add_item_index(it.select("pos", "config", "split", "digest"))
+    labeled = it.where(F.col("claude_cs").isNotNull()).select("pos", "config", "digest")
+    return Bd.patch_item_index(labeled, bench, on="digest").select("pos", "config", "CEB_index", "CEB_config")
 
 
 @register("filter_labeled", with_ctes(ITEMS, "SELECT pos, config, split, claude_cs FROM it WHERE claude_cs = 1"))

@@ -158,8 +158,9 @@ def read_source(spark: SparkSession, path: str, split: str | None = "test", conf
 
 def write_wide_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
     """CSV with header.  A wide score table has one row per model, so a
-    single output file (one task) is bounded by the model count."""
-    out = df.coalesce(1) if single_file else df
+    single output file is bounded by the model count; the rows are gathered by
+    a shuffle of their own, so what computes them keeps its tasks."""
+    out = df.repartition(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -50,7 +50,9 @@ def read_ingested(spark: SparkSession, target_dir: str, keys: list[str], mode: s
     df = spark.read.parquet(target_dir)
     if mode == "key":
         cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-        latest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
+        # of equal keys in one batch the greatest row by its JSON text wins: the same on every read
+        order = F.struct("batch_id", F.to_json(F.struct(*cols)))
+        latest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("_r"))
         return latest.select(*keys, "_r.*")
     latest = df.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
     return df.join(latest, [*keys, "batch_id"]).drop("batch_id")
