@@ -24,6 +24,7 @@ def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_secret_linking"] = op7_secret_linking
+ORACLES["op7_secret_linking"] = secrets.ORACLE
 
 
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,3 +167,50 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE)
     fixed = hits.join(spans, "digest").select("doc", redacted(F.col("t"), F.col("spans")).alias("t"))
     fixed = fixed.select(*[(F.col("t") if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
     return docs.where(~marked).unionByName(fixed)
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: The same spans for DuckDB, whose patterns know no look-around: a key is a whole run of 40.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), found AS (
+  SELECT r, 0 AS kind, regexp_extract_all(t, {_sql(ASSIGN)}, 0) AS f, string_split_regex(t, {_sql(ASSIGN)}) AS g,
+         list_transform(regexp_extract_all(t, {_sql(ASSIGN)}, 2), lambda x: length(x) >= 8) AS ok FROM d WHERE regexp_matches(t, {_sql(ASSIGN_START)})
+  UNION ALL
+  SELECT r, 1, regexp_extract_all(t, '{ACCESS}'), string_split_regex(t, '{ACCESS}'),
+         list_transform(regexp_extract_all(t, '{ACCESS}'), lambda x: length(x) >= 16) FROM d WHERE contains(t, 'AKIA')
+  UNION ALL
+  SELECT r, 2, regexp_extract_all(t, '{HEX}'), string_split_regex(t, '{HEX}'),
+         list_transform(regexp_extract_all(t, '{HEX}'), lambda x: true) FROM d WHERE regexp_matches(t, '{HEX}')
+  UNION ALL
+  SELECT r, 3, regexp_extract_all(t, '[A-Za-z0-9+/]+'), string_split_regex(t, '[A-Za-z0-9+/]+'),
+         list_transform(regexp_extract_all(t, '[A-Za-z0-9+/]+'), lambda x: length(x) = 40 AND regexp_matches(x, '[a-z]')
+                        AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]')) FROM d WHERE contains(t, 'AKIA')
+  UNION ALL
+  SELECT r, 4, regexp_extract_all(t, {_sql(ENDPOINT)}), string_split_regex(t, {_sql(ENDPOINT)}),
+         list_transform(regexp_extract_all(t, {_sql(ENDPOINT)}), lambda x: true) FROM d WHERE contains(t, 'AKIA')
+), each AS (
+  SELECT r, kind, i, f, g, length(f[i]) AS n FROM (SELECT *, unnest(generate_series(1, len(f))) AS i FROM found) WHERE ok[i]
+), spans AS (
+  SELECT r, kind, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM (
+    SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS s FROM each)
+), pairs AS (
+  SELECT a.r, a.s AS s1, a.e AS e1, k.s, k.e FROM spans a JOIN spans k ON k.r = a.r AND a.kind = 1 AND k.kind = 3
+  WHERE greatest(k.s - a.e, a.s - k.e) <= {SCOPE}
+), linked AS (
+  SELECT r, 3 AS kind, s, e FROM pairs
+  UNION
+  SELECT p.r, 4, x.s, x.e FROM pairs p JOIN spans x ON x.r = p.r AND x.kind = 4 WHERE greatest(x.s - p.e1, p.s1 - x.e) <= {SCOPE}
+), kept AS (
+  SELECT *, ['{"', '".join(KINDS)}'][kind + 1] || ':' || s || ':' || e AS said FROM (SELECT * FROM spans WHERE kind < 3 UNION ALL SELECT * FROM linked)
+), summed AS (
+  SELECT r, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
+         coalesce(string_agg(said, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3), '') AS base, string_agg(said, ',' ORDER BY s, kind, e) AS spans,
+         count(*) FILTER (WHERE kind > 2) AS n_linked FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM d LEFT JOIN summed USING (r)
+"""
