@@ -199,3 +199,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = max(0, min(30, int(total // partition_entries).bit_length()))
     replies = _replies(_requests(chunks, order, bits))
     return scores(chunks, replies, max(1, total), order, min_count, backoff, id_col)
+
+
+#: The production scores for DuckDB, rounded.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents
+), w AS (SELECT r, unnest(ws) AS w3, unnest(generate_series(1, len(ws))) AS i FROM d
+), g AS (SELECT r, w3, lag(w3) OVER (PARTITION BY r ORDER BY i) AS w2, lag(w3, 2) OVER (PARTITION BY r ORDER BY i) AS w1 FROM w
+), c1 AS (SELECT w3, count(*) AS n FROM g GROUP BY w3
+), c2 AS (SELECT w2, w3, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY w2, w3
+), c3 AS (SELECT w1, w2, w3, count(*) AS n FROM g WHERE w1 IS NOT NULL GROUP BY w1, w2, w3
+), s AS (
+  SELECT g.r, CASE WHEN c3.n >= {MIN_COUNT} THEN ln(c3.n / x2.n) WHEN c2.n >= {MIN_COUNT} THEN ln(c2.n / x1.n)
+                   ELSE ln(c1.n / (SELECT count(*) FROM g)) END AS l,
+         CASE WHEN coalesce(c3.n, 0) >= {MIN_COUNT} THEN 0 ELSE (g.w1 IS NOT NULL)::INT END
+         + CASE WHEN greatest(coalesce(c3.n, 0), coalesce(c2.n, 0)) >= {MIN_COUNT} THEN 0 ELSE (g.w2 IS NOT NULL)::INT END AS steps
+  FROM g JOIN c1 ON c1.w3 = g.w3 LEFT JOIN c2 ON c2.w2 = g.w2 AND c2.w3 = g.w3 LEFT JOIN c3 ON c3.w1 = g.w1 AND c3.w2 = g.w2 AND c3.w3 = g.w3
+  LEFT JOIN c1 x1 ON x1.w3 = g.w2 LEFT JOIN c2 x2 ON x2.w2 = g.w1 AND x2.w3 = g.w2
+), t AS (SELECT r, count(*) AS n_words, CAST(sum(steps) AS BIGINT) AS n_backoffs, sum(l) + sum(steps) * ln({BACKOFF}) AS score FROM s GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoffs, 0) AS n_backoffs, round(coalesce(score, 0), 6) AS log_score FROM d LEFT JOIN t USING (r)
+"""

@@ -110,7 +110,9 @@ ORACLES["op9_revisit_asof"] = warc.ORACLE
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score_documents(table(spark, sf_dir, "documents"))
+    found = backoff.score_documents(table(spark, sf_dir, "documents"))
+    return found.withColumn("log_score", F.round("log_score", 6))
 
 
 QUERIES["op3_stupid_backoff"] = op3_stupid_backoff
+ORACLES["op3_stupid_backoff"] = backoff.ORACLE
