@@ -51,6 +51,7 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_spaced_seeds"] = op4_spaced_seeds
+ORACLES["op4_spaced_seeds"] = decontaminate.ORACLE
 
 
 def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

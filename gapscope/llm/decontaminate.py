@@ -187,3 +187,23 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         row = arrow_pass(row, f"doc {kind}, t string", of)
     return row.select("doc.*")
+
+
+#: All windows of all diagonals for DuckDB: equal words of text and item, counted on each diagonal.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents
+), b AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM benchmark
+), it AS (SELECT *, len(ws) AS n, least({WINDOW}, len(ws)) AS size, CAST(ceil(round(least({WINDOW}, len(ws)) * {SIMILARITY}, 6)) AS BIGINT) AS need
+          FROM b WHERE len(ws) >= {MIN_WORDS}
+), dw AS (SELECT r, unnest(ws) AS word, unnest(generate_series(0, len(ws) - 1)) AS i FROM d
+), iw AS (SELECT k, need, unnest(ws) AS word, unnest(generate_series(0, n - 1)) AS j FROM it
+), m AS (SELECT dw.r, iw.k, dw.i - iw.j AS diag, list(iw.j) AS js FROM dw JOIN iw ON iw.word = dw.word GROUP BY dw.r, iw.k, diag, iw.need HAVING count(*) >= iw.need
+), win AS (SELECT m.*, it.size, it.need, unnest(generate_series(greatest(0, -diag), least(it.n, len(d.ws) - diag) - it.size)) AS j0
+           FROM m JOIN it ON it.k = m.k JOIN d ON d.r = m.r
+), seg AS (SELECT r, k, diag, js, min(j0) AS a, max(j0) + max(size) AS z FROM win
+           WHERE len(list_filter(js, lambda x: x >= j0 AND x < j0 + size)) >= need GROUP BY r, k, diag, js
+), res AS (SELECT r, k, len(list_filter(js, lambda x: x >= a AND x < z)) AS n_equal, diag + a AS word_from, diag + z AS word_to FROM seg
+), best AS (SELECT *, row_number() OVER (PARTITION BY r, k ORDER BY n_equal DESC, word_from DESC, word_to DESC) AS place FROM res)
+SELECT d.doc_id, b.item_id, CAST(n_equal AS BIGINT) AS n_equal, CAST(word_from AS BIGINT) AS word_from, CAST(word_to AS BIGINT) AS word_to
+FROM best JOIN d USING (r) JOIN b USING (k) WHERE place = 1
+"""
