@@ -236,7 +236,17 @@ def _translation_replies(spark, sf_dir):
     return d.select(F.col("doc_id").alias("pos"), reply.alias("reply"))
 
 
-@register("apply_translations")
+_UP = "upper(replace({c}, 'ß', 'SS'))"          # full case mapping as in the JVM
+TRANSLATED_SQL = f"""
+SELECT pos, CASE WHEN pos % 11 = 0 THEN question
+                 WHEN pos % 7 = 0 THEN 'say ''hi''' || chr(10) || ' ' || {_UP.format(c='question')} ELSE {_UP.format(c='question')} END AS question,
+       {', '.join(f"CASE WHEN pos % 11 = 0 THEN {c} ELSE {_UP.format(c=c)} END AS {c}" for c in ('option_a', 'option_b', 'option_c', 'option_d'))},
+       answer, config, split,
+       CASE WHEN pos % 11 = 0 THEN 'failed' WHEN pos % 7 = 0 THEN 'repaired' ELSE 'ok' END AS parse_status
+FROM ({_EL_SQL}) e"""
+
+
+@register("apply_translations", TRANSLATED_SQL)
 def q_apply_translations(spark, sf_dir):
     el = Bd.normalize_source(_el_source(spark, sf_dir), "el")
     return Bd.apply_translations(el, _translation_replies(spark, sf_dir), key="pos")

@@ -11,7 +11,9 @@ from gapscope.dims import METRICS
 from gapscope.operators import joins as J
 from gapscope.operators import metrics as M
 from gapscope.operators import reshape as R
+from gapscope.operators.build import translation_coverage
 from gapscope.operators.scoring import score_choice
+from gapscope.plans.benchmark import TRANSLATED_SQL, q_apply_translations
 from gapscope.plans.merges import BL_CTES, batch_long
 from gapscope.plans.registry import register, with_ctes
 from gapscope.plans.scores import scored_responses
@@ -134,8 +136,6 @@ def q_score_choice(spark, sf_dir):
                                                   "conf_wrong")
 
 
-@register("translation_coverage")
+@register("translation_coverage", f"SELECT config, parse_status, count(*) AS n FROM ({TRANSLATED_SQL}) t GROUP BY config, parse_status")
 def q_translation_coverage(spark, sf_dir):
-    from gapscope.operators.build import translation_coverage
-    from gapscope.plans.benchmark import q_apply_translations
     return translation_coverage(q_apply_translations(spark, sf_dir))
