@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.dims import METRICS
+from gapscope.dims import METRICS, literal_array
 from gapscope.operators import joins as J
 from gapscope.operators import metrics as M
 from gapscope.operators import reshape as R
@@ -102,13 +102,16 @@ def q_with_country(spark, sf_dir):
 
 
 @register("with_short_name", """
-SELECT p_partkey, p_brand || '/' || p_name AS model,
-       replace(replace(replace(replace(replace(replace(p_name, 'Meta-Llama-', 'Llama-'), '-Instruction', '-it'),
+SELECT p_partkey, p_brand || '/' || name AS model,
+       replace(replace(replace(replace(replace(replace(name, 'Meta-Llama-', 'Llama-'), '-Instruction', '-it'),
                '-Instruct', '-it'), '-Chat', '-chat'), '-Base', '-base'), '-v1.5', '') AS short
-FROM part""")
+FROM (SELECT p_partkey, p_brand, ['Meta-Llama-', ''][p_partkey % 2 + 1] || p_name
+             || ['-Instruction', '-Instruct', '-Chat', '-Base', '-v1.5', ''][p_partkey % 6 + 1] AS name FROM part) p""")
 def q_with_short_name(spark, sf_dir):
     p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name")
-    return J.with_short_name(p.select("p_partkey", F.concat_ws("/", "p_brand", "p_name").alias("model")))
+    at = lambda parts: F.element_at(literal_array(parts), (F.col("p_partkey") % len(parts) + 1).cast("int"))
+    name = F.concat(at(["Meta-Llama-", ""]), "p_name", at(["-Instruction", "-Instruct", "-Chat", "-Base", "-v1.5", ""]))
+    return J.with_short_name(p.select("p_partkey", F.concat_ws("/", F.col("p_brand"), name).alias("model")))
 
 
 @register("with_short_name_lookup", with_ctes(BASE_CTES, """
@@ -121,11 +124,11 @@ def q_with_short_name_lookup(spark, sf_dir):
 
 
 @register("drop_low_report", with_ctes(BASE_CTES, """
-, per AS (SELECT model, bool_or(coalesce(value >= 0.25, false)) AS k FROM lg WHERE metric = 'accuracy' GROUP BY model)
+, per AS (SELECT model, bool_or(coalesce(value >= 0.36, false)) AS k FROM lg WHERE metric = 'accuracy' GROUP BY model)
 SELECT count(*) FILTER (WHERE NOT k) AS removed, count(*) FILTER (WHERE k) AS kept FROM per"""))
 def q_drop_low_report(spark, sf_dir):
     from gapscope.plans.scores import long_table
-    return M.drop_low_report(long_table(spark, sf_dir, ["accuracy"]), 0.25)
+    return M.drop_low_report(long_table(spark, sf_dir, ["accuracy"]), 0.36)
 
 
 @register("score_choice", with_ctes({"r": B.RESPONSES_SQL}, """

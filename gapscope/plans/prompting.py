@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapscope import dims as D
+from gapscope.dims import literal_array
 from gapscope.operators import prompts as P
 from gapscope.operators.scoring import normalize_gold
 from gapscope.plans.registry import register, with_ctes
@@ -105,15 +106,19 @@ def q_limit_per_subset(spark, sf_dir):
     return P.limit_per_subset(it, 2).select(F.col("item_index").alias("item_id"), "subset")
 
 
-_KW = " OR ".join(f"contains(lower(p_name), {q_(k)})" for k in D.INSTRUCT_KEYWORDS)
+_KW = " OR ".join(f"contains(lower(name), {q_(k)})" for k in D.INSTRUCT_KEYWORDS)
+# part names with the endings of model names, by part key
+_ENDINGS = ["-Instruct", "-7B-Chat", "-it", "-base", "-v1.5"]
+_NAMED = "(SELECT p_partkey, p_name || [" + ", ".join(q_(e) for e in _ENDINGS) + "][p_partkey % 5 + 1] AS name FROM part)"
 
 
 @register("flag_instruct", f"""
-SELECT p_partkey, p_name, ({_KW}) OR p_name IN ({', '.join(q_(m) for m in D.INSTRUCT_MODEL_OVERRIDES)}) AS is_instruct
-FROM part""")
+SELECT p_partkey, name, ({_KW}) OR name IN ({', '.join(q_(m) for m in D.INSTRUCT_MODEL_OVERRIDES)}) AS is_instruct
+FROM {_NAMED} p""")
 def q_flag_instruct(spark, sf_dir):
     p = table(spark, sf_dir, "part", "p_partkey", "p_name")
-    return p.select("p_partkey", "p_name", P.flag_instruct("p_name").alias("is_instruct"))
+    named = p.select("p_partkey", F.concat("p_name", F.element_at(literal_array(_ENDINGS), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("name"))
+    return named.select("p_partkey", "name", P.flag_instruct("name").alias("is_instruct"))
 
 
 @register("normalize_gold", f"""
