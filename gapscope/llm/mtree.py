@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gapscope.llm.common import arrow_pass, pieces, staged
 
-PAGE = 48
+PAGE = 256
 SHARD_ROWS = 8192
 MAX_PIVOTS = 1024
 QUERY_BLOCK = 256
@@ -45,7 +45,7 @@ class MTree:
     FIELDS = ("objects", "extra", "first", "entry_object", "entry_child", "entry_radius", "entry_parent")
 
     def __init__(self, objects: np.ndarray, extra: np.ndarray, first=None, entry_object=None, entry_child=None, entry_radius=None, entry_parent=None):
-        self.objects, self.extra = objects, extra
+        self.objects, self.extra, self.real = objects, extra, None
         self.first, self.entry_object, self.entry_child, self.entry_radius, self.entry_parent = first, entry_object, entry_child, entry_radius, entry_parent
 
     @classmethod
@@ -82,9 +82,17 @@ class MTree:
         x, y = self.objects[a].astype(np.float64), self.objects[others].astype(np.float64)
         return np.sqrt(((y - x) ** 2).sum(axis=1) + (self.extra[others] - self.extra[a]) ** 2)
 
+    def _real(self) -> np.ndarray:
+        if self.real is None:
+            self.real = self.objects.astype(np.float64)
+        return self.real
+
     def search(self, q: np.ndarray, k: int, m2: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """Objects whose score no k others beat, their scores, and how many distances were computed."""
         square = int(q @ q) + m2
+        # below 2^53 all sums are whole numbers that a double holds exactly, and products run in BLAS
+        exact = m2 < 1 << 53 and int(q @ q) < 1 << 53
+        objects_of, point = (self._real(), q.astype(np.float64)) if exact else (self.objects, q)
         found: list[tuple[int, int]] = []           # (score, object) of all within the bound when met
         best: list[int] = []                        # heap of the k greatest scores
         heap = [(0.0, 0, np.inf)]                   # (least distance inside, page, distance to its routing object)
@@ -100,11 +108,14 @@ class MTree:
             if not len(entries):
                 continue
             objects = self.entry_object[entries]
-            scores = self.objects[objects] @ q
+            scores = objects_of[objects] @ point
             computed += len(entries)
             d = np.sqrt(np.maximum(0, square - 2 * scores).astype(np.float64))
             if self.entry_child[lo] < 0:
-                for s, o in zip(scores[d <= bound].tolist(), objects[d <= bound].tolist()):
+                near = np.flatnonzero(d <= bound)
+                if len(near) > k and len(best) == k:      # all but the greatest fall out one by one anyway
+                    near = near[scores[near] >= best[0]]
+                for s, o in zip(scores[near].astype(np.int64).tolist(), objects[near].tolist()):
                     if len(best) < k:
                         heapq.heappush(best, s)
                     elif s > best[0]:
@@ -171,19 +182,21 @@ def _shards(objects: DataFrame, m2: int, dim: int, n: int, shard_rows: int) -> t
     dealt = arrow_pass(objects.select("vid", "v"), "vid long, v array<long>, home long", home)
     dealt = staged(dealt, "mtree-dealt")
     sizes = dealt.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("chunks"))
+    # one row a pivot: shards are numbered through from 0
+    sizes = sizes.withColumn("start", F.sum("chunks").over(Window.orderBy("home")) - F.col("chunks"))
     keyed = dealt.join(sizes, "home").withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")))
+    keyed = keyed.withColumn("shard", F.col("start") + F.col("chunk"))
 
     def build(group: pa.Table) -> pa.Table:
         group = group.sort_by("vid")
         v = _matrix(group.column("v").combine_chunks())
         tree = MTree.build(v, np.sqrt(np.maximum(0, m2 - (v * v).sum(axis=1)).astype(np.float64)))
         fields = {k: pa.array([x], pa.binary()) for k, x in tree.row().items()}
-        return pa.table({"home": group.column("home")[:1], "chunk": group.column("chunk")[:1],
+        return pa.table({**{k: group.column(k)[:1] for k in ("shard", "home", "chunk")},
                          "vids": pa.array([group.column("vid").to_pylist()], pa.list_(pa.int64())), **fields})
 
-    schema = "home long, chunk long, vids array<long>, " + ", ".join(f"{f} binary" for f in MTree.FIELDS)
-    trees = keyed.groupBy("home", "chunk").applyInArrow(build, schema)
-    return staged(trees.withColumn("shard", F.monotonically_increasing_id()), "mtree-shards"), pivots, extra
+    schema = "shard long, home long, chunk long, vids array<long>, " + ", ".join(f"{f} binary" for f in MTree.FIELDS)
+    return staged(keyed.groupBy("shard").applyInArrow(build, schema), "mtree-shards"), pivots, extra
 
 
 def _searched(pairs: DataFrame, dim: int, k: int, m2: int) -> DataFrame:
@@ -258,7 +271,7 @@ def _answers(queries: DataFrame, trees: DataFrame, pivots: np.ndarray, extra: np
     distance = F.sqrt(F.greatest(F.lit(0).cast("long"), own + F.lit(m2) - 2 * F.col("score")).cast("double")) * (1 + 4 * MARGIN) + 4 * MARGIN
     bounded = spread.join(met.select(F.col("qid").alias("vid"), "score"), "vid", "left").withColumn(
         "bound", F.when(F.col("score").isNotNull(), distance).otherwise(float("inf")))
-    shards = [r.shard for r in trees.select("shard").collect()]
-    everywhere = blocks(bounded).withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]))).drop("home")
+    last = trees.agg(F.max("shard")).first()[0]
+    everywhere = blocks(bounded).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last)))).drop("home")
     pairs = everywhere.join(trees.drop("home", "chunk"), "shard").drop("shard", "block")
     return _searched(pairs, dim, k + 1, m2)
