@@ -97,9 +97,14 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int) -> Da
         ids, hashes, held = [], [], 0
 
         def closed() -> pa.RecordBatch:
-            words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+            words, codes, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            # common words get small codes: their upper byte planes are all but empty
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            words, codes = words[order], place[codes]
             columns = [pa.array([part << 32 | number]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(h) for h in hashes]], pa.list_(pa.int64())),
-                       pa.array([pack(words)], pa.binary()), pa.array([pack(codes.astype(np.uint32))], pa.binary())]
+                       pa.array([pack(words)], pa.binary()), pa.array([pack(codes)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "words", "codes"])
 
         for b in pieces(batches, BATCH):
