@@ -40,7 +40,7 @@ ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
 HASH_BITS = 56
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 3 << 19
 PARTITION_ENTRIES = 1 << 19
 BATCH = 256
 
