@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gapscope.llm.common import arrow_pass, pieces
 
-ENTRIES = 300_000            # dictionary entries a worker keeps
+ENTRIES = 200_000            # dictionary entries a worker keeps
 BATCH = 256
 NEVER = 1 << 60
 
@@ -105,7 +105,7 @@ class Vocabulary:
         key = a << 24 | b
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= 4 * ENTRIES:
+            if len(self._pairs) >= 3 * ENTRIES:
                 self._pairs.clear()
             known = self._pairs[key] = not self._crossed(a, b, joined=False)
         return known

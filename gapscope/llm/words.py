@@ -12,7 +12,7 @@ import re
 import numpy as np
 import xxhash
 
-ENTRIES = 400_000
+ENTRIES = 200_000
 _WORD = re.compile(r"\w+")
 
 
