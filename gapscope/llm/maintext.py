@@ -34,7 +34,9 @@ SMOOTH = 1.2               # capacity of an edge between blocks of one container
 SMALL = 1e-9
 WRAPPER = 0.6              # an element with more than this share of the text is no side part
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:"[^"]{0,65536}+"|'[^']{0,65536}+'|[^'"<>])*+)>""", re.S)
+# a common tag is matched whole here; _tag_end reads what is longer, so the figures below bound the work of a try and no tag
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?:[^'"<>]*+(?:(?:"[^"]{0,200}+"|'[^']{0,200}+')[^'"<>]*+){0,8}+>)?""", re.S)
+_PLAIN = re.compile(r"""[^'"<>]*+""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = re.compile(r"""[.!?…:;]["'»”)\]]*$""")
@@ -94,6 +96,30 @@ def _hints(tag: str, attrs: str, inside_main: bool) -> tuple[float, bool]:
     return side, main
 
 
+def _tag_end(page: str, at: int, dead: set[int | str]) -> int:
+    """The end of a tag whose name ends at ``at``, quoted values of any length passed over; -1: no tag.
+
+    ``dead`` holds the page's opening quotes, and the signs ``"`` and ``'``, that are known to
+    end no tag, so that tries from many names read a part of the page a fixed number of times.
+    """
+    tried: list[int | str] = []
+    while True:
+        at = _PLAIN.match(page, at).end()
+        sign = page[at:at + 1]
+        if sign == ">":
+            return at + 1
+        if sign in ("", "<") or at in dead or sign in dead:
+            break
+        tried.append(at)
+        close = page.find(sign, at + 1)
+        if close < 0:
+            tried.append(sign)                  # nor is any later one of this sign closed
+            break
+        at = close + 1
+    dead.update(tried)
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
@@ -101,7 +127,8 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links = 0
     anchor = mains = skipping = 0
-    at = 0
+    at = look = 0
+    dead: set[int | str] = set()
 
     def flush() -> None:
         nonlocal links
@@ -131,17 +158,23 @@ def blocks(page: str) -> list[Block]:
 
     end = len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, look)
         if m is None:
             text(page[at:])
             break
+        stop = m.end()
+        if m["tag"] is not None and page[stop - 1] != ">":
+            stop = _tag_end(page, stop, dead)
+            if stop < 0:                            # no tag: its signs are text
+                look = m.end()
+                continue
         text(page[at:m.start()])
-        at = m.end()
+        at = look = stop
         if m["tag"] is None:
             if m["cdata"]:
                 text(html.escape(m["cdata"]))
             continue
-        tag = m["tag"].lower()
+        tag, attrs = m["tag"].lower(), page[m.end("tag"):stop - 1]
         if m["close"]:
             if tag in BLOCKS:
                 flush()
@@ -177,11 +210,11 @@ def blocks(page: str) -> list[Block]:
                         break
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = look = close.end() if close else end
             continue
-        if m["attrs"].endswith("/") and tag not in BLOCKS:
+        if attrs.endswith("/") and tag not in BLOCKS:
             continue
-        side, main = _hints(tag, m["attrs"], mains > 0)
+        side, main = _hints(tag, attrs, mains > 0)
         stack.append(Element(tag, side, main, len(stack)))
         mains += main
         anchor += tag == "a"

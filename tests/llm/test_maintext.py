@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from itertools import product
 from math import exp, log1p
 
@@ -69,3 +70,34 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in maintext.extract(pages).collect()))
     assert len(got) == 7 and got[0][1] == "" and got[1][1] == "" and got[4][1] == LONG and got[5][1] == "\n".join([LONG] * 800) and got[6][1] == LONG
     assert maintext.extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("size", [70_000, 5_000_000])
+@pytest.mark.parametrize("sign", ['"', "'"])
+def test_attribute_values_of_any_length(size, sign):
+    value = ("iVBORw0KGgo>/+<" * (size // 15 + 1))[:size]
+    image = f"<img alt={sign}{sign} src={sign}data:image/png;base64,{value}{sign}>"
+    page = f"{MENU}<div data-state={sign}{value}{sign} class=content><p>{LONG}</p>{image}<p>{MORE}</p></div><div data-x={sign}{value}{sign} class=sidebar><p>{LONG}</p></div>{FOOT}"
+    assert maintext.main_text(page) == f"{LONG}\n{MORE}"
+    assert maintext.main_text(f"<article><p>{LONG} {image}</p></article>") == LONG
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_tag_ends_by_plain_pattern(seed):
+    plain = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>""")
+    r = random.Random(seed)
+    page = "".join(r.choices(["<i", "</b", '"', "'", " ", ">", "<", "x=", "y" * 201], k=r.randint(1, 150)))
+    want, got, look, dead = [m.span() for m in plain.finditer(page)], [], 0, set()
+    while m := maintext._TOKEN.search(page, look):
+        stop = m.end() if page[m.end() - 1] == ">" else maintext._tag_end(page, m.end(), dead)
+        look = max(m.end(), stop)
+        if stop > 0:
+            got.append((m.start(), stop))
+    assert got == want
+
+
+@pytest.mark.parametrize("page", ['<a "' + 'x<b" "' * 100_000 + "<", '<a x="' + "<a '" * 100_000, "<a b='" * 100_001, '<p"' * 100_000, "<p x='\">" * 50_001, '<a "' + '<b" "' * 50_000 + '\'<c "' * 50_000])
+def test_open_quotes_in_linear_time(page):
+    start = time.process_time()
+    maintext.main_text(page)
+    assert time.process_time() - start < 10
