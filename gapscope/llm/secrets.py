@@ -18,8 +18,9 @@ Weak candidates are reported only when complementary parts co-occur: a ``key``
 needs an access identifier within ``scope`` code points (gap between the two
 spans), and an ``endpoint`` is reported when such a linked pair has it within
 ``scope`` of the identifier.  The links come from an interval join: parts are
-exploded to (text, bin) rows with bins as wide as the scope, joined on the bin
-and tested by their gap.  Spans of one kind do not overlap and have a least
+exploded to (text, bin) rows with bins as wide as the scope (identifiers to all bins
+within the scope, the others to all bins they cover), joined on the bin and tested by
+their gap.  Spans of one kind do not overlap and have a least
 length, so a bin holds a bounded number of them whatever the text's length.
 
 Positions are code points, the end is exclusive.  A null text counts as empty;
@@ -99,9 +100,11 @@ def _near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / scope), F.floor(hi / scope)))
     a = left.select("row", F.col("start").alias("s1"), F.col("end").alias("e1"),
                     bins(F.greatest(F.col("start") - scope, F.lit(0)), F.col("end") + scope).alias("bin"))
-    b = right.select("row", F.col("start").alias("s2"), F.col("end").alias("e2"), F.floor(F.col("start") / scope).alias("bin"))
+    b = right.select("row", F.col("start").alias("s2"), F.col("end").alias("e2"), bins(F.col("start"), F.col("end")).alias("bin"))
     gap = F.greatest(F.col("s2") - F.col("e1"), F.col("s1") - F.col("e2"))
-    return a.join(b, ["row", "bin"]).where(gap <= scope).select("row", "s1", "e1", "s2", "e2")
+    # two spans can share several bins; the first of them gives the pair
+    first = F.col("bin") == F.floor(F.greatest(F.col("s1") - scope, F.col("s2"), F.lit(0)) / scope)
+    return a.join(b, ["row", "bin"]).where((gap <= scope) & first).select("row", "s1", "e1", "s2", "e2")
 
 
 def linked_spans(parts: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -72,3 +72,23 @@ def test_query_counts_and_digest(spark, tmp_path):
         said = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
         assert r.base_sha256 == hashlib.sha256(said(base).encode()).hexdigest() and r.spans == said(base + linked)
+
+
+def test_parts_at_every_offset_around_the_scope(spark):
+    scope, far = 40, "http://e.example.org/" + "a" * 150
+    part = lambda gap, before, after: f"{before}{' ' * gap}{after}"
+    texts = [" " * lead + part(gap, *pair) for lead in range(0, 2 * scope, 3) for gap in range(scope - 2, scope + 3) for pair in ((KEY, ID), (ID, KEY))]
+    texts += [" " * lead + part(gap, *pair) for lead in range(0, 2 * scope, 3) for gap in range(scope - 2, scope + 3)
+              for pair in ((far, f"{ID} {KEY}"), (f"{KEY} {ID}", far))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [tuple(s) for s in r.linked] for r in secrets.secret_spans(docs, scope=scope).collect()}
+    want = {i: brute(t, scope)[1] for i, t in enumerate(texts)}
+    assert got == want and {len(v) for v in want.values()} == {0, 1, 2}
+
+
+def test_long_endpoint_and_the_usual_scope(spark):
+    far = "https://e.example.org/" + "a" * 100_000
+    texts = [" " * lead + part + " " * gap + f"{ID} {KEY}" for lead in (0, 380, 399) for part in (KEY, far) for gap in (389, 390, 400, 401)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.linked] for r in secrets.secret_spans(docs).collect()}
+    assert got == {i: brute(t)[1] for i, t in enumerate(texts)}
