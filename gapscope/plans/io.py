@@ -15,7 +15,7 @@ from gapscope.operators.prompts import limit_per_subset
 from gapscope.operators.reshape import to_wide
 from gapscope.plans.benchmark import PARSE_SQL, REPLIES
 from gapscope.plans.gapviews import SUBS, _WIDE_SQL
-from gapscope.plans.logits import LP_CTES
+from gapscope.plans.logits import LP_CTES, R9
 from gapscope.plans.registry import register, with_ctes
 from gapscope.plans.scores import scored_responses
 from gapscope.plans.sqlparts import BASE_CTES
@@ -133,6 +133,62 @@ def q_read_probe(spark, sf_dir):
                         F.col("top1_is_letter_count").cast("long").alias("top1_is_letter_count"))
 
 
+#: Positions that the records of one probe document cover at most.
+PROBE_PART = 1000
+
+
+def _probe_all(spark, sf_dir):
+    """S3: every record of the probe, in several documents per cell, written and read back."""
+    path = _scratch(spark, "probe-all")
+    tokens = B.letter_tokens(spark, sf_dir)
+    used = L.resolve_variants(tokens, "first").select("model", "prefix").distinct()
+    sc = L.score_logprobs(B.logits(spark, sf_dir), L.resolve_variants(tokens, "all"), used_prefix=used)
+    # the binding has no prompts: the position stands in for the prompt's tail
+    rec = F.struct(F.col("pos").cast("string").alias("prompt_tail"), F.col("gold").alias("gold_answer"),
+                   F.transform("top_tokens", lambda t: F.struct(
+                       t["rank"].alias("rank"), t["token_id"].alias("token_id"), t["log_prob"].alias("log_prob"),
+                       t["prob"].alias("prob"))).alias("top_k_tokens"),
+                   F.col("top1_is_letter").alias("top1_is_answer_letter_variant"),
+                   "top1_matches_used_prefix", "pred_under_used_prefix")
+    cells = sc.groupBy("model", "used_prefix", "subset", F.floor(F.col("pos") / PROBE_PART).alias("part")).agg(
+        F.count(F.lit(1)).cast("int").alias("n_samples"),
+        F.count_if("top1_is_letter").cast("int").alias("top1_is_answer_letter_variant_count"),
+        F.count_if("top1_matches_used_prefix").cast("int").alias("top1_matches_used_prefix_count"),
+        F.sort_array(F.collect_list(F.struct("pos", rec.alias("r")))).alias("recs"))   # <= PROBE_PART, pos is unique
+    docs = cells.select("model", F.col("used_prefix").alias("prefix_used_for_scoring"), F.create_map("subset", F.struct(
+        "n_samples", "top1_is_answer_letter_variant_count", "top1_matches_used_prefix_count",
+        F.transform("recs", lambda x: x["r"]).alias("records"))).alias("subsets"))
+    docs.write.mode("overwrite").json(path)
+    return S.read_probe(spark, path, multi_line=False)
+
+
+@register("read_probe_all", with_ctes(LP_CTES, "SELECT * FROM pr"))
+def q_read_probe_all(spark, sf_dir):
+    """S3: the rates of whole cells, added up over the documents of each cell."""
+    rates, _records = _probe_all(spark, sf_dir)
+    out = rates.groupBy("model", "subset").agg(*[F.sum(c).alias(c) for c in (
+        "n_samples", "top1_is_letter_count", "top1_matches_used_prefix_count")])
+    return out.select("model", "subset", "n_samples",
+                      "top1_is_letter_count", (F.col("top1_is_letter_count") / F.col("n_samples")).alias("top1_is_letter_rate"),
+                      "top1_matches_used_prefix_count",
+                      (F.col("top1_matches_used_prefix_count") / F.col("n_samples")).alias("top1_matches_used_prefix_rate"))
+
+
+@register("read_probe_records", with_ctes({**LP_CTES, "up": """
+SELECT pos, substr('ABCD', CAST(token_id + 1 AS INTEGER), 1) AS pred_used FROM (
+  SELECT *, row_number() OVER (PARTITION BY pos ORDER BY x DESC, token_id) AS r FROM t3 WHERE token_id < 4) z WHERE r = 1"""}, f"""
+SELECT f.model, f.subset, f.pos, f.gold, up.pred_used, f.top1_is_letter, CAST(lp.rnk AS INTEGER) AS rank, lp.token_id,
+       round(lp.log_prob, {R9}) AS log_prob, round(exp(lp.log_prob), {R9}) AS prob
+FROM flags f JOIN up ON up.pos = f.pos JOIN lp ON lp.pos = f.pos AND lp.rnk <= 5"""))
+def q_read_probe_records(spark, sf_dir):
+    """S3: the records of whole cells, one row per top token."""
+    _rates, records = _probe_all(spark, sf_dir)
+    rows = records.select("model", "subset", F.col("prompt_tail").cast("long").alias("pos"), F.col("gold_answer").alias("gold"),
+                          F.col("pred_under_used_prefix").alias("pred_used"), "top1_is_letter", F.explode_outer("top_tokens").alias("t"))
+    return rows.select("model", "subset", "pos", "gold", "pred_used", "top1_is_letter", "t.rank", "t.token_id",
+                       F.round("t.log_prob", R9).alias("log_prob"), F.round("t.prob", R9).alias("prob"))
+
+
 REPLY_SCHEMA = T.StructType([T.StructField("pos", T.LongType()), T.StructField("config", T.StringType()),
                              T.StructField("expected", T.IntegerType()), T.StructField("reply", T.StringType())])
 

@@ -123,7 +123,7 @@ def read_probe(spark: SparkSession, path: str, multi_line: bool = True) -> tuple
                          "s.top1_matches_used_prefix_count", "s.top1_matches_used_prefix_rate")
     records = cells.select("model", "subset", F.posexplode("s.records").alias("pos", "r")).select(
         "model", "subset", "pos", F.col("r.top1_is_answer_letter_variant").alias("top1_is_letter"),
-        F.col("r.top_k_tokens").alias("top_tokens"), "r.gold_answer", "r.pred_under_used_prefix")
+        F.col("r.top_k_tokens").alias("top_tokens"), "r.gold_answer", "r.pred_under_used_prefix", "r.prompt_tail")
     return rates, records
 
 

@@ -109,3 +109,24 @@ def test_process_results_keeps_every_subset_and_file(spark):
     assert out["accuracy_filtered"].count() == 2 and out["accuracy_filtered"].columns == acc.columns
     write_results(out, out_dir)
     assert S.read_wide_csv(spark, f"{out_dir}/accuracy", keys=("file", "model", "country")).count() == 3
+
+
+def test_probe_round_trip_of_whole_cells(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    import __spark_entry__ as E
+    r = random.Random(5)
+    data = [(i, [r.gauss(0, 1) for _ in range(12)], i // 1500) for i in range(2400)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    said = lambda row: tuple(round(v, 8) if isinstance(v, float) else v for v in row)
+    for name, n in (("read_probe_all", 6), ("read_probe_records", 5 * 2400)):
+        df = E.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({E.oracle_sql()[name]})").fetchall()
+        got = [tuple(x) for x in df.collect()]
+        assert len(got) == n and sorted(map(said, got)) == sorted(map(said, want))
+        if name == "read_probe_all":
+            assert sorted((x[0], x[1], x[2]) for x in got) == [(m, s, k) for m, k in (("E0", 500), ("E1", 300)) for s in ("chinese_ca", "chinese_cs", "chinese_cs_en")]
