@@ -254,15 +254,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` without all but one document of each component (the one of least id).
 
-    Rows of one ``doc_id`` are one document: one of them stays.  A row without an
-    id gets a number from its text above 2^62, so it yields to rows with ids.
+    Rows of one ``doc_id`` and one text are one document: one of them stays.  Rows of one id
+    and different texts are different documents, each in the component of its text.  A row
+    without an id gets a number from its text above 2^62, so it yields to rows with ids.
     """
     own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("key"), F.struct("*").alias("doc"))
-    found = near_duplicates(keyed.select("key", F.col("doc.text").alias("text")), "key", "text", shingle, distance)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("key"), F.xxhash64(F.lit("text"), text).alias("digest"),
+                        F.struct("*").alias("doc"))
+    found = near_duplicates(keyed.select(F.struct("key", "digest").alias("row"), F.col("doc.text").alias("text")), "row", "text", shingle, distance)
     found = staged(found, "simhash-found")
-    gone = found.where("key <> component").select("key").distinct()
-    kept = keyed.join(gone, "key", "left_anti")
-    if not found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["key"])
+    gone = found.where("row <> component").select("row.key", "row.digest").distinct()
+    kept = keyed.join(gone, ["key", "digest"], "left_anti")
+    if not found.groupBy("row.key", "row.digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["key", "digest"])
     return kept.select("doc.*")

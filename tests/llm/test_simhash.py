@@ -117,3 +117,10 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted((str(r.doc_id), r.gone) for r in kept.collect()) == [("2", "y"), ("9", None), ("None", "w")]
     assert simhash.keep_one(docs.where(F.lit(False))).count() == 0
+
+
+def test_keep_one_with_one_id_for_two_texts(spark):
+    rows = [(1, "the same words stand here", "a"), (5, "the same words stand here", "b"), (5, "quite another text of words", "c"),
+            (7, "a third one without any copy", "d"), (7, "and yet a fourth, which differs", "e"), (8, None, "f"), (8, "", "f")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, name string"))
+    assert sorted(r.name for r in kept.collect()) == ["a", "c", "d", "e", "f"]
