@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import backoff, bpe, decontaminate, langid, maintext, mtree, secrets, simhash, tokenfile, warc
+from gapscope.llm import backoff, bpe, decontaminate, langid, maintext, mtree, resample, secrets, simhash, tokenfile, warc
 from gapscope.llm.common import fresh_path, table
 
 QUERIES: dict = {}
@@ -117,3 +117,12 @@ def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_stupid_backoff"] = op3_stupid_backoff
 ORACLES["op3_stupid_backoff"] = backoff.ORACLE
+
+
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+QUERIES["op13_target_resample"] = op13_target_resample
+ORACLES["op13_target_resample"] = resample.ORACLE
