@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import backoff, bpe, decontaminate, langid, maintext, mtree, resample, secrets, simhash, tokenfile, warc
+from gapscope.llm import backoff, bpe, decontaminate, divergence, langid, maintext, mtree, resample, secrets, simhash, tokenfile, warc
 from gapscope.llm.common import fresh_path, table
 
 QUERIES: dict = {}
@@ -126,3 +126,11 @@ def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op13_target_resample"] = op13_target_resample
 ORACLES["op13_target_resample"] = resample.ORACLE
+
+
+def op11_source_quadtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_source_quadtree"] = op11_source_quadtree
+ORACLES["op11_source_quadtree"] = divergence.ORACLE
