@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import backoff, bpe, decontaminate, divergence, langid, maintext, mtree, resample, secrets, simhash, tokenfile, warc
+from gapscope.llm import backoff, bpe, decontaminate, divergence, langid, maintext, mtree, resample, secrets, simhash, tokenfile, toxicity, warc
 from gapscope.llm.common import fresh_path, table
 
 QUERIES: dict = {}
@@ -134,3 +134,14 @@ def op11_source_quadtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op11_source_quadtree"] = op11_source_quadtree
 ORACLES["op11_source_quadtree"] = divergence.ORACLE
+
+
+def op12_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.held_out())
+    seen = docs.where("not held_out")
+    model = toxicity.fit(seen, table(spark, sf_dir, "labels").where(~toxicity.held_out()), toxicity.fit_characters(seen))
+    found = toxicity.predict(docs, model)
+    return found.select("doc.doc_id", "doc.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "changes")
+
+
+QUERIES["op12_channel_toxicity"] = op12_channel_toxicity
