@@ -61,24 +61,30 @@ def _symbol(c: str) -> int:
     return ord(low) - 96 if "a" <= low <= "z" else 27 if c.isdigit() else 28 + ord(low) % 36 if low.isalpha() else 0
 
 
+#: Marks of a code point: letter, look-alike, part of a token, separator, look-alike that is no digit.
+_LETTER, _LOOK, _INSIDE, _GAP, _SIGN = 1, 2, 4, 8, 16
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of every code point of the basic plane, and which of them are look-alikes."""
+    """Symbol and marks of every code point of the basic plane; the last entry stands for all beyond."""
     symbols = np.array([0 if 0xD800 <= c < 0xE000 else _symbol(chr(c)) for c in range(1 << 16)], np.uint8)
-    looks = np.zeros(1 << 16, bool)
-    looks[[ord(c) for c in LOOKS]] = True
-    return symbols, looks
+    symbols[-1] = 0
+    marks = np.where(symbols > 0, _INSIDE, 0) | np.where((symbols > 0) & (symbols != 27), _LETTER, 0)
+    for chars, mark in ((LOOKS, _LOOK | _INSIDE), (SEPARATORS, _GAP), ([c for c in LOOKS if not c.isdigit()], _SIGN)):
+        marks[[ord(c) for c in chars]] |= mark
+    return symbols, marks.astype(np.uint8)
 
 
 def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), (1 << 16) - 1)
 
 
 def symbols_of(text: str) -> np.ndarray:
     """Symbols with one boundary at each end and for each run of other characters."""
     p = _points(text)
     s = np.zeros(len(p) + 2, np.int64)
-    s[1:-1] = np.where(p < 1 << 16, _tables()[0][np.minimum(p, (1 << 16) - 1)], 0)
+    s[1:-1] = _tables()[0][p]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
     return s[keep]
@@ -196,42 +202,33 @@ def _write_decided(states: dict, written: list[str]) -> dict:
 
 def spans(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, chain) of the parts of a text that could be disguised words, in order."""
-    p = _points(text)
-    if not len(p):
-        return []
-    low = np.minimum(p, (1 << 16) - 1)
-    table, looking = _tables()
-    sym = np.where(p < 1 << 16, table[low], 0)
-    look = looking[low] & (p < 1 << 16)
-    letter = (sym > 0) & (sym != 27)
-    inside = (sym > 0) | look
+    symbols, marks = (t[_points(text)] for t in _tables())
+    letter, look, inside = ((marks & m) > 0 for m in (_LETTER, _LOOK, _INSIDE))
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
     start, end = edge[::2], edge[1::2]                       # tokens
     if not len(start):
         return []
-    token = np.cumsum(np.diff(np.concatenate([[False], inside])).astype(bool) & inside) - 1
-    near = np.zeros(len(p), bool)
-    near[1:] |= look[1:] & letter[:-1]
-    near[:-1] |= look[:-1] & letter[1:]
-    same = letter[2:] & (sym[2:] == sym[1:-1]) & (sym[2:] == sym[:-2])
-    near[2:] |= same
-    odd = np.unique(token[near])
+    beside = np.flatnonzero((look[1:] & letter[:-1]) | (letter[1:] & look[:-1]))
+    same = np.flatnonzero(letter[2:] & (symbols[2:] == symbols[1:-1]) & (symbols[2:] == symbols[:-2]))
+    odd = np.unique(np.searchsorted(start, np.concatenate([beside, same]), "right") - 1)
     # chains: tokens of one character, one separator apart, three or more, two letters at least; a sign that ends a token is no part
-    ending = (sym == 0) & inside & ~np.append(inside[1:], False) & np.append(False, inside[:-1])
+    ending = ((marks & _SIGN) > 0) & ~np.append(inside[1:], False) & np.append(False, inside[:-1])
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside & ~ending, [False]])))
     first, last = edge[::2], edge[1::2]
     one = np.flatnonzero(last - first == 1)
     found = []
     if len(one) > 2:
-        sep = np.append(np.isin(low, [ord(c) for c in SEPARATORS]), False)
+        sep = np.append((marks & _GAP) > 0, False)
         linked = (np.diff(one) == 1) & (first[one[1:]] - last[one[:-1]] == 1) & sep[last[one[:-1]]]
         cut = np.concatenate([[0], np.flatnonzero(~linked) + 1, [len(one)]])
         found = [(int(first[one[a]]), int(last[one[b - 1]]), True) for a, b in zip(cut[:-1], cut[1:])
                  if b - a > 2 and letter[first[one[a:b]]].sum() > 1]
-    taken = np.zeros(len(p), bool)
-    for a, b, _ in found:
-        taken[a:b] = True
-    found += [(int(start[t]), int(end[t]), False) for t in odd if not taken[start[t]:end[t]].any()]
+    if found:
+        taken = np.zeros(len(marks), bool)
+        for a, b, _ in found:
+            taken[a:b] = True
+        odd = [t for t in odd if not taken[start[t]:end[t]].any()]
+    found += [(int(start[t]), int(end[t]), False) for t in odd]
     return sorted(found)
 
 
@@ -247,20 +244,19 @@ def restore(text: str, model: CharModel) -> tuple[str, int]:
     return ("".join(out) + text[at:], changed) if changed else (text, 0)
 
 
-def pieces_of(text: str) -> np.ndarray:
-    """Distinct buckets of the word pieces of a text."""
+def pieces_of(text: str, among: np.ndarray | None = None) -> np.ndarray:
+    """Distinct buckets of the word pieces of a text; ``among``: only those that it marks."""
     s = symbols_of(text).astype(np.uint64)
-    gaps = np.concatenate([[0], np.cumsum(s == 0)])
-    found = []
-    for n in PIECES:
+    found, whole, key = [], np.ones(max(0, len(s) - 2), bool), s
+    for n in range(2, PIECES[-1] + 1):
         if len(s) < n:
             break
-        key = np.zeros(len(s) - n + 1, np.uint64)
-        for k in range(n):
-            key = key << np.uint64(6) | s[k:len(s) - n + 1 + k]
-        whole = gaps[n - 1:-1] == gaps[1:len(gaps) - n + 1]             # no boundary but at the ends
-        key = key[whole] * np.uint64(8) + np.uint64(n)
-        found.append(key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS))
+        key = key[:-1] << np.uint64(6) | s[n - 1:]
+        if n > 2:                                            # no boundary but at the ends
+            whole = whole[:len(key)] & (s[n - 2:-1] > 0)
+        if n in PIECES:
+            bucket = (key[whole] * np.uint64(8) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)
+            found.append(bucket if among is None else bucket[among[bucket]])
     return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -289,11 +285,11 @@ class Model:
 
     def __init__(self, chars: CharModel, buckets: np.ndarray, weights: np.ndarray, constant: float):
         self.chars, self.constant = chars, constant
-        self.weight = np.zeros(1 << BUCKET_BITS, np.float32)
-        self.weight[buckets] = weights
+        self.weight, self.chosen = np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(1 << BUCKET_BITS, bool)
+        self.weight[buckets], self.chosen[buckets] = weights, True
 
     def score(self, text: str) -> float:
-        x = self.constant + float(self.weight[pieces_of(text)].sum(dtype=np.float64))
+        x = self.constant + float(self.weight[pieces_of(text, self.chosen)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
 
 
@@ -325,9 +321,15 @@ def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, text_col: str = "t
     chosen = (labels.withColumn("h", F.xxhash64("id")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
               .withColumn("at", F.row_number().over(least)).where(F.col("at") <= sample).select("id", "y"))
     # at most 2 x sample rows of two numbers
-    texts = staged(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-                   .join(F.broadcast(chosen), "id").select("y", "t"), "toxicity-sample")
     shared = docs.sparkSession.sparkContext.broadcast(chars)
+
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, BATCH):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([restore(t, shared.value)[0] for t in b.column(1).to_pylist()], pa.string())], ["y", "t"])
+
+    rows = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+            .join(F.broadcast(chosen), "id").select("y", "t"))
+    texts = staged(arrow_pass(rows, "y int, t string", restored), "toxicity-sample")
     counts = {r.y: r.n for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1:
@@ -339,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, text_col: str = "t
         seen = np.zeros((2, 1 << BUCKET_BITS), np.int32)
         for b in pieces(batches, BATCH):
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[y, pieces_of(restore(t, shared.value)[0])] += 1
+                seen[y, pieces_of(t)] += 1
         at = np.flatnonzero(seen.sum(axis=0))
         for a in range(0, len(at), 50_000):
             part = at[a:a + 50_000]
@@ -358,8 +360,8 @@ def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, text_col: str = "t
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, BATCH):
-            at = [spot.value[pieces_of(restore(t, shared.value)[0])] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[x >= 0] for x in at], pa.list_(pa.int32()))], ["y", "at"])
+            at = [spot.value[pieces_of(t, spot.value >= 0)] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], ["y", "at"])
 
     per_row = {0: sizes[0] / n0, 1: sizes[1] / n1}
 
