@@ -6,25 +6,24 @@ subsets, ``cs::<locale>::<item>`` over ``<locale>_cs`` and ``<locale>_cs_en``).
 
 Fit (joint maximum likelihood, no prior):
 
-* responses are reduced to (e, i, y) and written once to the shared
-  checkpoint folder (the iteration re-reads them; an executor loss re-reads
-  the checkpoint, not the source);
-* examinees / items with all-right or all-wrong answers have no finite MLE;
-  they are trimmed repeatedly and returned in ``excluded``;
-* components of the observed examinee-item graph (min-label propagation)
-  carry the identification: theta is anchored to mean 0 per component;
-* each iteration is a damped Newton step for every theta (items fixed), then
-  for every b (thetas fixed): ``responses x theta x b`` joins, broadcast only
-  where Spark's own size estimate (exact for a checkpoint) is under the
-  session's limit, followed by a partial+final aggregate;
-* parameter tables are checkpointed every iteration (small, cuts lineage:
-  each step's plan references the previous tables several times, so an
-  uncut plan would grow exponentially with the iteration count);
-  the per-component anchor (mean theta 0) is applied once at the end, since
-  the likelihood depends on theta - b only.
-
-The log-likelihood is concave, so any convergent optimiser reaches the same
-anchored point when a finite MLE exists.
+* responses are reduced to (e, i, y) and written once to the shared checkpoint folder;
+* examinees / items with all-right or all-wrong answers have no finite MLE; they are
+  trimmed repeatedly and returned in ``excluded``;
+* trimming is necessary, not sufficient: an estimate exists only where the directed
+  graph of "beats" is strongly connected, so each component of the observed graph is cut
+  to its largest strongly connected block (``estimable_blocks``);
+* components carry the identification: theta is anchored to mean 0 per component;
+* complete blocks depend on the scores only and collapse to score groups (``score_cells``);
+* each iteration is a damped Newton step for every theta (items fixed), then for every b
+  (thetas fixed).  Components of bounded size are iterated within a task; for larger ones a
+  step is a join of the cells with both parameter tables (broadcast only where Spark's own
+  size estimate, exact for a checkpoint, is under the session's limit) and a partial and
+  final aggregate, and parameter tables are checkpointed (small, cuts lineage);
+* the per-component anchor (mean theta 0) is applied once at the end, since the
+  likelihood depends on theta - b only.
+
+The log-likelihood is concave, so any convergent optimiser reaches the same anchored
+point when a finite MLE exists.
 """
 
 from __future__ import annotations
@@ -35,9 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapscope.functions.components import components
+from gapscope.functions.strong import strong_components
+from gapscope.operators.rasch_task import STEP_CLIP, in_tasks
 from gapscope.session import reliable_checkpoint
 
-STEP_CLIP = 1.0                  # damping: |Newton step| <= 1 logit
+TASK_ROWS = 1_000_000            # responses of a connected component that one task may hold
 
 
 def sigmoid(x: Column) -> Column:
@@ -130,7 +131,7 @@ class RaschFit:
     theta: DataFrame          # (model, subset, component, theta, score, n)
     b: DataFrame              # (item_key, component, b, score, n)
     excluded: DataFrame       # (kind, node, reason, round)
-    log: list = field(default_factory=list)   # per-iteration dicts (driver scalars)
+    log: list = field(default_factory=list)   # per-iteration dicts (driver scalars) of the distributed steps
     converged: bool = False
 
 
@@ -159,84 +160,174 @@ def trim_extremes(resp: DataFrame) -> tuple[DataFrame, DataFrame]:
         rnd += 1
 
 
+def estimable_blocks(resp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The part of trimmed responses (e, i, y) that has a finite estimate, and the rest as ``excluded``.
+
+    Who answers right beats the item, who answers wrong is beaten by it.  The estimate of
+    a connected component exists if and only if its graph of beats is strongly connected:
+    otherwise some nodes beat all others wherever they meet, and the distance to them
+    grows without end.  The strongly connected block of most nodes (ties: least node)
+    stays in each component; nodes outside it are ``quasi_separated``.
+
+    Returns ((component, e, i, y), excluded); component is the least item of the block.
+    """
+    # items sort before examinees, as in irt_components
+    e, i = F.concat(F.lit("~"), "e"), F.concat(F.lit("i"), "i")
+    parts = components(resp.select(i.alias("a"), e.alias("b")))
+    roots = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
+    roots = reliable_checkpoint(roots.select("node", F.col("root").alias("part")))
+    beats = resp.select(F.when(F.col("y") == 1, e).otherwise(i).alias("u"), F.when(F.col("y") == 1, i).otherwise(e).alias("v"))
+    blocks = strong_components(beats.join(roots.withColumnRenamed("node", "u"), "u"))
+    sized = roots.join(blocks, "node")
+    chosen = sized.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(
+        F.min_by("block", F.struct(-F.col("n"), "block")).alias("block"))
+    stay = reliable_checkpoint(sized.join(chosen, ["part", "block"]).select("node", F.expr("substr(block, 2)").alias("component")))
+    gone = roots.join(stay, "node", "left_anti").select(
+        F.when(F.col("node").startswith("~"), "e").otherwise("i").alias("kind"), F.expr("substr(node, 2)").alias("node"),
+        F.lit("quasi_separated").alias("reason"), F.lit(None).cast("int").alias("round"))
+    of = lambda mark, name: stay.where(F.col("node").startswith(mark)).select(
+        F.expr("substr(node, 2)").alias(name), F.col("component").alias(f"component_{name}"))
+    kept = resp.join(of("~", "e"), "e").join(of("i", "i"), "i").where("component_e = component_i")
+    return reliable_checkpoint(kept.select(F.col("component_e").alias("component"), "e", "i", "y")), gone
+
+
+def score_cells(kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Responses (component, e, i, y) as the cells that a fit needs, complete components collapsed.
+
+    Where every examinee answered every item, equal scores have equal estimates, so the
+    component is as many cells as it has pairs of (examinee score, item score); elsewhere
+    a cell is a response.  Returns (cells (ekey, ikey, we, wi), examinees and items, both
+    (node, component, key, score, n)); we and wi are how many nodes a key stands for.
+    """
+    def nodes(kind: str) -> DataFrame:
+        return kept.groupBy("component", F.col(kind).alias("node")).agg(F.sum("y").alias("score"), F.count(F.lit(1)).alias("n"))
+
+    size = lambda df, name: df.groupBy("component").agg(F.count(F.lit(1)).alias(name), F.sum("n").alias("cells"))
+    e, i = reliable_checkpoint(nodes("e")), reliable_checkpoint(nodes("i"))
+    whole = size(e, "n_e").join(size(i, "n_i").drop("cells"), "component").select(
+        "component", (F.col("cells") == F.col("n_e") * F.col("n_i")).alias("complete"))
+    keyed = lambda df: reliable_checkpoint(df.join(whole, "component").withColumn(
+        "key", F.when(F.col("complete"), F.concat(F.col("score").cast("string"), F.lit("@"), "component")).otherwise(F.concat(F.lit("="), "node"))))
+    e, i = keyed(e), keyed(i)
+    groups = lambda df, key, w: df.where("complete").groupBy("component", F.col("key").alias(key)).agg(F.count(F.lit(1)).alias(w))
+    # group pairs: at most (scores + 1) x items of a component
+    collapsed = groups(e, "ekey", "we").join(groups(i, "ikey", "wi"), "component").select("ekey", "ikey", "we", "wi")
+    one = F.lit(1).cast("long")
+    single = kept.join(whole.where("not complete"), "component", "left_semi").select(
+        F.concat(F.lit("="), "e").alias("ekey"), F.concat(F.lit("="), "i").alias("ikey"), one.alias("we"), one.alias("wi"))
+    return reliable_checkpoint(collapsed.unionByName(single)), e.drop("complete"), i.drop("complete")
+
+
 class NotConverged(RuntimeError):
     """The fit's steps did not get below the tolerance within the allowed iterations."""
 
 
-def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 500, known_components: DataFrame | None = None
-              ) -> RaschFit:
+def _distributed_fit(resp: DataFrame, tol: float, max_iter: int, rule: str) -> tuple[DataFrame, DataFrame, DataFrame, list]:
+    """(examinees, items, excluded, log) of responses (e, i, y): each step is a join of the cells with the parameters."""
+    r, excluded = trim_extremes(resp)
+    kept, separated = estimable_blocks(r)
+    cells, e, i = score_cells(kept)
+    keys = lambda df, v: df.groupBy("key").agg(F.max("score").alias("score"), F.max("n").alias("n"), F.count(F.lit(1)).alias("w")).select(
+        "key", "score", "w", F.log(F.col("score") / (F.col("n") - F.col("score"))).alias(v))
+    # start: logit of the examinee's proportion right; b from the item's proportion right
+    theta = reliable_checkpoint(keys(e, "theta").withColumnRenamed("key", "ekey"))
+    b = reliable_checkpoint(keys(i, "b").withColumn("b", -F.col("b")).withColumnRenamed("key", "ikey"))
+    p, x = sigmoid(F.col("theta") - F.col("b")), F.col("theta") - F.col("b")
+    soft = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    clipped = F.greatest(F.lit(-STEP_CLIP), F.least(F.lit(STEP_CLIP), F.col("g") / F.col("h")))
+    log: list = []
+    for it in range(max_iter):
+        # theta step (items fixed): one pass over the cells, partial aggregates per key
+        st = cells.join(theta.select("ekey", "theta"), "ekey").join(b.select("ikey", "b"), "ikey").groupBy("ekey").agg(
+            F.sum(F.col("wi") * p).alias("e"), F.sum(F.col("wi") * p * (1 - p)).alias("h"), F.sum(F.col("we") * F.col("wi") * soft).alias("soft"))
+        new_theta = reliable_checkpoint(theta.join(st, "ekey").withColumn("g", F.col("score") - F.col("e")).select(
+            "ekey", "score", "w", (F.col("theta") + clipped).alias("theta"), F.abs(clipped).alias("step"),
+            (F.col("soft") - F.col("w") * F.col("score") * F.col("theta")).alias("nll")))
+        # b step (thetas fixed)
+        sb = cells.join(new_theta.select("ekey", "theta"), "ekey").join(b.select("ikey", "b"), "ikey").groupBy("ikey").agg(
+            F.sum(F.col("we") * p).alias("e"), F.sum(F.col("we") * p * (1 - p)).alias("h"))
+        new_b = reliable_checkpoint(b.join(sb, "ikey").withColumn("g", F.col("e") - F.col("score")).select(
+            "ikey", "score", "w", (F.col("b") + clipped).alias("b"), F.abs(clipped).alias("step"),
+            (F.col("w") * F.col("score") * F.col("b")).alias("nll")))
+        at = new_theta.select("step", "nll").unionByName(new_b.select("step", "nll")).agg(F.max("step").alias("step"), F.sum("nll").alias("nll")).first()
+        theta, b = new_theta.drop("step", "nll"), new_b.drop("step", "nll")
+        log.append({"iter": it, "max_step": float(at.step or 0.0), "nll": float(at.nll or 0.0)})
+        if log[-1]["max_step"] < tol or (rule == "loss" and rasch_converged(log)):
+            break
+    else:
+        raise NotConverged(f"largest step {log[-1]['max_step']:.3g} after {max_iter} iterations, tolerance {tol:g}")
+    theta = e.join(theta.select(F.col("ekey").alias("key"), F.col("theta").alias("value")), "key").drop("key")
+    b = i.join(b.select(F.col("ikey").alias("key"), F.col("b").alias("value")), "key").drop("key")
+    return theta, b, excluded.unionByName(separated), log
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Responses (e, i, y) with a ``part`` that no connected component leaves.
+
+    The components that the item keys imply serve as parts if every examinee keeps to
+    one of them; otherwise the observed components are found.
+    """
+    keyed = rows.withColumn("part", key_component("i"))
+    mixed = keyed.groupBy("e").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    if mixed.isEmpty():
+        return keyed
+    parts = components(rows.select(F.concat(F.lit("i"), "i").alias("a"), F.concat(F.lit("~"), "e").alias("b")))
+    of_item = parts.where(F.col("node").startswith("i")).select(F.expr("substr(node, 2)").alias("i"), F.expr("substr(root, 2)").alias("part"))
+    return rows.join(of_item, "i", "left").withColumn("part", F.coalesce("part", "i"))       # a root is not listed
+
+
+def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 500, task_rows: int = TASK_ROWS, rule: str = "step") -> RaschFit:
     """M4 (+M5 anchor, M6 convergence): joint MLE by alternating damped Newton steps.
 
-    ``resp``: (model, subset, item_key, y).  Stops when the largest parameter
-    step is below ``tol``; ``NotConverged`` is raised if that takes more than
-    ``max_iter`` iterations.  The loss (M3, at the parameters a step starts from)
-    and the size of every step are in ``log``.
+    ``resp``: (model, subset, item_key, y).  Extremes are trimmed, then each connected
+    component keeps its estimable block (``estimable_blocks``), complete blocks are fitted
+    on score groups (``score_cells``).  A part of the graph of at most ``task_rows``
+    responses goes through these steps in one task (``rasch_task``), a larger one through
+    distributed joins; both give the same result within ``tol``.
+
+    Steps end when the largest parameter step is below ``tol``, or with ``rule='loss'``
+    (M6) as soon as the loss changes relatively by less than 1e-5 over 100 steps;
+    ``NotConverged`` is raised if that takes more than ``max_iter`` iterations.  ``log``
+    has the loss (M3, at the parameters a step starts from) and size of every distributed step.
     """
     named = _examinee(resp).select("e", "model", "subset", F.col("item_key").alias("i"), F.col("y").cast("int").alias("y"))
     r0 = reliable_checkpoint(named)
     names = r0.groupBy("e").agg(F.first("model").alias("model"), F.first("subset").alias("subset"))
-    r, excluded = trim_extremes(r0.select("e", "i", "y"))
-    # observed components (M2) on the trimmed graph; theta anchored per component
-    comp = known_components
-    if comp is None:
-        comp = irt_components(r.join(names, "e").select("model", "subset", F.col("i").alias("item_key"), "y"))
-    comp_e = comp.where(F.col("kind") == "e").select(F.col("node").alias("e"), "component")
-    comp_i = comp.where(F.col("kind") == "i").select(F.col("node").alias("i"), "component")
-
-    stats_e = reliable_checkpoint(r.groupBy("e").agg(F.sum("y").alias("score"), F.count(F.lit(1)).alias("n"))
-                                  .join(comp_e, "e"))
-    stats_i = reliable_checkpoint(r.groupBy("i").agg(F.sum("y").alias("score"), F.count(F.lit(1)).alias("n"))
-                                  .join(comp_i, "i"))
-    # start: logit of the examinee's proportion right; b from the item's proportion right
-    theta = stats_e.select("e", F.log(F.col("score") / (F.col("n") - F.col("score"))).alias("theta"))
-    b = stats_i.select("i", (-F.log(F.col("score") / (F.col("n") - F.col("score")))).alias("b"))
+    rows = r0.select("e", "i", "y")
+    if task_rows > 0:
+        placed = reliable_checkpoint(_placed(rows))
+        large = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows)
+        large = reliable_checkpoint(large.select("part"))
+        done = reliable_checkpoint(in_tasks(placed.join(large, "part", "left_anti"), tol, max_iter, rule))
+        left = None if large.isEmpty() else reliable_checkpoint(placed.join(large, "part", "left_semi").select("e", "i", "y"))
+        if not done.where("reason = 'not_converged'").isEmpty():
+            raise NotConverged(f"a component of at most {task_rows} responses, {max_iter} iterations, tolerance {tol:g}")
+        out = lambda kind: done.where((F.col("kind") == kind) & F.col("reason").isNull()).select("node", "component", "score", "n", "value")
+        theta, b, log = out("e"), out("i"), []
+        excluded = done.where(F.col("reason").isNotNull()).select("kind", "node", "reason", "round")
+    else:
+        theta = b = excluded = None
+        left = rows
+    if left is not None:
+        theta_l, b_l, excluded_l, log = _distributed_fit(left, tol, max_iter, rule)
+        union = lambda one, two: two if one is None else one.unionByName(two)
+        theta, b, excluded = union(theta, theta_l), union(b, b_l), union(excluded, excluded_l)
+    # M5: anchor once at the end; the likelihood only depends on theta - b, so shifting a
+    # component's thetas and bs by its mean theta changes nothing else
     theta, b = reliable_checkpoint(theta), reliable_checkpoint(b)
-
-    log, converged = [], False
-    p = sigmoid(F.col("theta") - F.col("b"))
-    x = F.col("theta") - F.col("b")
-    loss = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))) - F.col("y") * x
-    clipped = F.greatest(F.lit(-STEP_CLIP), F.least(F.lit(STEP_CLIP), F.col("g") / F.col("h")))
-    for it in range(max_iter):
-        # theta step (items fixed): one pass over the responses, partial aggregates per examinee
-        st = r.join(theta, "e").join(b, "i").groupBy("e").agg(
-            F.sum(F.col("y") - p).alias("g"), F.sum(p * (1 - p)).alias("h"), F.sum(loss).alias("nll"))
-        theta_new = reliable_checkpoint(theta.join(st, "e").select(
-            "e", (F.col("theta") + clipped).alias("theta"), F.abs(clipped).alias("step"), "nll"))
-        # b step (thetas fixed)
-        sb = r.join(theta_new.select("e", "theta"), "e").join(b, "i").groupBy("i").agg(
-            F.sum(p - F.col("y")).alias("g"), F.sum(p * (1 - p)).alias("h"))
-        b_new = reliable_checkpoint(b.join(sb, "i").select(
-            "i", (F.col("b") + clipped).alias("b"), F.abs(clipped).alias("step")))
-        at = (theta_new.select("step", "nll").unionByName(b_new.select("step", F.lit(0.0).alias("nll")))
-              .agg(F.max("step").alias("step"), F.sum("nll").alias("nll")).first())
-        theta, b = theta_new.select("e", "theta"), b_new.select("i", "b")
-        max_step = at.step or 0.0
-        log.append({"iter": it, "max_step": float(max_step), "nll": float(at.nll or 0.0)})
-        if max_step < tol:
-            converged = True
-            break
-    if not converged:
-        raise NotConverged(f"largest step {log[-1]['max_step']:.3g} after {max_iter} iterations, tolerance {tol:g}")
-    # M5: anchor once at the end — the likelihood only depends on theta - b,
-    # so shifting a component's thetas and bs by its mean theta changes nothing else
-    mean_t = theta.join(comp_e, "e").groupBy("component").agg(F.avg("theta").alias("mt"))
-    theta = reliable_checkpoint(theta.join(comp_e, "e").join(mean_t, "component")
-                                .select("e", (F.col("theta") - F.col("mt")).alias("theta")))
-    b = reliable_checkpoint(b.join(comp_i, "i").join(mean_t, "component")
-                            .select("i", (F.col("b") - F.col("mt")).alias("b")))
-    theta_out = theta.join(stats_e, "e").join(names, "e").select("model", "subset", "component", "theta", "score", "n")
-    b_out = b.join(stats_i, "i").select(F.col("i").alias("item_key"), "component", "b", "score", "n")
-    return RaschFit(theta_out, b_out, excluded, log, converged)
+    mean_t = theta.groupBy("component").agg(F.avg("value").alias("mt"))
+    shifted = lambda df, name: df.join(mean_t, "component").withColumn(name, F.col("value") - F.col("mt"))
+    theta_out = shifted(theta, "theta").withColumnRenamed("node", "e").join(names, "e").select("model", "subset", "component", "theta", "score", "n")
+    b_out = shifted(b, "b").select(F.col("node").alias("item_key"), "component", "b", "score", "n")
+    return RaschFit(theta_out, b_out, excluded, log, True)
 
 
 def rasch_converged(log: list, window: int = 100, rel_tol: float = 1e-5) -> bool:
     """M6 (reference rule): relative loss change over ``window`` steps below ``rel_tol``."""
-    losses = [x["nll"] for x in log if "nll" in x]
+    losses = [x["nll"] for x in log[-window - 1:] if "nll" in x]
     if len(losses) <= window:
         return False
-    old, new = losses[-window - 1], losses[-1]
-    return abs(old - new) / max(abs(old), 1e-12) < rel_tol
+    return abs(losses[0] - losses[-1]) / max(abs(losses[0]), 1e-12) < rel_tol
 
 
 # ---------------------------------------------------------------------------

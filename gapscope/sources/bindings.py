@@ -254,22 +254,23 @@ RUN_PLAN_SQL = "SELECT DISTINCT model, subset FROM (" + RESPONSES_SQL + ") rr"
 
 
 # ---------------------------------------------------------------------------
-# IRT responses: every supplier is a model, answering a benchmark of 40 items per subset
+# IRT responses: every supplier is a model; a subset's benchmark has an item for every 50 parts, 40 at least
 # ---------------------------------------------------------------------------
 
-def irt_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def irt_scored(spark: SparkSession, sf_dir: str, parts_per_item: int = 50) -> DataFrame:
     """(model, subset, item, correct): one row per (model, subset, item), taken
     from the lineitem row with the smallest (l_orderkey, l_partkey, l_quantity)
     (a ``min_by`` aggregate: partial on the map side, no window)."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                "l_quantity", "l_returnflag")
+    items = max(40, table(spark, sf_dir, "part", "p_partkey").count() // parts_per_item)
     locale = F.try_element_at(literal_array(BIND_LOCALES), F.col("l_linenumber"))
     kind = (F.when(F.col("l_returnflag") == "A", "ca").when(F.col("l_returnflag") == "N", "cs")
             .when(F.col("l_returnflag") == "R", "cs_en"))
     gold = F.substring(F.lit("ABCD"), (F.col("l_partkey") % 4 + 1).cast("int"), 1)
     pred = F.substring(F.lit("ABCDE"), (F.col("l_quantity").cast("bigint") % 5 + 1).cast("int"), 1)
     df = li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("model"),
-                   locale.alias("locale"), kind.alias("kind"), (F.col("l_partkey") % 40).alias("item"),
+                   locale.alias("locale"), kind.alias("kind"), (F.col("l_partkey") % items).alias("item"),
                    (pred == gold).alias("correct"), "l_orderkey", "l_partkey", "l_quantity")
     df = df.where(F.col("locale").isNotNull() & F.col("kind").isNotNull()
                   & ((F.col("locale") != "english") | (F.col("kind") == "ca")))
@@ -278,7 +279,8 @@ def irt_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("correct", F.struct("l_orderkey", "l_partkey", "l_quantity")).alias("correct"))
 
 
-IRT_SCORED_SQL = f"""
+def irt_scored_sql(parts_per_item: int = 50) -> str:
+    return f"""
 SELECT model, subset, item, correct FROM (
   SELECT *, row_number() OVER (PARTITION BY model, subset, item ORDER BY l_orderkey, l_partkey, l_quantity) AS rn
   FROM (
@@ -286,7 +288,7 @@ SELECT model, subset, item, correct FROM (
            {_case_sql('l_linenumber', BIND_LOCALES, 1)} || '_' ||
            CASE l_returnflag WHEN 'A' THEN 'ca' WHEN 'N' THEN 'cs' WHEN 'R' THEN 'cs_en' END AS subset,
            {_case_sql('l_linenumber', BIND_LOCALES, 1)} AS locale, l_returnflag,
-           l_partkey % 40 AS item,
+           l_partkey % greatest(40, (SELECT count(*) FROM part) // {parts_per_item}) AS item,
            substr('ABCDE', CAST(CAST(l_quantity AS BIGINT) % 5 + 1 AS INTEGER), 1)
              = substr('ABCD', CAST(l_partkey % 4 + 1 AS INTEGER), 1) AS correct,
            l_orderkey, l_partkey, l_quantity
@@ -294,3 +296,6 @@ SELECT model, subset, item, correct FROM (
   WHERE locale IS NOT NULL AND subset IS NOT NULL AND (locale <> 'english' OR l_returnflag = 'A')) y
 WHERE rn = 1
 """
+
+
+IRT_SCORED_SQL = irt_scored_sql()

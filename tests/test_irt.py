@@ -117,8 +117,8 @@ def test_components_of_a_long_chain_and_bars_in_names(spark):
 def test_unconverged_fit_raises_and_the_log_has_every_loss(spark):
     with pytest.raises(M.NotConverged):
         M.rasch_fit(_planted(spark), tol=1e-12, max_iter=2)
-    log = M.rasch_fit(_planted(spark), tol=1e-4).log
-    assert all(b["nll"] <= a["nll"] + 1e-9 for a, b in zip(log, log[1:])) and len(log) > 3
+    log = M.rasch_fit(_planted(spark), tol=3e-2, task_rows=0).log
+    assert all(b["nll"] <= a["nll"] + 1e-9 for a, b in zip(log, log[1:])) and len(log) > 1
     assert M.rasch_converged([{"nll": 5.0 + 1e-9 * i} for i in range(102)]) and not M.rasch_converged(log[:2])
 
 
@@ -130,3 +130,96 @@ def test_trimming_goes_on_until_nothing_is_extreme(spark):
     for k in ("e", "i"):
         assert kept.groupBy(k).agg(F.sum("y").alias("s"), F.count("y").alias("n")).where("s = 0 or s = n").count() == 0
     assert gone.agg(F.max("round")).first()[0] >= 2
+
+
+def _resp(spark, rows):
+    return spark.createDataFrame([(m, "greek_ca", f"ca::{i}", y) for m, i, y in rows], "model string, subset string, item_key string, y int")
+
+
+def _in_tasks(spark, rows):
+    fit = M.rasch_fit(_resp(spark, rows), tol=1e-9)
+    values = {(r.model, r.component): r.theta for r in fit.theta.collect()} | {(r.item_key, r.component): r.b for r in fit.b.collect()}
+    return values, {(r.kind, r.node, r.reason, r.round) for r in fit.excluded.collect()}
+
+
+def _both(spark, rows):
+    """The fit in tasks and by joins; both must agree."""
+    one, two = M.rasch_fit(_resp(spark, rows), tol=1e-9), M.rasch_fit(_resp(spark, rows), tol=1e-9, task_rows=0)
+    gone = [{(r.kind, r.node, r.reason, r.round) for r in f.excluded.collect()} for f in (one, two)]
+    values = [{(r.model, r.component): r.theta for r in f.theta.collect()} | {(r.item_key, r.component): r.b for r in f.b.collect()} for f in (one, two)]
+    assert gone[0] == gone[1] and values[0].keys() == values[1].keys()
+    assert all(values[0][k] == pytest.approx(values[1][k], abs=1e-6) for k in values[0])
+    return values[0], gone[0]
+
+
+def test_quasi_separated_block_is_excluded(spark):
+    # strong models beat every easy item, weak ones lose to every hard item; each half alone is mixed, nobody is extreme
+    rows = [(f"s{m}", f"h{i}", int((m + i) % 2 == 0)) for m in range(4) for i in range(3)] + [(f"s{m}", f"e{i}", 1) for m in range(4) for i in range(2)]
+    rows += [(f"w{m}", f"e{i}", int((m + i) % 2 == 0)) for m in range(3) for i in range(2)] + [(f"w{m}", f"h{i}", 0) for m in range(3) for i in range(3)]
+    kept, gone = M.trim_extremes(_resp(spark, rows).select(F.col("model").alias("e"), F.col("item_key").alias("i"), "y"))
+    assert kept.count() == len(rows) and gone.count() == 0             # trimming alone finds nothing, and the estimate diverges
+    values, gone = _both(spark, rows)
+    assert {g[1].split("|")[0] for g in gone} == {"w0", "w1", "w2", "ca::e0", "ca::e1"} and {g[2] for g in gone} == {"quasi_separated"}
+    assert {k[1] for k in values} == {"ca::h0"} and max(abs(v) for v in values.values()) < 5
+
+
+def test_chain_of_blocks_and_separate_components(spark):
+    ring = lambda p, n: [(f"{p}m{k}", f"{p}i{k}", 1) for k in range(n)] + [(f"{p}m{k}", f"{p}i{(k + 1) % n}", 0) for k in range(n)]
+    rows = ring("a", 3) + ring("b", 5) + ring("c", 4) + [("am0", "bi0", 1), ("bm0", "ci0", 1)] + ring("z", 4) + [("all", "zi0", 1)]
+    values, gone = _in_tasks(spark, rows)
+    assert {k[1] for k in values} == {"ca::bi0", "ca::zi0"}
+    assert ("e", "all|greek_ca", "all_right", 0) in gone
+    assert sum(g[2] == "quasi_separated" for g in gone) == 2 * (3 + 4)
+
+
+def test_complete_blocks_collapse_to_score_groups(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"m{m}", f"{i}", int(rng.random() < 1 / (1 + np.exp((i - m / 4) / 3)))) for m in range(40) for i in range(12)]
+    kept = M.estimable_blocks(M.trim_extremes(_resp(spark, rows).select(F.col("model").alias("e"), F.col("item_key").alias("i"), "y"))[0])[0]
+    cells, e, i = M.score_cells(kept)
+    n_e, n_i = e.count(), i.count()
+    assert kept.count() == n_e * n_i and cells.count() <= 13 * n_i < kept.count()
+    assert cells.agg(F.sum(F.col("we") * F.col("wi"))).first()[0] == n_e * n_i
+    values, _ = _in_tasks(spark, rows)
+    # one answer less: the same component is fitted response by response
+    theta = {k: v for k, v in values.items() if k[0].startswith("m")}
+    plain = M.score_cells(kept.where("not (e = 'm20' and i = 'ca::5')"))[0]
+    assert plain.count() == n_e * n_i - 1 and len(theta) == n_e
+    score = {r.node: r.score for r in e.collect()}
+    assert len({round(v, 6) for v in theta.values()}) == len(set(score.values()))
+
+
+def test_strong_components_against_closure(spark):
+    import random
+
+    from gapscope.functions.strong import strong_components
+    from gapscope.operators.rasch_task import strong_labels
+    r = random.Random(4)
+    for n, m, spread in ((8, 18, True), (12, 16, False), (30, 45, False), (30, 200, False), (5, 0, False)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        reach = [[i == j for j in range(n)] for i in range(n)]
+        for a, b in edges:
+            reach[a][b] = True
+        for k in range(n):
+            for i in range(n):
+                for j in range(n):
+                    reach[i][j] |= reach[i][k] and reach[k][j]
+        want = {i: min(j for j in range(n) if reach[i][j] and reach[j][i]) for i in range(n)}
+        sizes = {w: sum(x == w for x in want.values()) for w in want.values()}
+        if spread:
+            df = spark.createDataFrame([("p", f"{a:02}", f"{b:02}") for a, b in edges], "part string, u string, v string")
+            got = {int(x.node): int(x.block) for x in strong_components(df).collect()}
+            assert got == {i: w for i, w in want.items() if sizes[w] > 1} and got
+        u, v = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+        label = strong_labels(n, u, v).tolist()
+        assert all((label[i] == label[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
+
+
+def test_loss_rule_stops_a_fit(spark):
+    rows = [(f"m{m}", f"{i}", (m * i + m + i) % 3 % 2) for m in range(9) for i in range(8)]
+    short = M.rasch_fit(_resp(spark, rows), tol=0.0, max_iter=130, rule="loss")
+    long = M.rasch_fit(_resp(spark, rows), tol=1e-9)
+    a, b = ({r.model: r.theta for r in f.theta.collect()} for f in (short, long))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-3) for k in a)
+    with pytest.raises(M.NotConverged):
+        M.rasch_fit(_resp(spark, rows), tol=0.0, max_iter=90, rule="loss")
