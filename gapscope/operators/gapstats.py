@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapscope.functions.quantiles import quantiles
+
 from gapscope.dims import DEFAULT_NATIVE_LOCALES, literal_array
 
 GAPS = ["global_gap", "local_gap", "knowledge_gap"]
@@ -82,15 +84,10 @@ def distinct_countries(df: DataFrame, order_col: str) -> DataFrame:
 def gap_box_stats(gl: DataFrame, col: str = "knowledge_gap") -> DataFrame:
     """Quartiles (linear interpolation), min, max, n per (locale, country).
 
-    ``percentile`` keeps the group's values in memory; a group here is the
-    models of one country in one locale (bounded by the model count).
+    Exact order statistics by histogram narrowing: no task holds a group's values.
     """
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = gl.where(F.col(col).isNotNull()).groupBy("locale", "country").agg(
-        q.alias("_q"), F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("n"))
-    return out.select("locale", "country", "n", "min",
-                      F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"),
-                      F.col("_q")[2].alias("q75"), "max")
+    out = quantiles(gl, ["locale", "country"], col, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return out.select("locale", "country", "n", "min", "q25", "median", "q75", "max")
 
 
 # ---------------------------------------------------------------------------

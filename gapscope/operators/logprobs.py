@@ -54,6 +54,55 @@ def top_k_tokens(log_probs="log_probs", k: int = 5) -> Column:
         s["lp"].alias("log_prob"), F.exp(s["lp"]).alias("prob")))
 
 
+# ---------------------------------------------------------------------------
+# C1 / C2 over chunks of a vocabulary: no row holds all of a response's logits
+# ---------------------------------------------------------------------------
+
+CHUNK = 4096                        # tokens of a chunk
+
+
+def to_chunks(tokens: DataFrame, keys: list[str], size: int = CHUNK) -> DataFrame:
+    """(keys, chunk, tokens array<struct<token_id, logit>>) from one row per token (keys, token_id, logit)."""
+    return tokens.groupBy(*keys, F.expr(f"token_id div {size}").alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("token_id", F.col("logit").cast("double").alias("logit")))).alias("tokens"))
+
+
+def _partial(tokens: str = "tokens") -> Column:
+    """(max, sum of exp of the distances to it) of a chunk."""
+    return F.aggregate(
+        F.transform(tokens, lambda t: t["logit"]), F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s")),
+        lambda a, v: F.when(v > a["m"], F.struct(v.alias("m"), (a["s"] * F.exp(a["m"] - v) + 1).alias("s")))
+        .otherwise(F.struct(a["m"].alias("m"), (a["s"] + F.exp(v - a["m"])).alias("s"))))
+
+
+def chunk_norms(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lse): the chunks' partials merged; two numbers a chunk are sent."""
+    parts = chunks.select(*keys, _partial().alias("p")).groupBy(*keys).agg(F.collect_list("p").alias("ps"))
+    most = F.array_max(F.transform("ps", lambda p: p["m"]))
+    return parts.withColumn("most", most).select(*keys, (F.col("most") + F.log(F.aggregate(
+        F.zip_with("ps", F.array_repeat("most", F.size("ps")), lambda p, m: p["s"] * F.exp(p["m"] - m)),
+        F.lit(0.0), lambda a, x: a + x))).alias("lse"))
+
+
+def chunked_log_softmax(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """C1 in long form: (keys, token_id, log_prob)."""
+    return chunks.join(chunk_norms(chunks, keys), keys).select(*keys, "lse", F.inline("tokens")).select(
+        *keys, "token_id", (F.col("logit") - F.col("lse")).alias("log_prob"))
+
+
+def chunked_top_k(chunks: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """C2 from chunks: (keys, rank, token_id, log_prob, prob); k entries and two numbers a chunk are sent."""
+    best = F.slice(F.sort_array(F.transform("tokens", lambda t: F.struct(t["logit"].alias("x"), (-t["token_id"]).alias("neg_id"))), asc=False), 1, k)
+    of = chunks.select(*keys, _partial().alias("p"), best.alias("best"))
+    merged = of.groupBy(*keys).agg(F.collect_list("p").alias("ps"), F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("top"))
+    most = F.array_max(F.transform("ps", lambda p: p["m"]))
+    lse = F.col("most") + F.log(F.aggregate(F.zip_with("ps", F.array_repeat("most", F.size("ps")), lambda p, m: p["s"] * F.exp(p["m"] - m)),
+                                            F.lit(0.0), lambda a, x: a + x))
+    ranked = merged.withColumn("most", most).withColumn("lse", lse).select(*keys, "lse", F.posexplode("top").alias("at", "t"))
+    lp = F.col("t.x") - F.col("lse")
+    return ranked.select(*keys, (F.col("at") + 1).alias("rank"), (-F.col("t.neg_id")).alias("token_id"), lp.alias("log_prob"), F.exp(lp).alias("prob"))
+
+
 # ---------------------------------------------------------------------------
 # C3 / C4 resolve_variants
 # ---------------------------------------------------------------------------

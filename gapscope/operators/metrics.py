@@ -102,8 +102,8 @@ def long_scores(scored: DataFrame, dim_model: DataFrame, metrics=METRICS) -> Dat
 # ---------------------------------------------------------------------------
 
 def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str],
-                 required: tuple[str, ...] = ("base", "ca", "cs", "cs_en")) -> DataFrame:
-    """One row per (model, locale): baseline + the locale's three scores, for
+                 required: tuple[str, ...] = ("base", "ca", "cs", "cs_en"), keys: tuple[str, ...] = ("model", "country")) -> DataFrame:
+    """One row per (``keys``, locale): baseline + the locale's three scores, for
     the locales whose ``required`` columns exist for some model.
 
     One pivot over explicit subset values (a shuffle of the already aggregated
@@ -113,8 +113,8 @@ def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str]
     before the result is asked for and nothing is kept in memory.
     """
     subsets = [baseline] + [f"{loc}_{k}" for loc in locales for k in KINDS]
-    s = long.where(F.col("metric") == metric).select("model", "country", "subset", "value")
-    wide = s.groupBy("model", "country").pivot("subset", subsets).agg(F.first("value"))
+    s = long.where(F.col("metric") == metric).select(*keys, "subset", "value")
+    wide = s.groupBy(*keys).pivot("subset", subsets).agg(F.first("value"))
     present = s.where(F.col("subset").isin(subsets) & F.col("value").isNotNull()).agg(F.collect_set("subset").alias("seen"))
     needed = {loc: [baseline if r == "base" else f"{loc}_{r}" for r in required] for loc in locales}
     valid = present.select(F.explode(F.array_compact(F.array(*[
@@ -123,13 +123,13 @@ def _locale_rows(long: DataFrame, metric: str, baseline: str, locales: list[str]
     cells = F.array(*[F.struct(F.lit(loc).alias("locale"), F.col(f"{loc}_ca").alias("local_ca"),
                                F.col(f"{loc}_cs").alias("local_cs"), F.col(f"{loc}_cs_en").alias("cs_en"))
                       for loc in locales])
-    return wide.select("model", "country", F.col(baseline).alias("english_ca"), F.explode(cells).alias("c")) \
-        .select("model", "country", "c.locale", "english_ca", "c.local_ca", "c.local_cs", "c.cs_en") \
+    return wide.select(*keys, F.col(baseline).alias("english_ca"), F.explode(cells).alias("c")) \
+        .select(*keys, "c.locale", "english_ca", "c.local_ca", "c.local_cs", "c.cs_en") \
         .join(valid, "locale", "left_semi")
 
 
 def gaps_long(long: DataFrame, metric: str = "accuracy", baseline: str = BASELINE_SUBSET,
-              locales: list[str] = GAP_LOCALES) -> DataFrame:
+              locales: list[str] = GAP_LOCALES, keys: tuple[str, ...] = ("model", "country")) -> DataFrame:
     """R6 + G1: one row per (model, locale) with the 4 scores and 3 gaps.
 
     global = ca - baseline, local = cs - cs_en, knowledge = local - global,
@@ -137,24 +137,25 @@ def gaps_long(long: DataFrame, metric: str = "accuracy", baseline: str = BASELIN
     subsets and the baseline exist for some model; a model missing one of
     them gets null gaps (missing propagates).
     """
-    out = _locale_rows(long, metric, baseline, locales)
+    out = _locale_rows(long, metric, baseline, locales, keys=keys)
     g = F.col("local_ca") - F.col("english_ca")
     loc = F.col("local_cs") - F.col("cs_en")
-    return out.select("model", "country", "locale", "english_ca", "local_ca", "local_cs", "cs_en",
+    return out.select(*keys, "locale", "english_ca", "local_ca", "local_cs", "cs_en",
                       g.alias("global_gap"), loc.alias("local_gap"), (loc - g).alias("knowledge_gap"))
 
 
-def accuracy_gaps(long: DataFrame, metric: str = "accuracy", baseline: str = BASELINE_SUBSET) -> DataFrame:
-    """G1: (model, country, locale, global_gap, local_gap, knowledge_gap)."""
-    return gaps_long(long, metric, baseline).select(
-        "model", "country", "locale", "global_gap", "local_gap", "knowledge_gap")
+def accuracy_gaps(long: DataFrame, metric: str = "accuracy", baseline: str = BASELINE_SUBSET,
+                  keys: tuple[str, ...] = ("model", "country")) -> DataFrame:
+    """G1: (model, country, locale, global_gap, local_gap, knowledge_gap); ``keys`` may carry the file of a run."""
+    return gaps_long(long, metric, baseline, keys=keys).select(
+        *keys, "locale", "global_gap", "local_gap", "knowledge_gap")
 
 
 def hallucination_gap(long: DataFrame, metric: str = "conf_err_rate", baseline: str = BASELINE_SUBSET,
-                      locales: list[str] = GAP_LOCALES) -> DataFrame:
+                      locales: list[str] = GAP_LOCALES, keys: tuple[str, ...] = ("model", "country")) -> DataFrame:
     """conf_err(cs_en) - conf_err(cs) per (model, locale), where both subsets exist."""
-    out = _locale_rows(long, metric, baseline, locales, required=("cs", "cs_en"))
-    return out.select("model", "country", "locale", F.col("local_cs").alias("conf_err_cs"),
+    out = _locale_rows(long, metric, baseline, locales, required=("cs", "cs_en"), keys=keys)
+    return out.select(*keys, "locale", F.col("local_cs").alias("conf_err_cs"),
                       F.col("cs_en").alias("conf_err_cs_en"),
                       (F.col("cs_en") - F.col("local_cs")).alias("hall_gap"))
 
@@ -163,17 +164,17 @@ def hallucination_gap(long: DataFrame, metric: str = "conf_err_rate", baseline:
 # G3 drop_low_models, G5 metric_identity_check
 # ---------------------------------------------------------------------------
 
-def drop_low_models(long: DataFrame, threshold: float = 0.0, metric: str = "accuracy") -> DataFrame:
-    """Keep a model if ANY of its subset scores >= threshold.
+def drop_low_models(long: DataFrame, threshold: float = 0.0, metric: str = "accuracy", keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Keep a model if ANY of its subset scores >= threshold (``keys``: a run of it, such as file and model).
 
     Non-numeric values count as missing (``try_cast``); a model whose scores
     are all missing is removed.  Returns the kept long rows of ``metric``.
     """
     s = long.where(F.col("metric") == metric)
     v = F.expr("try_cast(value AS double)")
-    keep = (s.groupBy("model").agg(F.bool_or(F.coalesce(v >= F.lit(threshold), F.lit(False))).alias("k"))
-            .where("k").select("model"))
-    return s.join(keep, "model", "left_semi")
+    keep = (s.groupBy(*keys).agg(F.bool_or(F.coalesce(v >= F.lit(threshold), F.lit(False))).alias("k"))
+            .where("k").select(*keys))
+    return s.join(keep, list(keys), "left_semi")
 
 
 def drop_low_report(long: DataFrame, threshold: float = 0.0, metric: str = "accuracy") -> DataFrame:

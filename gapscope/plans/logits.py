@@ -66,6 +66,28 @@ def q_top_k_tokens(spark, sf_dir):
         {"log_prob": F.round("log_prob", R9), "prob": F.round("prob", R9)})
 
 
+_KEYS = ["model", "subset", "pos"]
+
+
+def _chunks(spark, sf_dir):
+    """The logits as one row a token, then in chunks of 24 tokens."""
+    tokens = B.logits(spark, sf_dir).select(*_KEYS, F.posexplode("logits").alias("token_id", "logit"))
+    return L.to_chunks(tokens, _KEYS, 24)
+
+
+@register("log_softmax_chunked", with_ctes(LP_CTES, f"""
+SELECT model, subset, pos, token_id, round(log_prob, {R9}) AS log_prob FROM lp"""))
+def q_log_softmax_chunked(spark, sf_dir):
+    return L.chunked_log_softmax(_chunks(spark, sf_dir), _KEYS).withColumn("log_prob", F.round("log_prob", R9))
+
+
+@register("top_k_tokens_chunked", with_ctes(LP_CTES, f"""
+SELECT model, subset, pos, CAST(rnk AS INTEGER) AS rank, token_id, round(log_prob, {R9}) AS log_prob,
+       round(exp(log_prob), {R9}) AS prob FROM lp WHERE rnk <= 5"""))
+def q_top_k_tokens_chunked(spark, sf_dir):
+    return L.chunked_top_k(_chunks(spark, sf_dir), _KEYS, 5).withColumns({"log_prob": F.round("log_prob", R9), "prob": F.round("prob", R9)})
+
+
 @register("resolve_variants_all", """
 SELECT 'E' || CAST(label AS VARCHAR) AS model, v.prefix, v.letter, v.token_id
 FROM (SELECT DISTINCT label FROM embeddings) m,

@@ -19,7 +19,7 @@ from gapscope.plans.registry import register, with_ctes
 from gapscope.plans.scores import scored_responses
 from gapscope.plans.sqlparts import BASE_CTES, GAP_LOCALES_SQL, gaps_sql
 from gapscope.plans.text import q_
-from gapscope.session import scratch_path
+from gapscope.session import reliable_checkpoint, scratch_path
 from gapscope.sources import bindings as B
 from gapscope.sources import files as S
 from gapscope.sources.tables import table
@@ -33,25 +33,33 @@ def process_results(spark: SparkSession, results_dir: str, dim_model: DataFrame,
 
     S1 read (+ J1 overlay of the CA folder) -> J8 country -> R1/R2/R3 wide per
     metric -> G2 on conf_err_rate -> G3 on accuracy -> G1 from the filtered
-    accuracy.  Every output derives from ``long``.  A wide table has one row per
-    file, also for a file without a value, and a column for every subset of the
-    files: canonical ones first, then others by name (or ``subsets``).
+    accuracy.  The score files are read once, into one staged long table from which
+    every output derives, and all outputs keep the runs of a model apart: one row per
+    file, also for a file without a value.  A wide table has a column for every subset
+    of the files: canonical ones first, then others by name (or ``subsets``).
+    ``report`` counts the files read, their values, and the files that G3 kept and
+    removed.
     """
     base = S.read_scores(spark, results_dir, layout=layout, metrics=list(metrics))
     if ca_dir is not None:
         base = J.overlay_scores(base, S.read_scores(spark, ca_dir, layout=layout, metrics=list(metrics)))
-    by_file = M.with_country(base, dim_model)
-    long = M.with_subset_parts(by_file.drop("file"))
-    subs = subsets or R.present_subsets(base)
     keys = ("file", "model", "country")
+    by_file = reliable_checkpoint(M.with_subset_parts(M.with_country(base, dim_model)).select(*keys, "subset", "locale", "kind", "metric", "value"))
+    subs = subsets or R.present_subsets(by_file)
     wide = lambda rows, m: R.order_columns(R.to_wide(rows, m, subs, keys), "canonical", keys).orderBy("model", "file")
     out = {m: wide(by_file, m) for m in metrics}
     if "conf_err_rate" in metrics:
-        out["hall_gaps"] = M.hallucination_gap(long)
+        out["hall_gaps"] = M.hallucination_gap(by_file, keys=keys)
     if "accuracy" in metrics:
-        kept = M.drop_low_models(long, threshold)
-        out["accuracy_filtered"] = wide(by_file.join(kept.select("model").distinct(), "model", "left_semi"), "accuracy")
-        out["accuracy_gaps"] = M.accuracy_gaps(kept)
+        kept = M.drop_low_models(by_file, threshold, keys=("file", "model"))
+        out["accuracy_filtered"] = wide(kept, "accuracy")
+        out["accuracy_gaps"] = M.accuracy_gaps(kept, keys=keys)
+        value = F.expr("try_cast(value AS double)")
+        per_file = by_file.groupBy("file").agg(
+            F.count("value").alias("n_values"),
+            F.bool_or((F.col("metric") == "accuracy") & F.coalesce(value >= F.lit(threshold), F.lit(False))).alias("k"))
+        out["report"] = per_file.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n_values"), F.lit(0)).alias("n_values"),
+                                     F.count_if("k").alias("kept"), F.count_if(~F.col("k")).alias("removed"))
     return out
 
 
@@ -61,13 +69,13 @@ def write_results(tables: dict[str, DataFrame], path: str) -> None:
         S.write_wide_csv(df, f"{path.rstrip('/')}/{name}", single_file=False)
 
 
-def _dump(spark, sf_dir):
+def _dump(spark, sf_dir, metrics=("accuracy",)):
     """Base batch as score documents; overlay batch as the CA folder."""
     run = uuid.uuid4().hex[:12]
     base_dir, ca_dir = scratch_path(spark, f"res-{run}"), scratch_path(spark, f"ca-{run}")
-    bl = batch_long(spark, sf_dir).where(F.col("metric") == "accuracy")
-    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "base"), ["accuracy"]), base_dir)
-    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "overlay"), ["accuracy"]), ca_dir)
+    bl = batch_long(spark, sf_dir).where(F.col("metric").isin(*metrics))
+    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "base"), list(metrics)), base_dir)
+    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "overlay"), list(metrics)), ca_dir)
     return base_dir, ca_dir
 
 
@@ -91,7 +99,54 @@ def q_process_results(spark, sf_dir):
     base_dir, ca_dir = _dump(spark, sf_dir)
     out = process_results(spark, base_dir, B.dim_model(spark, sf_dir), ca_dir=ca_dir, metrics=["accuracy"],
                           layout="partitioned")
-    return out["accuracy_gaps"]
+    return out["accuracy_gaps"].drop("file")
+
+
+_WHOLE = {
+    # merged values of all four metrics, then the model's run kept or not
+    "mg": """
+SELECT b.model, b.subset, b.metric, b.value FROM bl b WHERE b.batch = 'base' AND NOT EXISTS (
+  SELECT 1 FROM bl o WHERE o.batch = 'overlay' AND o.model = b.model AND o.subset = b.subset AND o.metric = b.metric)
+UNION ALL SELECT model, subset, metric, value FROM bl
+WHERE batch = 'overlay' AND model IN (SELECT model FROM bl WHERE batch = 'base')""",
+    "kp": "SELECT model FROM mg WHERE metric = 'accuracy' GROUP BY model HAVING bool_or(value >= 0.45)",
+}
+
+
+@register("process_results_tables", with_ctes({**BL_CTES, **_WHOLE}, """
+SELECT t.part, t.model, t.country, t.place, round(t.value, 9) AS value FROM (
+  SELECT metric AS part, mg.model, coalesce(dm.country, 'Unknown') AS country, subset AS place, value FROM mg LEFT JOIN dm ON dm.model = mg.model
+  UNION ALL
+  SELECT 'accuracy_filtered', mg.model, coalesce(dm.country, 'Unknown'), subset, value FROM mg LEFT JOIN dm ON dm.model = mg.model
+  WHERE metric = 'accuracy' AND mg.model IN (SELECT model FROM kp)
+  UNION ALL
+  SELECT 'hall_gaps', a.model, coalesce(dm.country, 'Unknown'), regexp_extract(a.subset, '^(.+?)_cs$', 1), b.value - a.value
+  FROM mg a JOIN mg b ON a.model = b.model AND b.subset = a.subset || '_en' AND a.metric = 'conf_err_rate' AND b.metric = 'conf_err_rate'
+  LEFT JOIN dm ON dm.model = a.model WHERE right(a.subset, 3) = '_cs' AND regexp_extract(a.subset, '^(.+?)_cs$', 1) IN (""" + GAP_LOCALES_SQL + """)
+  UNION ALL
+  SELECT 'report_' || what, '', '', '', n FROM (
+    SELECT 'kept' AS what, CAST(count(*) AS DOUBLE) AS n FROM kp UNION ALL SELECT 'files', count(DISTINCT model) FROM mg
+    UNION ALL SELECT 'n_values', count(value) FROM mg
+    UNION ALL SELECT 'removed', count(DISTINCT model) FROM mg WHERE model NOT IN (SELECT model FROM kp)) r
+) t WHERE t.value IS NOT NULL"""))
+def q_process_results_tables(spark, sf_dir):
+    """All outputs of G4 over the four metrics: wide tables, filter, hallucination gaps and the report, as one long table."""
+    base_dir, ca_dir = _dump(spark, sf_dir, METRICS)
+    out = process_results(spark, base_dir, B.dim_model(spark, sf_dir), ca_dir=ca_dir, threshold=0.45, layout="partitioned")
+    keys = ["model", "country"]
+    rows = []
+    for part in [*METRICS, "accuracy_filtered"]:
+        cells = out[part].drop("file")
+        rows.append(cells.unpivot(keys, [c for c in cells.columns if c not in keys], "place", "value").withColumn("part", F.lit(part)))
+    rows.append(out["hall_gaps"].select(*keys, F.col("locale").alias("place"), F.col("hall_gap").alias("value"), F.lit("hall_gaps").alias("part")))
+    counts = out["report"].select([F.col(c).cast("double").alias(c) for c in out["report"].columns])
+    rows.append(counts.unpivot([], counts.columns, "what", "value").select(
+        F.lit("").alias("model"), F.lit("").alias("country"), F.lit("").alias("place"), "value", F.concat(F.lit("report_"), "what").alias("part")))
+    order = ["part", *keys, "place", "value"]
+    whole = rows[0].select(order)
+    for r in rows[1:]:
+        whole = whole.unionByName(r.select(order))
+    return whole.where("value IS NOT NULL").withColumn("value", F.round("value", 9))
 
 
 @register("with_country", with_ctes(BASE_CTES, """

@@ -65,17 +65,65 @@ def read_scores(spark: SparkSession, path: str, layout: str = "files", metrics=S
 
 def read_predictions(spark: SparkSession, path: str, record_schema: T.StructType, layout: str = "files"
                      ) -> DataFrame:
-    """Prediction records, one row each, with file and model."""
+    """Prediction records, one row each, with file and model; a damaged file raises.
+
+    'files' reads a document in one task; large pretty-printed documents are read
+    by many tasks with ``prediction_records``, which also can list damage instead.
+    """
+    reader = spark.read.option("mode", "FAILFAST")
     if layout == "files":
         schema = T.StructType([T.StructField("model", T.StringType()),
                                T.StructField("predictions", T.ArrayType(record_schema))])
-        raw = (spark.read.schema(schema).option("multiLine", True)
+        raw = (reader.schema(schema).option("multiLine", True)
                .json(f"{path.rstrip('/')}/*_predictions.json").withColumn("file", _file_col()))
         return raw.select("file", "model", F.posexplode("predictions").alias("pos", "r")).select(
             "file", "model", "pos", "r.*")
     schema = T.StructType([T.StructField("model", T.StringType()), *record_schema.fields,
                            T.StructField("slug", T.StringType())])
-    return spark.read.schema(schema).json(path).withColumnRenamed("slug", "file")
+    return reader.schema(schema).json(path).withColumnRenamed("slug", "file")
+
+
+#: How a pretty-printed prediction file (two spaces a level) begins and ends a record.
+RECORD_BEGIN, RECORD_END = "\n    {", "\n    }"
+
+
+def prediction_records(spark: SparkSession, path: str, record_schema: T.StructType, damaged: str = "error") -> tuple[DataFrame, DataFrame]:
+    """S2 for documents of any size: (records, report).
+
+    A pretty-printed document is cut where its records begin, so that a file is read by
+    as many tasks as its size asks for; a line break within a string is escaped, which
+    makes the cut safe.  Records are (file, model, record fields); the report has a row per
+    file: records, records that are no JSON of ``record_schema``, and whether the
+    document is ``complete`` (has its head with a model, and its end).
+
+    ``damaged='error'``: a broken record raises when it is read, an incomplete document when
+    the report or any record of it is; ``'report'``: good records are kept and the report tells.
+    """
+    cut = (spark.read.option("lineSep", RECORD_BEGIN).text(f"{path.rstrip('/')}/*_predictions.json")
+           .select(_file_col().alias("file"), "value", F.col("_metadata.file_block_start").alias("block")))
+    is_head = F.col("value").startswith("{")
+    body = F.concat(F.lit("{"), F.regexp_extract("value", r"(?s)^(.*\n    \})", 1))
+    parsed = F.from_json(body, T.StructType([*record_schema.fields, T.StructField("_bad", T.StringType())]),
+                         {"columnNameOfCorruptRecord": "_bad"})
+    rows = cut.where(~is_head).select(
+        "file", parsed.alias("r"), (F.length(body) == 1).alias("open"),
+        F.col("value").rlike(r"(?s)\n    \}\s*\][^\[\]]*\}\s*$").alias("end"))
+    bad = F.col("open") | F.col("r._bad").isNotNull() | F.col("r").isNull()
+    model = F.get_json_object(F.concat(F.regexp_replace("value", r'(?s),\s*"predictions"\s*:\s*\[.*$', ""), F.lit("}")), "$.model")
+    empty = F.col("value").rlike(r'(?s)"predictions"\s*:\s*\[\s*\]\s*[,}].*\}?\s*$') & F.col("value").rlike(r"(?s)\}\s*$")
+    heads = cut.where(is_head).select("file", model.alias("model"), empty.alias("empty"))
+    per_file = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(bad).alias("n_bad"), F.bool_or("end").alias("ended"))
+    report = (cut.select("file").distinct().join(heads, "file", "left").join(per_file, "file", "left")
+              .select("file", "model", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"),
+                      (F.col("model").isNotNull() & F.coalesce(F.col("ended"), F.col("empty"), F.lit(False))).alias("complete")))
+    if damaged == "error":
+        whole = F.col("complete") & (F.col("n_bad") == 0)
+        report = report.withColumn("complete", F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("damaged document "), "file")).cast("boolean")))
+    good = rows.where(~bad) if damaged == "report" else rows.withColumn(
+        "r", F.when(~bad, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("damaged record in "), "file")).cast(rows.schema["r"].dataType)))
+    of_file = report.where("complete") if damaged == "error" else report
+    records = good.join(of_file.select("file", "model"), "file").select("file", "model", *[f"r.`{f.name}`" for f in record_schema.fields])
+    return records, report
 
 
 def probe_schema() -> T.StructType:
@@ -110,10 +158,10 @@ def read_probe(spark: SparkSession, path: str, multi_line: bool = True) -> tuple
     """S3: probe files -> (per (model, subset) rates, per record rows).
 
     The two summary files are skipped by name; files without ``model`` or
-    ``subsets`` are skipped.  ``multi_line`` reads pretty-printed one-document
+    ``subsets`` are skipped; a document that is not valid JSON raises.  ``multi_line`` reads pretty-printed one-document
     files; Spark-written probe documents are JSON Lines (``multi_line=False``).
     """
-    raw = (spark.read.schema(probe_schema()).option("multiLine", multi_line).json(f"{path.rstrip('/')}/*.json")
+    raw = (spark.read.option("mode", "FAILFAST").schema(probe_schema()).option("multiLine", multi_line).json(f"{path.rstrip('/')}/*.json")
            .withColumn("file", _file_col())
            .where(~F.col("file").isin(PROBE_SKIP) & F.col("model").isNotNull() & F.col("subsets").isNotNull()))
     cells = raw.select("file", "model", "prefix_used_for_scoring", F.explode("subsets").alias("subset", "s"))
@@ -128,8 +176,8 @@ def read_probe(spark: SparkSession, path: str, multi_line: bool = True) -> tuple
 
 
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines QA items; ``answer_type`` defaults to 'entity'."""
-    return (spark.read.schema(QA_SCHEMA).json(path)
+    """JSON Lines QA items; ``answer_type`` defaults to 'entity'; a line that is not valid JSON raises."""
+    return (spark.read.option("mode", "FAILFAST").schema(QA_SCHEMA).json(path)
             .withColumn("answer_type", F.coalesce("answer_type", F.lit("entity"))))
 
 
