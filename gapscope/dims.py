@@ -106,6 +106,9 @@ HOME_LOCALE_LABEL = {
     "Nepal": "NE", "Iran": "FA", "Poland": "PL", "Russia": "RU", "Ukraine": "UK",
 }
 
+# The countries whose home locale the metric panels mark.
+PANEL_HOME_COUNTRIES = ["China", "UAE", "Greece", "India", "Southeast Asian", "South Korea"]
+
 # Heat-map panels of the metric matrix: metric -> (vmin, vmax, center).
 METRIC_PANELS = {
     "abstain_rate": (0.0, 0.15, None),
@@ -151,6 +154,11 @@ def dim_home_locale(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "country string, home_locale string")
 
 
+def dim_panel_home(spark: SparkSession) -> DataFrame:
+    """(country, home_locale) of the metric panels."""
+    return dim_home_locale(spark).where(F.col("country").isin(PANEL_HOME_COUNTRIES))
+
+
 def dim_panel(spark: SparkSession) -> DataFrame:
     rows = [(m, i, lo, hi, c) for i, (m, (lo, hi, c)) in enumerate(METRIC_PANELS.items())]
     return spark.createDataFrame(

@@ -33,8 +33,10 @@ def order_statistics(values: DataFrame, groups: list[str], col: str, wanted: Dat
         if open_.isEmpty():
             return found.select(*groups, "k", F.col("lo").alias("value"))
         rows = _meet(x, open_, groups).where("_x between lo and hi")
-        # halves first: the width of a range may pass the greatest double
-        share = (F.col("_x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        # by halves where the width of a range passes the greatest double
+        width = F.col("hi") - F.col("lo")
+        share = F.when(width == float("inf"), (F.col("_x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)).otherwise(
+            (F.col("_x") - F.col("lo")) / width)
         counts = rows.groupBy(*groups, "k", "at", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("b")).agg(
             F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
         up_to = F.sum("n").over(Window.partitionBy(*groups, "k").orderBy("b"))

@@ -7,7 +7,7 @@ never a cross join of two data-sized tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapscope.dims import canonical_subsets, literal_array
@@ -115,6 +115,21 @@ def metric_matrix(long: DataFrame, dim_panel: DataFrame, dim_subset: DataFrame)
         ((F.col("value") - F.col("vmin")) / (F.col("vmax") - F.col("vmin"))).alias("norm_value"))
 
 
+def panel_rows(cells: DataFrame, dim_home: DataFrame) -> DataFrame:
+    """R11 + J10 on metric panels: the cells of ``metric_matrix`` with the rows' order and the home cell marked.
+
+    All panels show the models of the first one in its order (``model_ord`` from 0, by
+    name; null for a model that the first panel lacks); ``is_home_cs`` marks the
+    ``_cs`` cell of the home locale of the model's country.
+    """
+    # a row a model: small beside the cells
+    first = cells.where(F.col("panel_ord") == 0).select("model").distinct().select(
+        F.col("model").alias("_model"), (F.row_number().over(Window.orderBy("model")) - 1).alias("model_ord"))
+    home = dim_home.select(F.col("country").alias("_country"), F.concat("home_locale", F.lit("_cs")).alias("_home"))
+    out = cells.join(first, cells["model"] == first["_model"], "left").join(home, cells["country"] == home["_country"], "left")
+    return out.withColumn("is_home_cs", F.coalesce(F.col("_home") == F.col("subset"), F.lit(False))).drop("_model", "_country", "_home")
+
+
 def coverage_gaps(long: DataFrame, expected_subsets: list[str], metric: str = "accuracy") -> DataFrame:
     """(model, subset) cells that a complete table would have but this one lacks."""
     s = long.where(F.col("metric") == metric)

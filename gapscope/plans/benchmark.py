@@ -110,6 +110,20 @@ def q_sample_proportionally(spark, sf_dir):
         "config", "strat", "n_before", "quota", "n_after")
 
 
+_INT_HASH = "(pos * 2654435761 + 12345) % 4294967296"
+
+
+@register("sample_rows", with_ctes(ITEMS, _QUOTA_SQL + f"""
+SELECT it.pos, it.config, it.strat FROM (
+  SELECT pos, config, strat, row_number() OVER (PARTITION BY config, strat ORDER BY {_INT_HASH}, pos) AS rn FROM it) it
+JOIN q ON q.config = it.config AND q.strat = it.strat WHERE rn <= quota"""))
+def q_sample_rows(spark, sf_dir):
+    """The rows that the sample keeps, under an order that SQL can state too."""
+    it = B.items(spark, sf_dir).select("pos", "config", "strat")
+    spread = F.shiftleft(F.expr(_INT_HASH) - (1 << 31), 32)
+    return Bd.sample_proportionally(it, LITE_MAX, strat="strat", by=["config"], hashed=spread)
+
+
 @register("assemble_lite", with_ctes(ITEMS, """
 , cs AS (SELECT * FROM it WHERE claude_cs = 1)
 , c AS (SELECT config, strat, count(*) AS n FROM cs GROUP BY config, strat)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapscope import dims as D
+from gapscope.functions.quantiles import quantiles
 from gapscope.operators import gapstats as A
 from gapscope.operators import ranking as K
 from gapscope.operators import reshape as R
@@ -98,6 +99,19 @@ def q_gap_box_stats(spark, sf_dir):
     return out.withColumns({c: F.round(c, DEC) for c in ("q25", "median", "q75")})
 
 
+@register("score_quantiles", """
+SELECT l_returnflag, l_linestatus, count(*) AS n, min(v) AS min, round(quantile_cont(v, 0.01), 6) AS q01, round(quantile_cont(v, 0.5), 6) AS median,
+       round(quantile_cont(v, 0.999), 6) AS q999, max(v) AS max
+FROM (SELECT l_returnflag, l_linestatus, CAST(l_extendedprice * (1 - l_discount) AS DOUBLE) AS v FROM lineitem) t GROUP BY l_returnflag, l_linestatus""")
+def q_score_quantiles(spark, sf_dir):
+    """Exact quantiles of few, large groups."""
+    li = table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_extendedprice", "l_discount")
+    v = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double")
+    out = quantiles(li.select("l_returnflag", "l_linestatus", v.alias("v")), ["l_returnflag", "l_linestatus"], "v",
+                    {"q01": 0.01, "median": 0.5, "q999": 0.999})
+    return out.withColumns({c: F.round(c, 6) for c in ("q01", "median", "q999")})
+
+
 @register("home_locale_cells", with_ctes({**GL, "home": "SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', '{loc}')" for c, loc in (
         (c, {D.LOCALE_INFO[x][0].upper(): x for x in D.GAP_LOCALES}[lab])
@@ -239,6 +253,23 @@ def q_metric_matrix(spark, sf_dir):
     return R.metric_matrix(long_table(spark, sf_dir), D.dim_panel(spark), D.dim_subset(spark, SUBS))
 
 
+_PANEL_HOME_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', '{loc}')" for c in D.PANEL_HOME_COUNTRIES
+    for loc in [next(x for x in D.GAP_LOCALES if D.LOCALE_INFO[x][0].upper() == D.HOME_LOCALE_LABEL[c])]) + ") t(country, home)"
+
+
+@register("metric_panels", with_ctes({**BASE_CTES, "p": _PANEL_SQL, "sd": _SUBDIM_SQL, "h": _PANEL_HOME_SQL}, """
+, c AS (SELECT lg.metric, p.panel_ord, lg.model, lg.country, lg.subset, sd.subset_ord, sd.col_group, lg.value,
+               (lg.value - p.vmin) / (p.vmax - p.vmin) AS norm_value
+        FROM lg JOIN p ON p.metric = lg.metric JOIN sd ON sd.subset = lg.subset)
+, o AS (SELECT model, CAST(row_number() OVER (ORDER BY model) - 1 AS INTEGER) AS model_ord FROM (SELECT DISTINCT model FROM c WHERE panel_ord = 0))
+SELECT c.*, o.model_ord, coalesce(h.home || '_cs' = c.subset, false) AS is_home_cs
+FROM c LEFT JOIN o ON o.model = c.model LEFT JOIN h ON h.country = c.country"""))
+def q_metric_panels(spark, sf_dir):
+    cells = R.metric_matrix(long_table(spark, sf_dir), D.dim_panel(spark), D.dim_subset(spark, SUBS))
+    return R.panel_rows(cells, D.dim_panel_home(spark))
+
+
 @register("coverage_gaps", with_ctes(BASE_CTES, f"""
 SELECT m.model, e.subset
 FROM (SELECT DISTINCT model FROM lg WHERE metric = 'accuracy') m

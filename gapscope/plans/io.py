@@ -23,6 +23,7 @@ from gapscope.session import scratch_path
 from gapscope.sources import bindings as B
 from gapscope.sources import files as S
 from gapscope.streaming.ingest import ingest_results_stream, read_ingested
+from gapscope.streaming.keyed import compact, ingest_keyed, read_keyed
 
 
 def _scratch(spark, name):
@@ -203,3 +204,16 @@ def q_ingest_results_stream(spark, sf_dir):
                               max_files_per_trigger=1)
     q.awaitTermination()
     return read_ingested(spark, tgt, ["pos"], mode="key").select("pos", "config", "claude_cs", "parse_ok")
+
+
+@register("ingest_keyed_state", with_ctes(REPLIES, PARSE_SQL + "SELECT pos, config, claude_cs, parse_ok FROM parsed"))
+def q_ingest_keyed_state(spark, sf_dir):
+    """S11 with keyed state: half of the replies land twice; the second landing changes nothing, then a snapshot is read."""
+    src, tgt, ck = _scratch(spark, "replies"), _scratch(spark, "newest"), _scratch(spark, "newest-ckpt")
+    label = lambda b: Bd.parse_labels(b).drop("reply", "expected")
+    replies = B.label_replies(spark, sf_dir)
+    for part in (replies, replies.where(F.col("pos") % 2 == 0)):
+        part.write.mode("append").json(src)
+        ingest_keyed(spark, src, tgt, ck, REPLY_SCHEMA, ["pos"], transform=label).awaitTermination()
+    compact(spark, tgt, ["pos"])
+    return read_keyed(spark, tgt, ["pos"]).select("pos", "config", "claude_cs", "parse_ok")

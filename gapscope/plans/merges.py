@@ -48,13 +48,13 @@ def _side(spark, sf_dir, batch):
     return batch_long(spark, sf_dir).where(F.col("batch") == batch).drop("batch")
 
 
-@register("overlay_scores", with_ctes(BL_CTES, """
-, base AS (SELECT file, model, subset, pos, metric, value FROM bl WHERE batch = 'base')
+@register("overlay_scores", with_ctes({k: BL_CTES[k] for k in ("r", "mb", "bl")}, """
+, base AS MATERIALIZED (SELECT file, model, subset, pos, metric, value FROM bl WHERE batch = 'base')
 , o AS (SELECT file, model, subset, pos, metric, value FROM bl
         WHERE batch = 'overlay' AND file IN (SELECT file FROM base))
 SELECT b.* FROM base b LEFT JOIN (SELECT file, metric, subset, 1 AS hit FROM o) k
   ON k.file = b.file AND k.metric = b.metric AND k.subset = b.subset WHERE k.hit IS NULL
-UNION ALL SELECT * FROM o"""))
+UNION ALL SELECT * FROM o""", once=("mb", "bl")))
 def q_overlay_scores(spark, sf_dir):
     base = _side(spark, sf_dir, "base")
     # another run's files name the model differently; the base file's name stays

@@ -89,6 +89,61 @@ def q_build_prompts_gen5(spark, sf_dir):
     return P.build_prompts(it, "gen5").select("item_id", "subset", "prompt_lang", "prompt")
 
 
+TPL5_SQL = _values([(k, q, a, e) for k, (q, a, e) in D.LOGLIK5_LABELS.items()], ["lang", "q_label", "a_label", "idk_option"])
+TPL_GEN4_SQL = _values([(k, q, i, a) for k, (q, i, a) in D.GEN4_LABELS.items()], ["lang", "q_label", "instruction", "a_label"])
+_LINES = " || ".join(f"{NL} || '{x}. ' || option_{x.lower()}" for x in "ABCD")
+
+#: One run of each kind: a base model, and the instruct models with a wrapper of their own.
+WRAPPED = ["org/base-model", D.JAIS_CHAT_MODELS[0], D.ACEGPT_CHAT_MODELS[0]]
+
+
+@register("build_prompts_loglik5", with_ctes({**ITEMS_CTES, "t": TPL5_SQL}, f"""
+SELECT pl.item_id, pl.subset, pl.prompt_lang,
+       t.q_label || question || {_LINES} || {NL} || 'E. ' || t.idk_option || {NL} || t.a_label AS prompt
+FROM pl JOIN t ON t.lang = pl.prompt_lang"""))
+def q_build_prompts_loglik5(spark, sf_dir):
+    it = P.pick_question(P.parse_subset(_items(spark, sf_dir), "loglik5", "strict"))
+    return P.build_prompts(it, "loglik5").select("item_id", "subset", "prompt_lang", "prompt")
+
+
+@register("build_prompts_gen4", with_ctes({**ITEMS_CTES, "t": TPL_GEN4_SQL}, f"""
+SELECT pl.item_id, pl.subset, t2.lang AS prompt_lang,
+       t2.q_label || question || {_LINES} || {NL} || t2.instruction || {NL} || t2.a_label AS prompt
+FROM pl LEFT JOIN t ON t.lang = pl.prompt_lang JOIN t t2 ON t2.lang = coalesce(t.lang, 'en')"""))
+def q_build_prompts_gen4(spark, sf_dir):
+    it = P.pick_question(P.parse_subset(_items(spark, sf_dir), "gen4", "lenient"))
+    return P.build_prompts(it, "gen4").select("item_id", "subset", "prompt_lang", "prompt")
+
+
+def _wrapped_sql(letters: str, five: bool) -> str:
+    more = f" || {NL} || 'E. ' || t2.idk_option" if five else ""
+    jais = lambda text: f"replace({q_(text)}, '{{Question}}', question || {_LINES}{more} || {NL} || 'Answer with only the letter {letters}.')"
+    body = f"t2.q_label || question || {_LINES}{more} || {NL} || t2.instruction"
+    return f"""
+SELECT m.model, pl.item_id, pl.subset,
+       CASE WHEN m.model = '{WRAPPED[1]}' THEN CASE WHEN t2.lang = 'ar' THEN {jais(D.JAIS_PROMPT_AR)} ELSE {jais(D.JAIS_PROMPT_EN)} END
+            WHEN m.model = '{WRAPPED[2]}' THEN '<User>: ' || {body} || ' <Assistant>: '
+            ELSE {body} || {NL} || t2.a_label END AS prompt
+FROM pl LEFT JOIN t ON t.lang = pl.prompt_lang JOIN t t2 ON t2.lang = coalesce(t.lang, 'en')
+CROSS JOIN (SELECT unnest([{", ".join(q_(m) for m in WRAPPED)}]) AS model) m"""
+
+
+def _wrapped(spark, sf_dir, style):
+    it = P.pick_question(P.parse_subset(_items(spark, sf_dir), style, "lenient"))
+    runs = it.withColumn("model", F.explode(literal_array(WRAPPED)))
+    return P.build_prompts(runs, style).select("model", "item_id", "subset", "prompt")
+
+
+@register("build_prompts_wrapped4", with_ctes({**ITEMS_CTES, "t": TPL_GEN4_SQL}, _wrapped_sql("(A, B, C, or D)", False)))
+def q_build_prompts_wrapped4(spark, sf_dir):
+    return _wrapped(spark, sf_dir, "gen4")
+
+
+@register("build_prompts_wrapped5", with_ctes({**ITEMS_CTES, "t": TPL_GEN5_SQL}, _wrapped_sql("(A, B, C, D, or E)", True)))
+def q_build_prompts_wrapped5(spark, sf_dir):
+    return _wrapped(spark, sf_dir, "gen5")
+
+
 @register("cross_model_prompts", with_ctes({**ITEMS_CTES, "t": TPL4_SQL, "rp": B.RUN_PLAN_SQL}, f"""
 SELECT rp.model, pl.subset, pl.item_id, {_loglik4_prompt_sql(False)} AS prompt, pl.answer AS gold
 FROM rp JOIN pl ON pl.subset = rp.subset JOIN t ON t.lang = pl.prompt_lang"""))

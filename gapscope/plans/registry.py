@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def with_ctes(ctes: dict[str, str], body: str) -> str:
-    """``WITH a AS (...), b AS (...) body`` from an ordered dict of CTE bodies."""
-    parts = ",\n".join(f"{k} AS (\n{v.strip()}\n)" for k, v in ctes.items())
+def with_ctes(ctes: dict[str, str], body: str, once: tuple[str, ...] = ()) -> str:
+    """``WITH a AS (...), b AS (...) body`` from an ordered dict of CTE bodies; those in ``once`` are computed once."""
+    parts = ",\n".join(f"{k} AS {'MATERIALIZED ' if k in once else ''}(\n{v.strip()}\n)" for k, v in ctes.items())
     return f"WITH {parts}\n{body.strip()}\n"

@@ -36,3 +36,37 @@ def test_group_mode_replaces_rerun_subsets(spark):
         .write.partitionBy("batch_id").parquet(tgt)
     got = rows(read_ingested(spark, tgt, ["model", "subset"], mode="group"), "subset", "item")
     assert got == [("a_cs", 7), ("b_cs", 1)]
+
+
+def test_keyed_state_emits_changes_and_reads_the_newest_snapshot(spark):
+    import os
+
+    from gapscope.streaming.keyed import compact, ingest_keyed, read_keyed
+    base = tempfile.mkdtemp(prefix="gapscope-keyed-")
+    src, tgt, ck = f"{base}/src", f"{base}/tgt", f"{base}/ck"
+    reply = lambda v: '{"culturally_dependent": %d}' % v
+
+    def land(*data):
+        spark.createDataFrame(list(data), REPLY_SCHEMA).coalesce(1).write.mode("append").json(src)
+        ingest_keyed(spark, src, tgt, ck, REPLY_SCHEMA, ["pos"], transform=lambda b: Bd.parse_labels(b).drop("reply", "expected")).awaitTermination()
+
+    changes = lambda: spark.read.parquet(f"{tgt}/changes").groupBy("batch_id").count().collect()
+    now = lambda: dict(rows(read_keyed(spark, tgt, ["pos"]), "pos", "claude_cs"))
+    land(*[(i, "c", 0, reply(i % 2)) for i in range(20)], (None, "c", 0, reply(1)))
+    assert now() == {**{i: i % 2 for i in range(20)}, None: 1}
+    # the same rows again and one change: one row is emitted, by a restarted stream
+    land(*[(i, "c", 0, reply(i % 2 if i != 3 else 0)) for i in range(20)])
+    assert now()[3] == 0 and sorted(r["count"] for r in changes()) == [1, 21]
+    upto = compact(spark, tgt, ["pos"])
+    land((4, "c", 0, reply(1)), (50, "d", 0, reply(1)))
+    assert now() == {**{i: i % 2 for i in range(20)}, None: 1, 3: 0, 4: 1, 50: 1}
+    plan = read_keyed(spark, tgt, ["pos"])._jdf.queryExecution().toString()
+    assert "upto" in plan and "batch_id#" in plan and sorted(os.listdir(f"{tgt}/snapshot"))[-1] == f"upto={upto}"
+    # a replayed batch: the last commit is lost, the batch runs again on the state before it
+    last = max(int(f) for f in os.listdir(f"{ck}/commits") if f.isdigit())
+    before = now()
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{ck}/commits/{name}"):
+            os.remove(f"{ck}/commits/{name}")
+    ingest_keyed(spark, src, tgt, ck, REPLY_SCHEMA, ["pos"], transform=lambda b: Bd.parse_labels(b).drop("reply", "expected")).awaitTermination()
+    assert now() == before and len(changes()) == 3
