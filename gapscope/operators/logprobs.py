@@ -29,12 +29,15 @@ def log_softmax(logits="logits") -> Column:
     computed value would re-evaluate it for every element (quadratic).
     """
     x = F.transform(col_(logits), lambda v: v.cast("double"))
-    lse = F.aggregate(
+    return F.zip_with(x, F.array_repeat(_log_sum_exp(x), F.size(x)), lambda v, c: v - c)
+
+
+def _log_sum_exp(x: Column) -> Column:
+    return F.aggregate(
         x, F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s")),
         lambda a, v: F.when(v > a["m"], F.struct(v.alias("m"), (a["s"] * F.exp(a["m"] - v) + 1).alias("s")))
         .otherwise(F.struct(a["m"].alias("m"), (a["s"] + F.exp(v - a["m"])).alias("s"))),
         lambda a: a["m"] + F.log(a["s"]))
-    return F.zip_with(x, F.array_repeat(lse, F.size(x)), lambda v, c: v - c)
 
 
 def top_k_tokens(log_probs="log_probs", k: int = 5) -> Column:
@@ -150,57 +153,99 @@ def variant_arrays(variants: DataFrame) -> DataFrame:
 # score_logprobs
 # ---------------------------------------------------------------------------
 
-def score_logprobs(responses: DataFrame, variants: DataFrame, used_prefix: DataFrame | None = None,
-                   top: int = 5) -> DataFrame:
-    """One job over a logits table: argmax option, rank flags, gold probability.
+def resolve_models(tokens: DataFrame, letters: list[str] = LETTERS) -> DataFrame:
+    """C3 and C4 at once: (model, variants, used_prefix), one row a model from one pass over the token table.
 
-    ``responses``: (model, subset, pos, gold, logits).  Adds ``log_probs``,
-    ``top_tokens`` (C2), ``argmax_prefix``/``pred``/``argmax_token_id`` (C5,
-    ties -> earliest (prefix, letter)), ``argmax_is_top1/5`` (C6),
-    ``gold_prob`` (C10: softmax over the letters of the argmax prefix),
-    and, with ``used_prefix`` (model, prefix), the probe flags of C16.
+    A prefix works if each of ``letters`` is one token after it.  ``variants`` has the
+    letters of all working prefixes of the 'all' order, ``used_prefix`` is the first
+    working one of the 'first' order.  A model without any fails when the result is read.
     """
-    va = variant_arrays(variants)
-    df = responses.join(va, "model").withColumn("log_probs", log_softmax("logits"))
-    df = df.withColumn("top_tokens", top_k_tokens("log_probs", top))
-    scored_variants = F.transform("variants", lambda v: F.struct(
-        F.element_at("log_probs", v["token_id"] + 1).alias("lp"),
-        (-(v["prefix_ord"] * 100 + v["letter_ord"])).alias("neg_ord"),
-        v["prefix"].alias("prefix"), v["letter"].alias("letter"), v["token_id"].alias("token_id")))
-    best = F.array_max(scored_variants)
-    df = df.withColumn("_best", best).withColumns({
-        "argmax_prefix": F.col("_best.prefix"),
-        "pred": F.col("_best.letter"),
-        "argmax_token_id": F.col("_best.token_id"),
-    })
+    entry = F.struct("prefix", "letter", "token_ids")
+    # prefixes x letters: a few entries a model
+    per = tokens.where(F.col("letter").isin(letters)).groupBy("model").agg(F.collect_set(entry).alias("t"))
+
+    def works(prefix: str) -> Column:
+        mine = F.filter("t", lambda x: x["prefix"] == prefix)
+        return F.forall(mine, lambda x: F.size(x["token_ids"]) == 1) & (F.size(F.array_distinct(F.transform(mine, lambda x: x["letter"]))) == len(letters))
+
+    def of(prefix: str, at: int) -> Column:
+        found = F.transform(F.filter("t", lambda x: x["prefix"] == prefix), lambda x: F.struct(
+            F.lit(at).alias("prefix_ord"), (F.array_position(literal_array(letters), x["letter"]) - 1).cast("int").alias("letter_ord"),
+            x["prefix"].alias("prefix"), x["letter"].alias("letter"), F.element_at(x["token_ids"], 1).alias("token_id")))
+        return F.when(works(prefix), found).otherwise(F.filter(found, lambda x: F.lit(False)))
+
+    first = F.coalesce(*[F.when(works(p), F.lit(p)) for p in PREFIXES_FIRST])
+    missing = F.raise_error(F.concat(F.lit("no single-token answer letters for "), F.col("model")))
+    return per.select("model", F.sort_array(F.concat(*[of(p, at) for at, p in enumerate(PREFIXES_ALL)])).alias("variants"),
+                      F.coalesce(first, missing.cast("string")).alias("used_prefix"))
+
+
+def response_scalars(responses: DataFrame, token_ids: Column, top: int = 5) -> DataFrame:
+    """Each response without its logits: log-sum-exp, the ``top`` tokens (C2) and the logits of ``token_ids``.
+
+    Everything is computed inside the row that was read; no row with a vocabulary-sized
+    array is shuffled after this.
+    """
+    x = F.transform("logits", lambda v: v.cast("double"))
+    df = responses.withColumn("_lse", _log_sum_exp(x)).withColumn("top_tokens", top_k_tokens("logits", top))
+    df = df.withColumn("_ids", token_ids).withColumn("letter_logits", F.map_from_entries(F.transform("_ids", lambda t: F.struct(
+        t.alias("token_id"), F.try_element_at("logits", t + 1).cast("double").alias("logit")))))
+    # top tokens come with logits; the row constant turns them into log-probabilities
+    lse = F.array_repeat("_lse", F.size("top_tokens"))
+    return df.withColumn("top_tokens", F.zip_with("top_tokens", lse, lambda t, c: F.struct(
+        t["rank"].alias("rank"), t["token_id"].alias("token_id"), (t["log_prob"] - c).alias("log_prob"),
+        F.exp(t["log_prob"] - c).alias("prob")))).drop("logits", "_ids")
+
+
+def score_models(responses: DataFrame, resolved: DataFrame, top: int = 5) -> DataFrame:
+    """C5, C6, C10, C16 in one job over a logits table.
+
+    ``responses``: (model, subset, pos, gold, logits); ``resolved``: (model, variants,
+    used_prefix or null).  The answer letters' token ids of all models (a scalar subquery)
+    pick a few logits of each row; the rows meet their model only after that.
+
+    Adds ``top_tokens`` (C2, flagged ``is_letter``), ``argmax_prefix``/``pred``/``argmax_token_id`` (C5,
+    ties -> earliest (prefix, letter)), ``argmax_is_top1/5`` (C6), ``gold_prob`` (C10: softmax over the
+    letters of the argmax prefix) and the probe flags of C16.
+    """
+    ids = resolved.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
+        F.transform("variants", lambda v: v["token_id"]))))).alias("ids")).scalar()
+    df = response_scalars(responses, ids, top).join(resolved, "model")
+    scored = F.transform("variants", lambda v: F.struct(
+        F.element_at("letter_logits", v["token_id"]).alias("x"), (-(v["prefix_ord"] * 100 + v["letter_ord"])).alias("neg_ord"),
+        v["prefix"].alias("prefix"), v["letter"].alias("letter"), v["token_id"].alias("token_id"), (-v["letter_ord"]).alias("neg_letter")))
+    df = df.withColumn("_scored", scored).withColumn("_best", F.array_max("_scored"))
+    df = df.withColumns({"argmax_prefix": F.col("_best.prefix"), "pred": F.col("_best.letter"), "argmax_token_id": F.col("_best.token_id")})
     # C2 flag: is each top token one of the model's answer-letter variants
     df = df.withColumn("top_tokens", F.transform("top_tokens", lambda t: t.withField(
         "is_letter", F.exists("variants", lambda v: v["token_id"] == t["token_id"]))))
     top_ids = F.transform("top_tokens", lambda s: s["token_id"])
+    top1 = F.element_at(top_ids, 1)
+    same_prefix = F.filter("_scored", lambda v: v["prefix"] == F.col("argmax_prefix"))
+    mx = F.col("_best.x")                                       # the best letter has the greatest logit of its prefix
+    denom = F.aggregate(F.transform(same_prefix, lambda s: F.exp(s["x"] - mx)), F.lit(0.0), lambda a, b: a + b)
+    gold_x = F.try_element_at(F.filter(same_prefix, lambda s: s["letter"] == F.col("gold")), F.lit(1))["x"]
+    used = F.filter("_scored", lambda v: v["prefix"] == F.col("used_prefix"))
+    best_used = F.array_max(F.transform(used, lambda v: F.struct(v["x"].alias("x"), v["neg_letter"].alias("neg_ord"), v["letter"].alias("letter"))))
     df = df.withColumns({
-        "argmax_is_top1": F.element_at(top_ids, 1) == F.col("argmax_token_id"),
+        "argmax_is_top1": top1 == F.col("argmax_token_id"),
         "argmax_is_top5": F.array_contains(top_ids, F.col("argmax_token_id")),
-    })
-    same_prefix = F.filter("variants", lambda v: v["prefix"] == F.col("argmax_prefix"))
-    lps = F.transform(same_prefix, lambda v: F.struct(
-        v["letter"].alias("letter"), F.element_at("log_probs", v["token_id"] + 1).alias("lp")))
-    mx = F.array_max(F.transform(lps, lambda s: s["lp"]))
-    denom = F.aggregate(F.transform(lps, lambda s: F.exp(s["lp"] - mx)), F.lit(0.0), lambda a, b: a + b)
-    gold_lp = F.element_at(F.filter(lps, lambda s: s["letter"] == F.col("gold")), 1)["lp"]
-    df = df.withColumn("gold_prob", F.exp(gold_lp - mx) / denom)
-    if used_prefix is not None:
-        df = df.join(used_prefix.select("model", F.col("prefix").alias("used_prefix")), "model", "left")
-        top1 = F.element_at(top_ids, 1)
-        used = F.filter("variants", lambda v: v["prefix"] == F.col("used_prefix"))
-        used_scored = F.transform(used, lambda v: F.struct(
-            F.element_at("log_probs", v["token_id"] + 1).alias("lp"), (-v["letter_ord"]).alias("neg_ord"),
-            v["letter"].alias("letter")))
-        df = df.withColumns({
-            "top1_is_letter": F.exists("variants", lambda v: v["token_id"] == top1),
-            "top1_matches_used_prefix": F.exists(used, lambda v: v["token_id"] == top1),
-            "pred_under_used_prefix": F.array_max(used_scored)["letter"],
-        })
-    return df.drop("_best")
+        "gold_prob": F.exp(gold_x - mx) / denom,
+        "top1_is_letter": F.exists("variants", lambda v: v["token_id"] == top1),
+        "top1_matches_used_prefix": F.exists(used, lambda v: v["token_id"] == top1),
+        "pred_under_used_prefix": best_used["letter"]})
+    return df.drop("_best", "_scored", "_lse", "letter_logits")
+
+
+def score_logprobs(responses: DataFrame, variants: DataFrame, used_prefix: DataFrame | None = None,
+                   top: int = 5) -> DataFrame:
+    """``score_models`` for a variant table (C3 or C4) and, for the probe flags, (model, prefix) as ``used_prefix``."""
+    resolved = variant_arrays(variants)
+    if used_prefix is None:
+        resolved = resolved.withColumn("used_prefix", F.lit(None).cast("string"))
+    else:
+        resolved = resolved.join(used_prefix.select("model", F.col("prefix").alias("used_prefix")), "model", "left")
+    return score_models(responses, resolved, top)
 
 
 def probe_rates(scored: DataFrame, keys=("model", "subset")) -> DataFrame:

@@ -53,18 +53,27 @@ def sort_models(df: DataFrame) -> DataFrame:
     return df.orderBy("country", "model")
 
 
+def worst_cells(rates: DataFrame, n: int = 15, rate_col: str = "top1_is_letter_rate") -> DataFrame:
+    """The n lowest (model, subset) cells by ``rate_col``: a global top-n, no full sort."""
+    return rates.orderBy(F.asc(rate_col), "model", "subset").limit(n).select("model", "subset", rate_col)
+
+
 def worst_cases(rates: DataFrame, records: DataFrame, n: int = 15, per_cell: int = 3,
                 tokens: int = 5, rate_col: str = "top1_is_letter_rate") -> DataFrame:
     """K3: the n lowest (model, subset) cells by ``rate_col``; for each, the first
     ``per_cell`` records whose top-1 token is not a letter, with their top tokens.
 
     The n cells come from a global top-n (TakeOrdered, n rows to the driver
-    plan, no full sort); records are semi-joined to them so only those cells'
-    rows reach the per-cell window.
+    plan, no full sort); records are joined to them so only those cells' rows reach the
+    per-cell window.  A caller whose records are costly to score joins them to
+    ``worst_cells`` before scoring and goes on with ``worst_records``.
     """
-    worst = rates.orderBy(F.asc(rate_col), "model", "subset").limit(n)
-    recs = (records.where(~F.col("top1_is_letter"))
-            .join(F.broadcast(worst.select("model", "subset", rate_col)), ["model", "subset"]))
+    return worst_records(records.join(F.broadcast(worst_cells(rates, n, rate_col)), ["model", "subset"]), per_cell, tokens, rate_col)
+
+
+def worst_records(records: DataFrame, per_cell: int = 3, tokens: int = 5, rate_col: str = "top1_is_letter_rate") -> DataFrame:
+    """The second half of K3: of scored records of the worst cells (with ``rate_col``), the first ``per_cell`` a cell."""
+    recs = records.where(~F.col("top1_is_letter"))
     w = Window.partitionBy("model", "subset").orderBy("pos")
     recs = recs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_cell)
     return (recs.select("model", "subset", rate_col, "pos",

@@ -42,11 +42,8 @@ LP_CTES = {
 }
 
 
-def _scored(spark, sf_dir):
-    tokens = B.letter_tokens(spark, sf_dir)
-    variants = L.resolve_variants(tokens, "all")
-    used = L.resolve_variants(tokens, "first").select("model", "prefix").distinct()
-    return L.score_logprobs(B.logits(spark, sf_dir), variants, used_prefix=used)
+def _scored(spark, sf_dir, responses=None):
+    return L.score_models(B.logits(spark, sf_dir) if responses is None else responses, L.resolve_models(B.letter_tokens(spark, sf_dir)))
 
 
 @register("log_softmax", with_ctes(LP_CTES, f"""
@@ -187,6 +184,8 @@ SELECT recs.model, recs.subset, recs.top1_is_letter_rate, recs.pos, CAST(lp.rnk
        lp.token_id, round(lp.log_prob, {R9}) AS log_prob
 FROM recs JOIN lp ON lp.pos = recs.pos AND lp.rnk <= 5 WHERE recs.r <= 3"""))
 def q_worst_cases(spark, sf_dir):
-    sc = _scored(spark, sf_dir)
-    out = K.worst_cases(L.probe_rates(sc), sc, n=15, per_cell=3, tokens=5)
+    # the first pass needs the rates only; the second scores the rows of the worst cells alone
+    worst = K.worst_cells(L.probe_rates(_scored(spark, sf_dir)), n=15)
+    rows = B.logits(spark, sf_dir).join(F.broadcast(worst), ["model", "subset"])
+    out = K.worst_records(_scored(spark, sf_dir, rows), per_cell=3, tokens=5)
     return out.withColumn("log_prob", F.round("log_prob", R9))

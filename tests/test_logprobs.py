@@ -57,3 +57,29 @@ def test_five_letters_can_be_scored(spark):
     assert L.score_logprobs(logits, L.resolve_variants(tokens, "all")).first().pred == "A"
     top = [(t.rank, t.token_id) for t in five.top_tokens]
     assert top == [(1, 4), (2, 0), (3, 5), (4, 6), (5, 7)]
+
+
+def test_no_row_with_logits_is_shuffled(spark):
+    import re
+
+    from gapscope.plans.catalog import QUERIES
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name, scans in (("argmax_option", 1), ("probe_rates", 1), ("worst_cases", 2)):
+            plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            exchanges = [line for line in plan.splitlines() if re.search(r"\bExchange ", line)]
+            assert exchanges and not any("logits" in line or "embedding" in line for line in exchanges)
+            assert len(re.findall(r"Scan parquet .*ReadSchema: struct<[^>]*embedding", plan)) == scans
+            for line, following in zip(plan.splitlines(), plan.splitlines()[1:]):
+                assert not (re.search(r"\bExchange ", line) and re.search(r"Project \[.*embedding#\d+ AS logits", following))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_resolved_models(spark):
+    got = {r.model: ([(v.prefix, v.letter, v.token_id) for v in r.variants], r.used_prefix) for r in L.resolve_models(_tokens(spark)).collect()}
+    assert got["m1"] == ([(" ", c, i) for i, c in enumerate("ABCD")] + [("", c, 4 + i) for i, c in enumerate("ABCD")], " ")
+    assert got["m2"] == ([(" ", c, i) for i, c in enumerate("ABCD")], " ")
+    with pytest.raises(Exception, match="no single-token answer letters"):
+        L.resolve_models(_tokens(spark, bad_model=True)).collect()
