@@ -295,11 +295,15 @@ def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 500, task_rows
     names = r0.groupBy("e").agg(F.first("model").alias("model"), F.first("subset").alias("subset"))
     rows = r0.select("e", "i", "y")
     if task_rows > 0:
-        placed = reliable_checkpoint(_placed(rows))
-        large = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows)
-        large = reliable_checkpoint(large.select("part"))
-        done = reliable_checkpoint(in_tasks(placed.join(large, "part", "left_anti"), tol, max_iter, rule))
-        left = None if large.isEmpty() else reliable_checkpoint(placed.join(large, "part", "left_semi").select("e", "i", "y"))
+        placed = _placed(rows)
+        large = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows).select("part")
+        if large.isEmpty():
+            bounded, left = placed, None
+        else:
+            large = reliable_checkpoint(large)
+            bounded = placed.join(large, "part", "left_anti")
+            left = reliable_checkpoint(placed.join(large, "part", "left_semi").select("e", "i", "y"))
+        done = reliable_checkpoint(in_tasks(bounded, tol, max_iter, rule))
         if not done.where("reason = 'not_converged'").isEmpty():
             raise NotConverged(f"a component of at most {task_rows} responses, {max_iter} iterations, tolerance {tol:g}")
         out = lambda kind: done.where((F.col("kind") == kind) & F.col("reason").isNull()).select("node", "component", "score", "n", "value")
@@ -311,10 +315,9 @@ def rasch_fit(resp: DataFrame, tol: float = 1e-6, max_iter: int = 500, task_rows
     if left is not None:
         theta_l, b_l, excluded_l, log = _distributed_fit(left, tol, max_iter, rule)
         union = lambda one, two: two if one is None else one.unionByName(two)
-        theta, b, excluded = union(theta, theta_l), union(b, b_l), union(excluded, excluded_l)
+        theta, b, excluded = reliable_checkpoint(union(theta, theta_l)), reliable_checkpoint(union(b, b_l)), union(excluded, excluded_l)
     # M5: anchor once at the end; the likelihood only depends on theta - b, so shifting a
     # component's thetas and bs by its mean theta changes nothing else
-    theta, b = reliable_checkpoint(theta), reliable_checkpoint(b)
     mean_t = theta.groupBy("component").agg(F.avg("value").alias("mt"))
     shifted = lambda df, name: df.join(mean_t, "component").withColumn(name, F.col("value") - F.col("mt"))
     theta_out = shifted(theta, "theta").withColumnRenamed("node", "e").join(names, "e").select("model", "subset", "component", "theta", "score", "n")
