@@ -32,14 +32,16 @@ from gapscope.llm.common import arrow_pass, pieces
 BATCH = 200
 SMOOTH = 1.2               # capacity of an edge between blocks of one container
 SMALL = 1e-9
-WRAPPER = 0.6              # an element with more than this share of the text is no side part
+WRAPPER = 0.6              # on a page without main parts, an element with more than this share of the text is no side part
+MIXED = 0.25               # nor is one named both main and side with more than this share
 
 # a common tag is matched whole here; _tag_end reads what is longer, so the figures below bound the work of a try and no tag
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^<>]*+>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?:[^'"<>]*+(?:(?:"[^"]{0,200}+"|'[^']{0,200}+')[^'"<>]*+){0,8}+>)?""", re.S)
 _PLAIN = re.compile(r"""[^'"<>]*+""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_END = re.compile(r"""[.!?…:;]["'»”)\]]*$""")
+_END = re.compile(r"""[.!?…:;。！？：；]["'»”)\]」』]*$""")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 SKIPPED = frozenset("script style title noscript template iframe object svg math textarea select option datalist canvas audio video head".split())
 RAW = frozenset("script style title textarea iframe noscript template".split())
@@ -55,6 +57,7 @@ SIDE_WORDS = frozenset("""nav navbar navigation menu footer sidebar side aside a
     cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies respond discussion disqus share sharing social related recommended
     recommendations newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget toolbar masthead copyright skip search form feedback
     teaser teasers trending popular tags legal disclaimer paywall""".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond discussion disqus".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 TOP_WORDS = frozenset("header head top".split())
 MAIN_TAGS = frozenset(("article", "main"))
@@ -62,28 +65,35 @@ MAIN_WORDS = frozenset("article main content post entry story body text prose".s
 
 
 class Element:
-    __slots__ = ("tag", "side", "main", "chars", "depth")
+    __slots__ = ("tag", "side", "main", "mixed", "chars", "depth", "up", "level", "in_main", "worst", "has_main")
 
-    def __init__(self, tag: str, side: float, main: bool, depth: int):
-        self.tag, self.side, self.main, self.chars, self.depth = tag, side, main, 0, depth
+    def __init__(self, tag: str, side: float, main: bool, mixed: bool, up: "Element | None"):
+        self.tag, self.side, self.main, self.mixed, self.up = tag, side, main, mixed, up
+        self.chars, self.has_main = 0, False
+        # depth counts the block elements from the root to here, this one included
+        self.depth = (up.depth if up else 0) + (tag in BLOCKS)
 
 
 class Block:
-    __slots__ = ("text", "links", "path", "tag")
+    __slots__ = ("text", "links", "at", "tag")
 
-    def __init__(self, text: str, links: int, path: list[Element], tag: str):
-        self.text, self.links, self.path, self.tag = text, links, path, tag
+    def __init__(self, text: str, links: int, at: Element | None, tag: str):
+        self.text, self.links, self.at, self.tag = text, links, at, tag
 
 
-def _hints(tag: str, attrs: str, inside_main: bool) -> tuple[float, bool]:
-    """How surely an element is a side part (2: hidden), and whether it is a main part."""
+def _hints(tag: str, attrs: str, inside_main: bool) -> tuple[float, bool, bool]:
+    """How surely an element is a side part (2: hidden, 1.5: comments), whether it is a main part, whether names say both."""
+    mixed = False
     side, main = float(tag in SIDE_TAGS or tag == "header" and not inside_main), tag in MAIN_TAGS
     if attrs and not attrs.isspace():
         words: set[str] = set()
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words.update(w.lower() for w in _NAME.findall(value))
+                for one in value.split():
+                    parts = {w.lower() for w in _NAME.findall(one)}
+                    mixed = mixed or bool(parts) and parts <= MAIN_WORDS
+                    words |= parts
             elif name == "role":
                 side, main = max(side, float(value.lower() in SIDE_ROLES)), main or value.lower() in ("main", "article")
             elif name == "itemprop":
@@ -92,8 +102,15 @@ def _hints(tag: str, attrs: str, inside_main: bool) -> tuple[float, bool]:
                 side = 2.0
         main = main or not words.isdisjoint(MAIN_WORDS)
         if not words.isdisjoint(SIDE_WORDS) or not main and not inside_main and not words.isdisjoint(TOP_WORDS):
-            side, main = max(side, 1.0), main and tag in MAIN_TAGS
-    return side, main
+            told = mixed
+            mixed = mixed and tag not in SIDE_TAGS and words.isdisjoint(COMMENT_WORDS)
+            if not words.isdisjoint(COMMENT_WORDS) and not (tag in MAIN_TAGS and told):
+                side, main = max(side, 1.5), False
+            else:
+                side, main = max(side, 1.0), main and tag in MAIN_TAGS
+        else:
+            mixed = False
+    return side, main, mixed
 
 
 def _tag_end(page: str, at: int, dead: set[int | str]) -> int:
@@ -121,8 +138,10 @@ def _tag_end(page: str, at: int, dead: set[int | str]) -> int:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order."""
+    """The page's text blocks in order, the elements around them judged."""
     out: list[Block] = []
+    made: list[Element] = []
+    opened: dict[str, int] = {}
     stack: list[Element] = []
     parts: list[str] = []
     links = 0
@@ -135,15 +154,16 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            for e in stack:
-                e.chars += len(text)
-            tag = next((e.tag for e in reversed(stack) if e.tag in BLOCKS), "body")
-            out.append(Block(text, min(links, len(text)), [e for e in stack if e.tag in BLOCKS], tag))
+            if stack:
+                stack[-1].chars += len(text)
+            at = next((e for e in reversed(stack) if e.tag in BLOCKS), None)
+            out.append(Block(text, min(links, len(text)), at, at.tag if at else "body"))
         links = 0
 
     def pop() -> None:
         nonlocal mains, anchor, skipping
         e = stack.pop()
+        opened[e.tag] -= 1
         mains -= e.main
         anchor -= e.tag == "a"
         skipping -= e.tag in SKIPPED
@@ -178,7 +198,7 @@ def blocks(page: str) -> list[Block]:
         if m["close"]:
             if tag in BLOCKS:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1) if opened.get(tag) else -1
             # a stray end tag of an inline element does not close the blocks around it
             if depth >= 0 and (tag in BLOCKS or tag in SKIPPED or not any(e.tag in BLOCKS for e in stack[depth:])):
                 while len(stack) > depth:
@@ -195,8 +215,8 @@ def blocks(page: str) -> list[Block]:
                 pop()
         if tag in BLOCKS:
             flush()
-            if tag in ENDS_P and any(e.tag == "p" for e in stack):
-                depth = max(i for i, e in enumerate(stack) if e.tag == "p")
+            if tag in ENDS_P and opened.get("p"):
+                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p")
                 while len(stack) > depth:
                     pop()
             closing = CLOSED_BY.get(tag)
@@ -214,20 +234,41 @@ def blocks(page: str) -> list[Block]:
             continue
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
-        side, main = _hints(tag, attrs, mains > 0)
-        stack.append(Element(tag, side, main, len(stack)))
+        side, main, mixed = _hints(tag, attrs, mains > 0)
+        stack.append(Element(tag, side, main, mixed, stack[-1] if stack else None))
+        made.append(stack[-1])
+        opened[tag] = opened.get(tag, 0) + 1
         mains += main
         anchor += tag == "a"
         skipping += tag in SKIPPED
         if tag == "a" and anchor > 1:                # links do not nest
             anchor = 1
     flush()
+    _judge(made, sum(len(b.text) for b in out))
     return out
 
 
-def score(b: Block, total: int) -> float:
+def _judge(made: list[Element], total: int) -> None:
+    """What each element takes from those around it; elements stand in the order in which they were opened."""
+    for e in reversed(made):
+        if e.up:
+            e.up.chars += e.chars
+            # an empty main part, or one that is itself a side part, does not make its surroundings main
+            e.up.has_main = e.up.has_main or e.has_main or e.main and e.chars > 0 and not e.side
+    marked = any(e.has_main or e.main and e.chars > 0 for e in made)
+    for e in made:
+        side = e.side
+        if 0 < side < 2:
+            wraps = e.chars > WRAPPER * total and not marked and side == 1 or e.mixed and e.chars > MIXED * total
+            side = 0 if e.has_main or wraps else 1.0
+        e.worst = max(side, e.up.worst if e.up else 0.0)
+        e.in_main = e.main or e.up is not None and e.up.in_main
+
+
+def score(b: Block) -> float:
     """Above zero: rather content."""
-    words = b.text.count(" ") + 1
+    # two characters count as a word where words are not set apart
+    words = b.text.count(" ") + 1 + len(_UNSPACED.findall(b.text)) // 2
     share = b.links / len(b.text)
     s = min(1.5, words / 20) - 0.5
     heading = b.tag in ("h1", "h2", "h3")
@@ -235,19 +276,29 @@ def score(b: Block, total: int) -> float:
     s += 0.5 * (words >= 5 and _END.search(b.text) is not None)
     s -= 0.5 * (words < 3 and not heading)
     s -= 3 * share * (share > 0.5)
-    s += 3 * any(e.main for e in b.path)
-    s -= 8 * max((e.side for e in b.path if e.side and (e.side > 1 or e.chars <= WRAPPER * total)), default=0)
+    if b.at:
+        s += 3 * b.at.in_main - 8 * b.at.worst
     return s
 
 
+def _outer(e: Element | None) -> Element | None:
+    """The next block element around a block element."""
+    e = e.up if e else None
+    while e is not None and e.tag not in BLOCKS:
+        e = e.up
+    return e
+
+
 def _apart(a: Block, b: Block) -> int:
-    """Steps in the element tree from one block's element to the other's."""
-    same = 0
-    for x, y in zip(a.path, b.path):
-        if x is not y:
-            break
-        same += 1
-    return len(a.path) + len(b.path) - 2 * same
+    """Steps in the element tree from one block's element to the other's; as many are taken to count them."""
+    x, y, steps = a.at, b.at, 0
+    while x is not y:
+        if y is None or x is not None and x.depth >= y.depth:
+            x = _outer(x)
+        else:
+            y = _outer(y)
+        steps += 1
+    return steps
 
 
 def edges(found: list[Block]) -> dict[tuple[int, int], float]:
@@ -256,7 +307,8 @@ def edges(found: list[Block]) -> dict[tuple[int, int], float]:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         near = {i - 1} if i else set()
-        holder = id(b.path[-2]) if len(b.path) > 1 else 0
+        outer = _outer(b.at)
+        holder = id(outer) if outer else 0
         if holder in last:
             near.add(last[holder])
         last[holder] = i
@@ -275,38 +327,52 @@ def minimum_cut(scores: list[float], links: dict[tuple[int, int], float]) -> lis
         flow[i][j] = flow[i].get(j, 0) + c
         flow[j][i] = flow[j].get(i, 0) + c
     while True:
-        # shortest augmenting path from a block with supply to one with demand
-        before = {i: -1 for i in range(n) if left[i] > SMALL}
-        queue, goal = deque(before), -1
-        while queue and goal < 0:
+        # distances from the blocks with supply; all shortest paths are used up before the next search
+        level = [0 if x > SMALL else -1 for x in left]
+        queue, goals = deque(i for i in range(n) if level[i] == 0), False
+        while queue:
             i = queue.popleft()
             for j, c in flow[i].items():
-                if c > SMALL and j not in before:
-                    before[j] = i
-                    if left[j] < -SMALL:
-                        goal = j
-                        break
+                if c > SMALL and level[j] < 0:
+                    level[j] = level[i] + 1
+                    goals = goals or left[j] < -SMALL
                     queue.append(j)
-        if goal < 0:
-            return [i in before for i in range(n)]
-        path = [goal]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        path.reverse()
-        push = min(left[path[0]], -left[goal], *(flow[i][j] for i, j in zip(path, path[1:])))
-        left[path[0]] -= push
-        left[goal] += push
-        for i, j in zip(path, path[1:]):
-            flow[i][j] -= push
-            flow[j][i] += push
+        if not goals:
+            return [x >= 0 for x in level]
+        todo = [iter(f) for f in flow]
+        for start in range(n):
+            path = [start]
+            while path and left[start] > SMALL and level[start] == 0:
+                i = path[-1]
+                if left[i] < -SMALL:
+                    push = min(left[start], -left[i], *(flow[x][y] for x, y in zip(path, path[1:])))
+                    left[start] -= push
+                    left[i] += push
+                    short = len(path)
+                    for k, (x, y) in enumerate(zip(path, path[1:])):
+                        flow[x][y] -= push
+                        flow[y][x] += push
+                        if flow[x][y] <= SMALL and k + 1 < short:
+                            short = k + 1
+                    if short == len(path):
+                        todo[i] = iter(flow[i])
+                    del path[short:]
+                    continue
+                step = next((j for j in todo[i] if level[j] == level[i] + 1 and flow[i][j] > SMALL), -1)
+                if step >= 0:
+                    path.append(step)
+                else:
+                    level[i] = -2 if i != start else level[i]
+                    path.pop()
+            for x in path:                          # supply ran out: these edges still serve other blocks
+                todo[x] = iter(flow[x])
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    total = sum(len(b.text) for b in found)
-    kept = minimum_cut([score(b, total) for b in found], edges(found))
+    kept = minimum_cut([score(b) for b in found], edges(found))
     return "\n".join(b.text for b, k in zip(found, kept) if k)
 
 

@@ -101,3 +101,47 @@ def test_open_quotes_in_linear_time(page):
     start = time.process_time()
     maintext.main_text(page)
     assert time.process_time() - start < 10
+
+
+ARTICLE = "<p>The council met on Monday and agreed to build the bridge.</p><p>Work starts in May.</p>"
+WANT = "The council met on Monday and agreed to build the bridge.\nWork starts in May."
+COMMENT = "<p>I do not agree with this at all, it costs too much money, says reader number one here.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><article>{ARTICLE}</article><section class=comments>{COMMENT * 20}</section></body>",
+    f"<body><div id=main>{ARTICLE}</div><div id=comments>{COMMENT * 20}</div></body>",
+    f"<body><article>{ARTICLE}</article>" + f'<article class="comment">{COMMENT}</article>' * 20,
+    f'<body><article>{ARTICLE}<div class="comment-list">{COMMENT * 20}</div></article>',
+    f'<body><nav><a href=a>Home</a></nav><div class="post share">{ARTICLE}</div></body>',
+    f'<body class="has-sidebar"><div class="search"><article>{ARTICLE}</article></div></body>'])
+def test_comments_go_whatever_their_share_and_the_main_part_stays(page):
+    assert maintext.main_text(page) == WANT
+
+
+def test_words_of_scripts_without_blanks():
+    lines = ["市议会星期一开会，同意建造新的大桥，工程将于五月开始，预计两年完成。", "居民对此表示欢迎，他们认为交通会更加方便，也会带来更多的就业机会。"]
+    page = "<body><div id=menu><a href=a>首页</a> <a href=b>新闻</a></div>" + "".join(f"<p>{x}</p>" for x in lines)
+    assert maintext.main_text(page) == "\n".join(lines)
+
+
+@pytest.mark.parametrize("page", ["<body>" + (ARTICLE + "<p><a href=x>link</a></p>") * 45_000, "<div>a " * 700_000,
+                                  "<div>a " * 350_000 + "</div>b " * 350_000], ids=["pairs", "deep", "closed"])
+def test_pages_of_five_megabytes(page):
+    import time
+    start = time.time()
+    assert len(page) > 4_500_000 and isinstance(maintext.main_text(page), str)
+    assert time.time() - start < 60
+
+
+def test_cut_value_against_all_labellings_of_random_graphs():
+    import itertools
+    import random
+    r = random.Random(8)
+    for _ in range(60):
+        n = r.randint(2, 8)
+        scores = [r.uniform(-3, 3) for _ in range(n)]
+        links = {(i, j): r.uniform(0, 2) for i in range(n) for j in range(i + 1, n) if r.random() < 0.5}
+        cost = lambda kept: sum(abs(s) for s, k in zip(scores, kept) if k != (s > 0)) + sum(c for (i, j), c in links.items() if kept[i] != kept[j])
+        got = cost(maintext.minimum_cut(scores, links))
+        assert got == pytest.approx(min(cost(k) for k in itertools.product((False, True), repeat=n)), abs=1e-6)
