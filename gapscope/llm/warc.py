@@ -11,7 +11,8 @@ before a revisit, and for revisits without one the last of the slots before, fou
 window over one row per URL and slot.  So a URL that holds a third of all
 records is spread over its slots, and no task orders more than a slot of a URL.
 
-A revisit without id comes before all responses of its second; null URLs, records without time and revisits before any response are
+A revisit without id comes before all responses of its second; of responses that share time and record id the one of greatest content digest
+counts, whatever the order of the rows; null URLs, records without time and revisits before any response are
 ``no_earlier_response``; a revisit without validators is ``no_validator``; repeated
 records are resolved one by one; an empty table gives an empty table.
 """
@@ -30,13 +31,17 @@ TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host without www and default port, path without end slash, sorted query without tracking; scheme and fragment go."""
+    """Host without www and default port, path without end slash, sorted query without tracking; scheme and fragment go.
+
+    A URI without ``scheme://`` (``urn:``, ``dns:``, relative ones) has no such parts and stays as it is, but for blanks at its ends.
+    """
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[A-Za-z]+://([^/?]*)", 1)), "^www\\.|:(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(bare, "^[A-Za-z]+://[^/?]*([^?]*)", 1), "/+$", "")
     kept = F.filter(F.split(F.regexp_extract(bare, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
     query = F.array_join(F.array_sort(kept), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    parsed = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(bare.rlike("^[A-Za-z]+://"), parsed).otherwise(F.trim(url))
 
 
 def _tag(etag: Column) -> Column:
@@ -63,12 +68,14 @@ def resolve_revisits(records: DataFrame, slot_seconds: int = SLOT_SECONDS) -> Da
     known = records.select("record_id", canonical_url(F.col("uri")).alias("url"), "at", "status", "etag", "last_modified", "headers", "payload")
     full = F.struct("at", "record_id", "etag", "last_modified", "headers", "payload")
     timed = (F.col("status") == 200) & F.col("at").isNotNull() & F.col("record_id").isNotNull()
+    # a total order: of equal (at, record_id) revisits come first, then responses by their content
+    tie = F.when(timed, F.md5(F.to_json(F.struct("etag", "last_modified", "headers", "payload"))))
     marked = known.where(F.col("url").isNotNull() & F.col("status").isin(200, 304)).select(
-        "*", F.floor(F.col("at") / slot_seconds).alias("slot"), F.when(timed, full).alias("full"))
-    before = Window.partitionBy("url", "slot").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+        "*", F.floor(F.col("at") / slot_seconds).alias("slot"), F.when(timed, full).alias("full"), tie.alias("tie"))
+    before = Window.partitionBy("url", "slot").orderBy("at", "record_id", F.col("status").desc(), "tie").rowsBetween(Window.unboundedPreceding, -1)
     within = marked.withColumn("near", F.last("full", ignorenulls=True).over(before)).where("status = 304")
     # repeated records share (at, record_id): a response is earlier only by a smaller pair
-    slots = marked.where("full is not null").groupBy("url", "slot").agg(F.max_by("full", F.struct("at", "record_id")).alias("last"))
+    slots = marked.where("full is not null").groupBy("url", "slot").agg(F.max_by("full", F.struct("at", "record_id", "tie")).alias("last"))
     every = slots.unionByName(within.where("near is null").select("url", "slot").distinct().withColumn("last", F.lit(None).cast(slots.schema["last"].dataType)))
     every = every.groupBy("url", "slot").agg(F.max_by("last", F.col("last").isNotNull()).alias("last"))
     past = Window.partitionBy("url").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +166,7 @@ WITH base AS (
          array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
            lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS query FROM bare
 ), known AS (
-  SELECT *, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS curl, ts * 4294967296 + record_id AS place FROM cut
+  SELECT *, CASE WHEN regexp_matches(b, '^[A-Za-z]+://') THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE trim(uri) END AS curl, ts * 4294967296 + record_id AS place FROM cut
 ), met AS (
   SELECT r.record_id, r.curl AS url, r.ts, r.p, r.etag, r.last_modified, f.record_id AS target_id, f.etag AS f_etag,
          f.last_modified AS f_modified, f.digest, f.n, f.full_at, f.p AS f_p

@@ -18,7 +18,7 @@ def canonical(url):
     bare = re.sub("#.*$", "", url.strip())
     m = re.match(r"[A-Za-z]+://([^/?]*)([^?]*)\??(.*)$", bare)
     if not m:
-        return ""
+        return url.strip(" ")
     host = re.sub(r"^www\.|:(80|443)$", "", m[1].lower())
     query = "&".join(sorted(x for x in m[3].split("&") if x and not re.match(warc.TRACKING, x)))
     return host + re.sub("/+$", "", m[2]) + (f"?{query}" if query else "")
@@ -47,7 +47,7 @@ def brute(rows):
 
 def test_resolution_matches_a_plain_scan(spark):
     r = random.Random(6)
-    urls = ["http://a.org/x", "https://www.A.org/x/", "http://a.org:80/x?utm_source=1#f", "http://a.org/x?b=2&a=1", "https://a.org/x?a=1&b=2&ref=q", None, "", "no url", "http://b.org"]
+    urls = ["http://a.org/x", "https://www.A.org/x/", "http://a.org:80/x?utm_source=1#f", "http://a.org/x?b=2&a=1", "https://a.org/x?a=1&b=2&ref=q", None, "", "no url", "http://b.org", "other.org/b", "urn:x:1", "urn:x:2", " dns:a.org"]
     tags = [None, '"1"', 'W/"1"', '"2"']
     rows = []
     for i in range(260):
@@ -79,3 +79,17 @@ def test_empty_and_null_tables(spark):
     assert warc.resolve_revisits(warc.records_of_pages(empty)).count() == 0
     odd = spark.createDataFrame([(None, None, None), (1, None, None), (2, "http://x", None)], "page_id long, url string, html string")
     assert {r.state for r in warc.resolve_revisits(warc.records_of_pages(odd)).collect()} <= {"no_earlier_response", "no_validator", "resolved", "validator_mismatch"}
+
+
+def test_uris_without_authority_stay_apart_and_ties_do_not_depend_on_row_order(spark):
+    rows = [(1, "http://example.org/a", 5, 200, '"1"', None, {}, "PA", "", 0), (2, "other.org/b", 9, 304, '"1"', None, {}, None, "", 0),
+            (3, "urn:a", 5, 200, '"1"', None, {}, "PU", "", 0), (4, "urn:b", 9, 304, '"1"', None, {}, None, "", 0)]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.record_id, r.state) for r in got} == {(2, "no_earlier_response"), (4, "no_earlier_response")}
+    tied = [(1, "http://a/", 5, 200, '"1"', None, {}, "P1", "", 0), (1, "http://a/", 5, 200, '"2"', None, {}, "P2", "", 0),
+            (1, "http://a/", 5, 304, '"1"', None, {}, None, "", 0), (7, "http://a/", 6, 304, '"1"', None, {}, None, "", 0)]
+    seen = set()
+    for order in ((0, 1, 2, 3), (1, 0, 3, 2), (3, 2, 1, 0)):
+        df = spark.createDataFrame([tied[k] for k in order], SCHEMA).coalesce(1)
+        seen.add(tuple(sorted((r.record_id, r.state, r.payload) for r in warc.resolve_revisits(df).collect())))
+    assert len(seen) == 1 and (1, "no_earlier_response", None) in next(iter(seen))
