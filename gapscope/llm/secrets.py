@@ -21,7 +21,9 @@ spans), and an ``endpoint`` is reported when such a linked pair has it within
 exploded to (text, bin) rows with bins as wide as the scope (identifiers to all bins
 within the scope, the others to all bins they cover), joined on the bin and tested by
 their gap.  Spans of one kind do not overlap and have a least
-length, so a bin holds a bounded number of them whatever the text's length.
+length, so a bin holds a bounded number of them whatever the text's length.  Positions are
+running totals by doubling and texts are cut in two levels, so that a text of very many
+matches takes little more than linear time.
 
 Positions are code points, the end is exclusive.  A null text counts as empty;
 an empty text or table gives no spans; repeated rows are scanned one by one;
@@ -51,20 +53,31 @@ def _lit(pattern: str) -> Column:
     return F.lit(pattern)
 
 
+def _held(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda in ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, join) -> Column:
+    """Running totals of an int array under an associative ``join``: log2(n) passes of doubled reach, no growing array."""
+    shifts = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+    return F.aggregate(
+        shifts, values,
+        lambda acc, s: F.concat(
+            F.slice(acc, F.lit(1), s),
+            F.zip_with(F.slice(acc, s + 1, F.size(acc) - s), F.slice(acc, F.lit(1), F.size(acc) - s), join)))
+
+
 def _positions(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of a pattern: what lies between the matches gives their starts."""
     found = F.regexp_extract_all(text, _lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    # the start of match i: lengths of the pieces 0..i and of the matches 0..i-1
-    walked = F.aggregate(
-        F.arrays_zip(F.transform(found, F.length).alias("n"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["gap"]) + m["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(m["gap"])).alias("start"), F.lit(kind).alias("kind"),
-                (acc["at"] + F.length(m["gap"]) + m["n"]).alias("end")))).alias("out")),
-        lambda acc: acc["out"])
+    lengths = F.transform(found, F.length)
+    # the end of match i: lengths of the pieces 0..i and of the matches 0..i
+    steps = F.zip_with(lengths, F.slice(between, 1, F.size(found)), lambda n, gap: n + F.length(gap))
+    ends = _held(steps, lambda st: _running(st, lambda a, b: a + b))
+    walked = F.zip_with(ends, lengths, lambda end, n: F.struct(
+        (end - n).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
     if keep is None:
         return walked
     ok = keep(found)
@@ -141,17 +154,34 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
 
 
+def _cut(text: Column, kept: Column, mark: str) -> Column:
+    """The pieces ``kept`` (from, to) of a text, joined by ``mark``.
+
+    A piece is found by walking from the start of its string, so the text is first cut into about
+    the root of the number of pieces, and the pieces from these parts.
+    """
+    width = F.ceil(F.sqrt(F.size(kept))).cast("int")
+
+    def part(first: Column) -> Column:
+        own = F.slice(kept, first, width)
+        return _held(own, lambda ps: _held(
+            text.substr(ps[0]["from"] + 1, F.element_at(ps, -1)["to"] - ps[0]["from"]),
+            lambda t: F.array_join(F.transform(ps, lambda p: t.substr(p["from"] - ps[0]["from"] + 1, p["to"] - p["from"])), mark)))
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.size(kept), width), part), mark)
+
+
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span (overlapping ones merged) replaced by ``mark``."""
-    rest = 2147483647
-    done = F.aggregate(
-        F.array_sort(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] < acc["at"]), acc["out"])
-            .otherwise(F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.lit(rest))))
+    def cut(ordered: Column) -> Column:
+        # reached[i]: the furthest end of the spans before i; a span that starts before it is covered or touched already
+        reached = F.concat(F.array(F.lit(0)), _held(
+            F.transform(ordered, lambda s: s["end"]), lambda e: _running(e, lambda a, b: F.greatest(a, b))))
+        starts = F.concat(F.transform(ordered, lambda s: s["start"]), F.array(F.length(text)))
+        kept = F.filter(F.zip_with(reached, starts, lambda a, b: F.struct(a.alias("from"), b.alias("to"))), lambda p: p["from"] <= p["to"])
+        return _held(kept, lambda k: _cut(text, k, mark))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_held(F.array_sort(spans), cut))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:

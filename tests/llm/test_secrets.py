@@ -92,3 +92,16 @@ def test_long_endpoint_and_the_usual_scope(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [tuple(s) for s in r.linked] for r in secrets.secret_spans(docs).collect()}
     assert got == {i: brute(t)[1] for i, t in enumerate(texts)}
+
+
+def test_very_many_matches_in_one_text(spark):
+    many = "".join(f"é token=abcdefgh{i % 7} {'0123456789abcdef' * 2}" for i in range(60_000))
+    mixed = f"{ID} {KEY} " * 5_000
+    docs = spark.createDataFrame([(1, many), (2, mixed)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
+    for i, t in ((1, many),):
+        base, linked = brute(t)
+        assert [tuple(s) for s in got[i].base] == base and not got[i].linked and len(base) == 120_000
+    assert len(got[2].base) == 5_000 and len(got[2].linked) == 5_000
+    text = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert text[1] == "é [secret] [secret]" * 60_000 and text[2] == "[secret] [secret] " * 5_000
