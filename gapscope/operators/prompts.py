@@ -133,22 +133,50 @@ def limit_per_subset(items: DataFrame, n: int, order: str = "item_index", keys=(
     return items.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def cross_model_prompts(items: DataFrame, run_plan: DataFrame) -> DataFrame:
+#: Fragments of a subset's items, at most; the run plan is copied to that many.
+MAX_FRAGMENTS = 64
+
+
+def _meet(run_plan: DataFrame, items: DataFrame, fragments: int | None) -> DataFrame:
+    """Run plan and items of a subset, joined by fragment and replicate.
+
+    The items of each subset are dealt to ``fragments`` pieces by their hash and the
+    run plan's rows are copied to every piece, so that the join is keyed by (subset, piece):
+    the few subsets use all tasks, and one that holds a third of the items is in no single
+    one.  The copies are ``fragments`` times the run plan (a row a model and subset); items are
+    sent once.  ``fragments`` is by default the session's shuffle partitions, ``MAX_FRAGMENTS``
+    at most; 1 joins on the subset alone.
+    """
+    if fragments is None:
+        fragments = min(MAX_FRAGMENTS, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if fragments < 1:
+        raise ValueError(f"fragments must be at least 1, not {fragments}")
+    # maps cannot be hashed; any columns that tell most items apart will do
+    told = [F.col(f"`{f.name}`") for f in items.schema if "map<" not in f.dataType.simpleString()]
+    name = "_fragment"
+    while name in items.columns:
+        name += "_"
+    cut = items.withColumn(name, F.pmod(F.xxhash64(*told), F.lit(fragments)).cast("int"))
+    copies = run_plan.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+    return copies.join(cut, ["subset", name]).drop(name)
+
+
+def cross_model_prompts(items: DataFrame, run_plan: DataFrame, fragments: int | None = None) -> DataFrame:
     """Every model of the run plan x every item of the subsets it runs."""
-    return run_plan.select("model", "subset").distinct().join(items, "subset")
+    return _meet(run_plan.select("model", "subset").distinct(), items, fragments)
 
 
 def build_prompt_table(items: DataFrame, run_plan: DataFrame, style: str = "loglik4",
                        preamble_en: bool = False, preamble_native: bool = False,
-                       limit: int | None = None, mode: str = "strict") -> DataFrame:
+                       limit: int | None = None, mode: str = "strict",
+                       fragments: int | None = None) -> DataFrame:
     """P1-P9 as one plan: (model, subset, item, prompt, gold)."""
     it = limit_per_subset(items, limit) if limit is not None else items
     it = pick_question(parse_subset(it, style, mode))
     if style.startswith("loglik"):
         it = add_preamble(it, preamble_en, preamble_native)
     plan = run_plan.select("model", "subset").distinct().withColumn("is_instruct", flag_instruct("model"))
-    df = plan.join(it, "subset")
-    return build_prompts(df, style)
+    return build_prompts(_meet(plan, it, fragments), style)
 
 
 def qa_prompt(lang="lang", question="question") -> Column:

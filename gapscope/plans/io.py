@@ -53,7 +53,7 @@ SELECT replace(model, '/', '__') AS file, model, subset, item, gold, pred, batch
 def q_read_predictions(spark, sf_dir):
     path = _scratch(spark, "predictions")
     recs = B.responses(spark, sf_dir).select("model", *PRED_RECORD.fieldNames())
-    S.write_by_model(recs, path, files_per_model=4)
+    S.write_by_model(recs, path, files_per_model=None)
     return S.read_predictions(spark, path, PRED_RECORD, layout="partitioned")
 
 

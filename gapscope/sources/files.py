@@ -222,7 +222,7 @@ def scores_to_documents(long: DataFrame, metrics=METRICS) -> DataFrame:
 
 
 def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "overwrite",
-                   files_per_model: int = 1) -> None:
+                   files_per_model: int | None = 1) -> None:
     """One folder per model, ``slug=<slug>``; MCQ slug '/'->'__', QA slug
     runs of other characters -> '_'.  Dynamic partition overwrite replaces
     only the models present in ``df``.
@@ -231,13 +231,18 @@ def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "ove
     by ``files_per_model`` tasks instead of every task opening a file in
     every folder; a salt > 1 spreads a hot model's records over several
     tasks (use it for prediction records, keep 1 for per-model documents).
+    ``files_per_model=None`` leaves the tasks to the sizes at run time: a model's rows
+    beyond ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` are written by several
+    tasks and small models share one, so that no count has to be known.
     """
     slug = model_slug("model") if kind == "mcq" else qa_slug("model")
     out = df.withColumn("slug", slug)
     # an explicit partition count: AQE would otherwise coalesce a small
     # shuffle into one task that writes every model folder serially
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if files_per_model > 1:
+    if files_per_model is None:
+        out = out.hint("rebalance", F.col("slug"))
+    elif files_per_model > 1:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_model))
         out = out.repartition(n, "slug", salt)
     else:

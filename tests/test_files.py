@@ -130,3 +130,18 @@ def test_probe_round_trip_of_whole_cells(spark, tmp_path):
         assert len(got) == n and sorted(map(said, got)) == sorted(map(said, want))
         if name == "read_probe_all":
             assert sorted((x[0], x[1], x[2]) for x in got) == [(m, s, k) for m, k in (("E0", 500), ("E1", 300)) for s in ("chinese_ca", "chinese_cs", "chinese_cs_en")]
+
+
+def test_write_by_model_by_size_splits_a_hot_model(spark, tmp_path):
+    recs = spark.range(40_000).selectExpr("CASE WHEN id % 10 < 8 THEN 'org/hot' ELSE 'm' || (id % 10) END AS model", "id AS item",
+                                          "sha2(CAST(id AS string), 256) AS pred")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        S.write_by_model(recs.repartition(8), str(tmp_path / "out"), files_per_model=None)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = {d: sum(f.startswith("part-") for f in os.listdir(tmp_path / "out" / d)) for d in os.listdir(tmp_path / "out") if d.startswith("slug=")}
+    assert set(files) == {"slug=org__hot", "slug=m8", "slug=m9"} and files["slug=org__hot"] > 2 and files["slug=m8"] <= 2
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == 40_000 and back.where("slug = 'org__hot'").count() == 32_000

@@ -1,4 +1,7 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from gapscope.operators import prompts as P
 
@@ -41,3 +44,31 @@ def test_limit_and_run_plan(spark):
     assert P.limit_per_subset(items, 3).count() == 5
     plan = spark.createDataFrame([("m1", "x_ca"), ("m2", "y_ca")], "model string, subset string")
     assert P.cross_model_prompts(items, plan).count() == 7
+
+
+def test_fragments_give_the_same_rows_and_key_the_join(spark):
+    items = _items(spark, ["x_ca"] * 40 + ["y_ca"] * 3 + ["z_ca"]).withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    items = items.unionByName(items.limit(2))                                  # repeated rows stay
+    plan = spark.createDataFrame([("m1", "x_ca"), ("m2", "x_ca"), ("m2", "x_ca"), ("m3", "y_ca"), ("m3", "none"), (None, "z_ca")],
+                                 "model string, subset string")
+    rows = lambda n: sorted(map(str, P.cross_model_prompts(items, plan, n).collect()))
+    assert rows(1) == rows(7) == rows(None) and len(rows(7)) == 2 * items.where("subset = 'x_ca'").count() + 3 + 1
+    assert P.cross_model_prompts(items, plan.where("false")).count() == P.cross_model_prompts(items.where("false"), plan).count() == 0
+    with pytest.raises(ValueError):
+        P.cross_model_prompts(items, plan, 0)
+
+
+def test_no_exchange_is_keyed_by_the_subset_alone(spark, tmp_path):
+    items, plan = str(tmp_path / "items"), str(tmp_path / "plan")
+    _items(spark, ["x_ca"] * 40).write.parquet(items)
+    spark.createDataFrame([("m1", "x_ca")], "model string, subset string").write.parquet(plan)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.cross_model_prompts(spark.read.parquet(items), spark.read.parquet(plan), 16)
+        text = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    keys = re.findall(r"hashpartitioning\(([^)]*)", text)
+    assert any("subset" in k and "_fragment" in k for k in keys), text
+    assert not any(re.fullmatch(r"subset#\d+, \d+.*", k) for k in keys), text
