@@ -1,7 +1,9 @@
 """Nearest-centroid language ID: held-out accuracy, rejection, edge cases."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -47,3 +49,41 @@ def test_no_training_rows_and_empty_table(spark):
     docs = corpus(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()} == {"und"}
     assert langid.keep_recognised(docs.where("false")).count() == 0
+
+
+def plain_grams(text):
+    """Buckets of the 1- to 3-byte grams, one by one."""
+    clean = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in text.lower())
+    b = (" " + " ".join(clean.split()) + " ").encode()
+    mix, out = (2654435761, 2246822519, 3266489917), Counter()
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            key = int.from_bytes(b[i:i + n], "big")
+            out[((key + n) * mix[n - 1] % 2 ** 32) >> 19] += 1
+    return out
+
+
+def test_counts_vectors_and_cosines_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0 OR text IS NULL").select("doc_id", "lang", "text")
+    model = langid.fit(docs)
+    rows = docs.collect()
+    # idf of all training rows, not of the centroids' sample
+    train = [r for r in rows if r.lang is not None]
+    df = Counter()
+    for r in train:
+        df.update(set(plain_grams(r.text or "")))
+    idf = [math.log((1 + len(train)) / (1 + df[d])) + 1 for d in range(langid.DIMS)]
+    assert max(abs(a - b) for a, b in zip(idf, model.idf.tolist())) < 1e-5
+    centres = [[(d, x) for d, x in enumerate(c.tolist()) if x] for c in model.centres]
+    assert all(abs(sum(x * x for _, x in c) - 1) < 1e-4 for c in centres) and model.langs == sorted(model.langs)
+    got = {r.doc.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in rows[:120]:
+        v = {d: (1 + math.log(n)) * idf[d] for d, n in plain_grams(r.text or "").items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * v.get(d, 0) for d, x in c) / norm for c in centres]
+        best, said = max(cos), got[r.doc_id]
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (said.lang_pred, said.score, said.rejected) == ("und", 0.0, True)
+            continue
+        assert abs(said.score - min(1, max(0, best))) < 1e-4 and said.rejected == (1 - said.score > langid.MAX_DISTANCE)
+        assert said.lang_pred in {lang for lang, c in zip(model.langs, cos) if c > best - 1e-4}
