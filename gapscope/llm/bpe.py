@@ -175,6 +175,10 @@ class Tokenizer:
     def _piece(self, piece: str) -> bytes:
         ids = self._pieces.get(piece)
         if ids is None:
+            # a blank and a word that was a whole stretch is kept there, not twice
+            ids = self._stretches.get(piece[1:]) if piece[0] == " " else None
+            if ids is not None:
+                return ids
             ids = _packed(self.vocabulary.encode(piece.encode()))
             if len(self._pieces) >= ENTRIES:
                 self._pieces.clear()
@@ -191,7 +195,11 @@ class Tokenizer:
         if ids is None:
             if not word or word[0].isspace() or word[-1].isspace():
                 raise _Ragged
-            ids = self._cut(" " + word)
+            cut = self._pattern.findall(" " + word)
+            if len(cut) == 1:
+                ids = self._pieces.get(cut[0]) or _packed(self.vocabulary.encode(cut[0].encode()))
+            else:
+                ids = b"".join(map(self._piece, cut))
             if len(self._stretches) >= ENTRIES:
                 self._stretches.clear()
             if len(word) < 100:

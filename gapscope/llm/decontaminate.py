@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapscope.llm.common import arrow_pass, pieces
-from gapscope.llm.words import unit_hashes, unit_sql
+from gapscope.llm.words import forget, unit_hashes, unit_sql
 
 MASKS = ("11010111", "11110011")
 SHORT_MASKS = ("111", "11011")
@@ -195,6 +195,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                         [b.column(0).take(pa.array(k)), pa.array([shared.value.ids[i] for i in item], arrow_kind),
                          pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(to, pa.int64())],
                         [id_col, item_col, "n_equal", "word_from", "word_to"])
+            forget()
 
         out = out.unionByName(arrow_pass(narrow, schema, of))
     return out
@@ -213,6 +214,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 dirty = {k for k, *_ in _scanned(shared.value, b.column(1))}
                 clean = pa.array([k not in dirty for k in range(b.num_rows)], pa.bool_())
                 yield b.filter(clean)
+            forget()
 
         row = arrow_pass(row, f"doc {kind}, t string", of)
     return row.select("doc.*")

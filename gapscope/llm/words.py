@@ -33,7 +33,7 @@ class _Chunks(dict):
         if len(self) >= ENTRIES:
             self.clear()
         found = b"".join(xxhash.xxh64_digest(w.encode()) for w in self.word.findall(chunk.lower()))
-        if len(chunk) < 200:
+        if len(chunk) < 64:
             self[chunk] = found
         return found
 
@@ -51,6 +51,12 @@ def unit_hashes(text: str | None) -> np.ndarray:
     return np.frombuffer(b"".join(map(_UNITS.__getitem__, (text or "").split())), np.uint64)
 
 
+def forget() -> None:
+    """Empty the dictionaries: the worker may go on with other work."""
+    _CHUNKS.clear()
+    _UNITS.clear()
+
+
 def unit_sql(text: str) -> str:
     """DuckDB list of the words that ``unit_hashes`` hashes."""
     spaced = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED)
