@@ -223,3 +223,21 @@ def test_loss_rule_stops_a_fit(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-3) for k in a)
     with pytest.raises(M.NotConverged):
         M.rasch_fit(_resp(spark, rows), tol=0.0, max_iter=90, rule="loss")
+
+
+def test_chunks_fit_as_one_task_does_and_send_items_not_responses(spark, monkeypatch):
+    from gapscope.operators import rasch_chunks
+    monkeypatch.setattr(rasch_chunks, "CHUNK_ROWS", 150)
+    rng = np.random.default_rng(7)
+    rows = [(rf"m\|{m}", f"{i:02}", int(rng.random() < 1 / (1 + np.exp((i - m / 2) / 6)))) for m in range(40) for i in range(20) if rng.random() < 0.7]
+    rows += [("all", f"{i:02}", 1) for i in range(5)] + [("top", "90", 0), ("top", "91", 1), ("top2", "90", 1), ("top2", "91", 0), ("top", "00", 1)]
+    sent = []
+    real = rasch_chunks.Chunks.exchange
+    monkeypatch.setattr(rasch_chunks.Chunks, "exchange", lambda self, state, *a: sent.append((self, state)) or real(self, state, *a))
+    values, gone = _both(spark, rows)
+    assert len(values) > 50 and ("e", "all|greek_ca", "all_right", 0) in gone and {g[2] for g in gone} >= {"all_right", "quasi_separated"}
+    assert any(k[0] == r"m\|7" for k in values)
+    chunks = sent[0][0]
+    assert chunks.packed.count() > 1 and len(sent) > 5
+    # a step sends a row per item of a chunk at most, fewer than there are responses
+    assert chunks.route.count() <= 22 * chunks.packed.count() < len(rows)
