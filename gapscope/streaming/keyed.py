@@ -1,7 +1,8 @@
 """S11 with keyed state: the newest row of a key lives in the state store, readers never scan the history.
 
-Each micro-batch of new files goes through ``transformWithState``: a key's newest row is
-its state, and only rows that change it are emitted.  The changes of a batch are one
+Each micro-batch of new files goes through ``transformWithState``: a key's newest row is kept
+in state, and only rows that change it are emitted.  Keys are dealt into ``KEY_BUCKETS`` buckets by hash, and a
+bucket's keys are one state value, so that a batch calls the store by buckets and not by keys.  The changes of a batch are one
 ``changes/batch_id=N`` folder (written with dynamic overwrite, so a replayed batch
 rewrites exactly its folder).  ``compact`` folds all changes so far into one
 ``snapshot/upto=N`` folder; a read takes the newest snapshot and the changes after it.
@@ -12,6 +13,7 @@ its JSON text wins, as in ``read_ingested``.  Null keys are a key of their own.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -26,17 +28,28 @@ from gapscope.session import ship_package
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Buckets of keys in the state store; a checkpoint keeps the number that it began with.
+KEY_BUCKETS = 16_384
+
+
 class NewestRow(StatefulProcessor):
-    """Keeps a key's newest row and emits it when it changes; keys and rows are JSON texts, so nulls need no care."""
+    """Keeps the newest row of a bucket's keys and emits those that change; keys and rows are JSON texts, so nulls need no care."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", T.StructType([T.StructField("row", T.StringType())]))
+        self.newest = handle.getValueState("newest", T.StructType([T.StructField("rows", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        best = max(r for part in rows for r in part["row_text"])
-        if not self.newest.exists() or self.newest.get()[0] != best:
-            self.newest.update((best,))
-            yield pd.DataFrame({"key_text": [key[0]], "row_text": [best]})
+        best: dict[str, str] = {}
+        for part in rows:
+            for k, r in zip(part["key_text"].tolist(), part["row_text"].tolist()):
+                if k not in best or r > best[k]:
+                    best[k] = r
+        old = self.newest.get()
+        known = json.loads(old[0]) if old is not None else {}
+        changed = {k: r for k, r in best.items() if known.get(k) != r}
+        if changed:
+            self.newest.update((json.dumps(known | changed),))
+            yield pd.DataFrame({"key_text": list(changed), "row_text": list(changed.values())})
 
     def close(self) -> None:
         pass
@@ -55,7 +68,8 @@ def ingest_keyed(spark: SparkSession, source_dir: str, target_dir: str, checkpoi
     value = T.StructType([f for f in rows.schema.fields if f.name not in keys])
     key = T.StructType([rows.schema[k] for k in keys])
     text = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    changed = rows.select(text(keys).alias("key_text"), text(value.fieldNames()).alias("row_text")).groupBy("key_text").transformWithStateInPandas(
+    changed = rows.select(text(keys).alias("key_text"), text(value.fieldNames()).alias("row_text")).withColumn(
+        "bucket", F.pmod(F.xxhash64("key_text"), F.lit(KEY_BUCKETS))).groupBy("bucket").transformWithStateInPandas(
         NewestRow(), "key_text string, row_text string", "Update", "None")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:

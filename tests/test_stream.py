@@ -70,3 +70,29 @@ def test_keyed_state_emits_changes_and_reads_the_newest_snapshot(spark):
             os.remove(f"{ck}/commits/{name}")
     ingest_keyed(spark, src, tgt, ck, REPLY_SCHEMA, ["pos"], transform=lambda b: Bd.parse_labels(b).drop("reply", "expected")).awaitTermination()
     assert now() == before and len(changes()) == 3
+
+
+def test_a_bucket_of_keys_is_one_state_value_and_only_changes_are_emitted():
+    import pandas as pd
+
+    from gapscope.streaming.keyed import NewestRow
+
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+    state = State()
+    rows_of = NewestRow()
+    rows_of.newest = state
+    call = lambda *parts: [tuple(r) for df in rows_of.handleInputRows((7,), iter(pd.DataFrame(p, columns=["key_text", "row_text"]) for p in parts), None)
+                           for r in df.itertuples(index=False)]
+    assert call([("a", "1"), ("b", "1")], [("a", "3"), ("a", "2"), ("c", "1")]) == [("a", "3"), ("b", "1"), ("c", "1")]
+    assert state.calls == 2                                     # for three keys
+    assert call([("a", "3"), ("b", "1")]) == []
+    assert call([("b", "0"), ("d", "1")]) == [("b", "0"), ("d", "1")]
+    assert call([("c", "1"), ("a", "3"), ("d", "1")]) == []
