@@ -38,7 +38,7 @@ def _long(spark, sf_dir):
 SELECT replace(model, '/', '__') AS file, model, metric, subset, value FROM lg"""))
 def q_read_scores(spark, sf_dir):
     path = _scratch(spark, "scores")
-    S.write_by_model(S.scores_to_documents(_long(spark, sf_dir)), path)
+    S.write_by_model(S.scores_to_documents(_long(spark, sf_dir)), path, mode="errorifexists")
     return S.read_scores(spark, path, layout="partitioned", metrics=["accuracy", "abstain_rate",
                                                                     "conf_err_rate", "cond_acc"])
 
@@ -53,7 +53,7 @@ SELECT replace(model, '/', '__') AS file, model, subset, item, gold, pred, batch
 def q_read_predictions(spark, sf_dir):
     path = _scratch(spark, "predictions")
     recs = B.responses(spark, sf_dir).select("model", *PRED_RECORD.fieldNames())
-    S.write_by_model(recs, path, files_per_model=None)
+    S.write_by_model(recs, path, mode="errorifexists", files_per_model=None)
     return S.read_predictions(spark, path, PRED_RECORD, layout="partitioned")
 
 
@@ -65,7 +65,7 @@ def q_upsert_predictions_files(spark, sf_dir):
     """S10 on files: the re-run's records replace the stored ones per (model, subset)."""
     path = _scratch(spark, "upsert")
     r = B.responses(spark, sf_dir).select("model", *PRED_RECORD.fieldNames())
-    S.write_by_model(r.where(F.col("batch") == "base"), path, files_per_model=4)
+    S.write_by_model(r.where(F.col("batch") == "base"), path, mode="errorifexists", files_per_model=None)
     old = S.read_predictions(spark, path, PRED_RECORD, layout="partitioned").drop("file")
     new = r.where((F.col("batch") == "overlay") & F.col("subset").endswith("_cs_en"))
     return upsert_predictions(old, new)

@@ -234,6 +234,9 @@ def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "ove
     ``files_per_model=None`` leaves the tasks to the sizes at run time: a model's rows
     beyond ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` are written by several
     tasks and small models share one, so that no count has to be known.
+
+    A new ``path`` is best written with ``mode='errorifexists'``: its tasks put their folders in
+    place themselves, while a dynamic overwrite leaves the driver to move them one by one.
     """
     slug = model_slug("model") if kind == "mcq" else qa_slug("model")
     out = df.withColumn("slug", slug)
@@ -247,7 +250,12 @@ def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "ove
         out = out.repartition(n, "slug", salt)
     else:
         out = out.repartition(n, "slug")
-    (out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(path))
+    writer = out.write.mode(mode).partitionBy("slug")
+    if mode == "overwrite":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.json(path)
 
 
 def publish_config(df: DataFrame, path: str, config: str = "config") -> None:

@@ -145,3 +145,13 @@ def test_write_by_model_by_size_splits_a_hot_model(spark, tmp_path):
     assert set(files) == {"slug=org__hot", "slug=m8", "slug=m9"} and files["slug=org__hot"] > 2 and files["slug=m8"] <= 2
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == 40_000 and back.where("slug = 'org__hot'").count() == 32_000
+
+
+def test_a_new_folder_is_written_without_moves_by_the_driver(spark, tmp_path):
+    df = spark.createDataFrame([(f"m{k % 5}", k) for k in range(20)], "model string, n int")
+    path = str(tmp_path / "new")
+    S.write_by_model(df, path, mode="errorifexists", files_per_model=None)
+    assert rows(spark.read.json(path), "model", "n") == rows(df, "model", "n")
+    assert sorted(x for x in os.listdir(path) if x.startswith("slug=")) == [f"slug=m{k}" for k in range(5)]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        S.write_by_model(df, path, mode="errorifexists")
