@@ -70,12 +70,12 @@ def write_results(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def _dump(spark, sf_dir, metrics=("accuracy",)):
-    """Base batch as score documents; overlay batch as the CA folder."""
+    """Base batch as score documents, one a model; overlay batch as the CA folder."""
     run = uuid.uuid4().hex[:12]
     base_dir, ca_dir = scratch_path(spark, f"res-{run}"), scratch_path(spark, f"ca-{run}")
     bl = batch_long(spark, sf_dir).where(F.col("metric").isin(*metrics))
-    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "base"), list(metrics)), base_dir, mode="errorifexists")
-    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "overlay"), list(metrics)), ca_dir, mode="errorifexists")
+    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "base"), list(metrics)), base_dir, mode="errorifexists", buckets=True)
+    S.write_by_model(S.scores_to_documents(bl.where(F.col("batch") == "overlay"), list(metrics)), ca_dir, mode="errorifexists", buckets=True)
     return base_dir, ca_dir
 
 

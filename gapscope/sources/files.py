@@ -43,7 +43,8 @@ def read_scores(spark: SparkSession, path: str, layout: str = "files", metrics=S
     """Score files -> long (file, model, metric, subset, value).
 
     layout 'files': ``<path>/*_accuracy.json`` documents (error when none match);
-    layout 'partitioned': JSON Lines under ``<path>/slug=<slug>/`` (file = slug).
+    layout 'partitioned': JSON Lines under ``<path>/slug=<slug>/``, or under ``<path>/bucket=<n>/`` with
+    the slug in each line (file = slug).
 
     A document that is not valid JSON raises (``FAILFAST``).  Values are read as
     text and cast one by one: one that is no number is null, its neighbours stay.
@@ -222,7 +223,7 @@ def scores_to_documents(long: DataFrame, metrics=METRICS) -> DataFrame:
 
 
 def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "overwrite",
-                   files_per_model: int | None = 1) -> None:
+                   files_per_model: int | None = 1, buckets: bool = False) -> None:
     """One folder per model, ``slug=<slug>``; MCQ slug '/'->'__', QA slug
     runs of other characters -> '_'.  Dynamic partition overwrite replaces
     only the models present in ``df``.
@@ -237,7 +238,13 @@ def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "ove
 
     A new ``path`` is best written with ``mode='errorifexists'``: its tasks put their folders in
     place themselves, while a dynamic overwrite leaves the driver to move them one by one.
+
+    ``buckets=True``, for one small document a model: the folders are ``bucket=<hash of the slug>``, one for each
+    shuffle partition, and each line has its ``slug``, so that the folders and files to make, list and open do not grow
+    with the models.  Only for a new ``path``: to replace a model would replace its bucket.
     """
+    if buckets and (mode == "overwrite" or files_per_model != 1):
+        raise ValueError("buckets are for a new path and one document a model")
     slug = model_slug("model") if kind == "mcq" else qa_slug("model")
     out = df.withColumn("slug", slug)
     # an explicit partition count: AQE would otherwise coalesce a small
@@ -250,7 +257,9 @@ def write_by_model(df: DataFrame, path: str, kind: str = "mcq", mode: str = "ove
         out = out.repartition(n, "slug", salt)
     else:
         out = out.repartition(n, "slug")
-    writer = out.write.mode(mode).partitionBy("slug")
+    if buckets:
+        out = out.withColumn("bucket", F.pmod(F.hash("slug"), F.lit(n)))      # as repartition deals the slugs
+    writer = out.write.mode(mode).partitionBy("bucket" if buckets else "slug")
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     else:

@@ -155,3 +155,54 @@ def test_a_new_folder_is_written_without_moves_by_the_driver(spark, tmp_path):
     assert sorted(x for x in os.listdir(path) if x.startswith("slug=")) == [f"slug=m{k}" for k in range(5)]
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         S.write_by_model(df, path, mode="errorifexists")
+
+
+def test_buckets_bound_the_folders_and_read_the_same(spark, tmp_path):
+    docs = spark.createDataFrame([(f"org/m{k}" if k else None, {"greek_cs": k / 100, "english_ca": 0.5}) for k in range(60)],
+                                 "model string, accuracy map<string,double>")
+    for name, buckets in (("each", False), ("buckets", True)):
+        S.write_by_model(docs, str(tmp_path / name), mode="errorifexists", buckets=buckets)
+    count = lambda name, what: sum(f.startswith(what) for _, dirs, files in os.walk(tmp_path / name) for f in dirs + files)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert (count("each", "slug="), count("each", "part-")) == (60, 60)
+    assert 1 < count("buckets", "bucket=") <= n and count("buckets", "part-") <= n
+    read = lambda name: rows(S.read_scores(spark, str(tmp_path / name), layout="partitioned", metrics=["accuracy", "cond_acc"]))
+    assert read("buckets") == read("each") and len(read("each")) == 60 * 3
+    with pytest.raises(ValueError):
+        S.write_by_model(docs, str(tmp_path / "buckets"), buckets=True)
+
+
+def _result_tables(spark, path, models=60):
+    """lineitem, supplier and nation with a base and an overlay answer in every subset of every model."""
+    flags = {1: "A"}
+    li = [(m * 100 + n, n * 4 + m % 3, m, n, float(m + n + k), flags.get(n, "ANR"[k]), "FO"[(m + n + k) % 2], k)
+          for m in range(models) for n in range(1, 8) for k in range(3)]
+    spark.createDataFrame(li, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, "
+                              "l_linestatus string, k int").drop("k").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(m, m % 5) for m in range(models)], "s_suppkey long, s_nationkey int").write.parquet(f"{path}/supplier.parquet")
+    spark.createDataFrame([(k, f"N{k}") for k in range(5)], "n_nationkey int, n_name string").write.parquet(f"{path}/nation.parquet")
+
+
+def test_score_documents_of_a_batch_do_not_make_a_folder_a_model(spark, tmp_path):
+    from gapscope.plans.process import _dump
+    _result_tables(spark, str(tmp_path))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for path in _dump(spark, str(tmp_path)):
+        d = path.removeprefix("file:")
+        assert len([x for x in os.listdir(d) if "=" in x]) <= n
+        assert spark.read.json(path).select("slug").distinct().count() == 60
+
+
+@pytest.mark.parametrize("name", ["process_results", "process_results_tables"])
+def test_process_results_equal_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as E
+    _result_tables(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = E.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({E.oracle_sql()[name]})").fetchall()
+    said = lambda t: tuple((v is not None, round(v, 8) if isinstance(v, float) else v) for v in t)
+    assert sorted(map(said, df.collect())) == sorted(map(said, want)) and len(want) > 300
