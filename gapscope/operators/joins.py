@@ -44,9 +44,10 @@ def overlay_scores(base: DataFrame, overlay: DataFrame) -> DataFrame:
 
     Overlay files without a base file are ignored; the model is the base file's.
     """
-    o = overlay.drop("model").join(base.select("file", "model").distinct(), "file")
+    # merge: both sides grow with the files, and as compressed columns they look small enough to broadcast
+    o = overlay.drop("model").join(base.select("file", "model").distinct().hint("merge"), "file")
     keys = ["file", "metric", "subset"]
-    return base.join(o.select(*keys), keys, "left_anti").unionByName(o.select(*base.columns))
+    return base.join(o.select(*keys).hint("merge"), keys, "left_anti").unionByName(o.select(*base.columns))
 
 
 # ---------------------------------------------------------------------------

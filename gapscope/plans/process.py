@@ -19,7 +19,7 @@ from gapscope.plans.registry import register, with_ctes
 from gapscope.plans.scores import scored_responses
 from gapscope.plans.sqlparts import BASE_CTES, GAP_LOCALES_SQL, gaps_sql
 from gapscope.plans.text import q_
-from gapscope.session import reliable_checkpoint, scratch_path
+from gapscope.session import scratch_path, staged
 from gapscope.sources import bindings as B
 from gapscope.sources import files as S
 from gapscope.sources.tables import table
@@ -33,7 +33,7 @@ def process_results(spark: SparkSession, results_dir: str, dim_model: DataFrame,
 
     S1 read (+ J1 overlay of the CA folder) -> J8 country -> R1/R2/R3 wide per
     metric -> G2 on conf_err_rate -> G3 on accuracy -> G1 from the filtered
-    accuracy.  The score files are read once, into one staged long table from which
+    accuracy.  Every score file is read once, into one staged long table from which
     every output derives, and all outputs keep the runs of a model apart: one row per
     file, also for a file without a value.  A wide table has a column for every subset
     of the files: canonical ones first, then others by name (or ``subsets``).
@@ -42,9 +42,10 @@ def process_results(spark: SparkSession, results_dir: str, dim_model: DataFrame,
     """
     base = S.read_scores(spark, results_dir, layout=layout, metrics=list(metrics))
     if ca_dir is not None:
-        base = J.overlay_scores(base, S.read_scores(spark, ca_dir, layout=layout, metrics=list(metrics)))
+        # the overlay meets both sides twice
+        base = J.overlay_scores(staged(base), staged(S.read_scores(spark, ca_dir, layout=layout, metrics=list(metrics))))
     keys = ("file", "model", "country")
-    by_file = reliable_checkpoint(M.with_subset_parts(M.with_country(base, dim_model)).select(*keys, "subset", "locale", "kind", "metric", "value"))
+    by_file = staged(M.with_subset_parts(M.with_country(base, dim_model)).select(*keys, "subset", "locale", "kind", "metric", "value"))
     subs = subsets or R.present_subsets(by_file)
     wide = lambda rows, m: R.order_columns(R.to_wide(rows, m, subs, keys), "canonical", keys).orderBy("model", "file")
     out = {m: wide(by_file, m) for m in metrics}

@@ -76,3 +76,17 @@ def test_model_names_come_from_the_base_file(spark):
     out = J.merge_cs_en_scores(base, other.where("subset <> 'greek_cs'")).orderBy("file", "metric", "group_side", "group_pos", "side", "pos").collect()
     assert [r.subset for r in out] == ["hindi_cs", "hindi_cs_en", "greek_cs", "greek_cs_en", "korean_cs_en"]
     assert {r.model for r in out} == {"m/base"}
+
+
+def test_overlay_of_staged_columns_is_not_broadcast(spark):
+    # compressed columns look small: a broadcast would bring all keys of the files to the driver
+    from gapscope.session import staged
+    side = lambda n: staged(spark.range(n).selectExpr("'f' || id % 50 AS file", "'m' || id % 50 AS model", "'accuracy' AS metric",
+                                                      "'s' || floor(id / 50) AS subset", "id / 7 AS value"))
+    base, over = side(1000), side(400)
+    out = J.overlay_scores(base, over.withColumn("value", F.lit(9.0)).withColumn("model", F.lit("x")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
+    got = rows(out, "file", "model", "subset", "value")
+    assert len(got) == 1000 and sum(r[-1] == 9.0 for r in got) == 400 and all(r[1] == "m" + r[0][1:] for r in got)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
