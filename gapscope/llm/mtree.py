@@ -12,7 +12,8 @@ so a shard has at most about ``SHARD_ROWS`` objects.  Each shard is an M-tree in
 object.  A search takes the page of least bound first; |d(q, parent) - d(entry, parent)|
 - radius, made of stored distances, decides whether an entry's own distance is computed
 at all.  Queries go in blocks first to the shard of their nearest pivot, which gives each a bound on
-its k-th distance, then with that bound to all shards.  Scores are exact integers,
+its k-th distance, then with that bound to all shards, where a task keeps its trees and the queries
+pass by.  Scores are exact integers,
 and bounds are compared with a margin above rounding, so ties are kept.
 
 Null vectors, vectors with null or non-finite components and null ids take no part;
@@ -27,15 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscope.llm.common import arrow_pass, pieces, staged
+from gapscope.llm.common import arrow_pass, pieces, shuffle_partitions, staged
 
 PAGE = 256
 SHARD_ROWS = 8192
 MAX_PIVOTS = 1024
 QUERY_BLOCK = 256
+HELD_BYTES = 1 << 26        # of the trees a task holds at once, one at least
 MARGIN = 1e-9
 
 
@@ -83,8 +86,9 @@ class MTree:
         return np.sqrt(((y - x) ** 2).sum(axis=1) + (self.extra[others] - self.extra[a]) ** 2)
 
     def _real(self) -> np.ndarray:
+        """The entries' objects, page by page: a page is read in one piece."""
         if self.real is None:
-            self.real = self.objects.astype(np.float64)
+            self.real = self.objects[self.entry_object].astype(np.float64)
         return self.real
 
     def search(self, q: np.ndarray, k: int, m2: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray, int]:
@@ -92,7 +96,7 @@ class MTree:
         square = int(q @ q) + m2
         # below 2^53 all sums are whole numbers that a double holds exactly, and products run in BLAS
         exact = m2 < 1 << 53 and int(q @ q) < 1 << 53
-        objects_of, point = (self._real(), q.astype(np.float64)) if exact else (self.objects, q)
+        point = q.astype(np.float64) if exact else q
         found: list[tuple[int, int]] = []           # (score, object) of all within the bound when met
         best: list[int] = []                        # heap of the k greatest scores
         heap = [(0.0, 0, np.inf)]                   # (least distance inside, page, distance to its routing object)
@@ -108,7 +112,10 @@ class MTree:
             if not len(entries):
                 continue
             objects = self.entry_object[entries]
-            scores = objects_of[objects] @ point
+            if exact:
+                scores = (self._real()[lo:hi] if len(entries) == hi - lo else self._real()[entries]) @ point
+            else:
+                scores = self.objects[objects] @ point
             computed += len(entries)
             d = np.sqrt(np.maximum(0, square - 2 * scores).astype(np.float64))
             if self.entry_child[lo] < 0:
@@ -199,21 +206,51 @@ def _shards(objects: DataFrame, m2: int, dim: int, n: int, shard_rows: int) -> t
     return staged(keyed.groupBy("shard").applyInArrow(build, schema), "mtree-shards"), pivots, extra
 
 
-def _searched(pairs: DataFrame, dim: int, k: int, m2: int) -> DataFrame:
-    """(qid, vid, score): the best of each query in each (query block, shard) row."""
+def _searched(queries: DataFrame, trees: DataFrame, tiles: int, dim: int, k: int, m2: int) -> DataFrame:
+    """(qid, vid, score): the best of each query in the trees of its tile.
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1):
-            row = b.to_pylist()[0]
-            tree, vids = MTree.of_row(row, dim), np.array(row["vids"], np.int64)
-            out = []
-            for qid, v, bound in zip(row["qids"], row["qs"], row["bounds"]):
-                objects, scores, _ = tree.search(np.array(v, np.int64), k, m2, bound)
-                # more than k only by ties: the least ids win, and every object names its least ids
-                out.append((np.full(len(objects), qid), vids[objects], scores))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["qid", "vid", "score"])
+    ``queries`` are (tile, vid, v, bound), ``trees`` (tile, vids, tree fields).  A task takes the trees of a tile, then its
+    queries as they come: nothing is joined, so neither side can be broadcast, and a task holds one tile's trees.
+    """
+    spark = queries.sparkSession
+    kinds = {"tile": "int", "asks": "boolean", "vid": "long", "v": "array<long>", "bound": "double", "vids": "array<long>", **{f: "binary" for f in MTree.FIELDS}}
+    both = [df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+            for df in (queries.withColumn("asks", F.lit(True)), trees.withColumn("asks", F.lit(False)))]
+    n = min(tiles, shuffle_partitions(spark))
+    dealt = both[0].unionByName(both[1]).repartitionById(n, F.pmod("tile", F.lit(n))).sortWithinPartitions("tile", "asks")
 
-    return arrow_pass(pairs, "qid long, vid long, score long", of)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in pieces(batches, QUERY_BLOCK):
+            tile = b.column("tile").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if tile[lo] != at:
+                    at, held = tile[lo], []
+                run = b.slice(lo, hi - lo)
+                for row in run.filter(pc.invert(run.column("asks"))).to_pylist():
+                    held.append((MTree.of_row(row, dim), np.array(row["vids"], np.int64)))
+                asks = run.filter(run.column("asks"))
+                out = [_best(held, v, bound, k, m2) for v, bound in zip(_matrix(asks.column("v")) if len(asks) else (), asks.column("bound").to_pylist())]
+                if sum(len(vids) for vids, _ in out):
+                    qids = np.repeat(asks.column("vid").to_numpy(), [len(vids) for vids, _ in out])
+                    yield pa.RecordBatch.from_arrays([pa.array(qids), *(pa.array(np.concatenate([o[c] for o in out])) for c in (0, 1))], ["qid", "vid", "score"])
+
+    return arrow_pass(dealt, "qid long, vid long, score long", of)
+
+
+def _best(held: list[tuple[MTree, np.ndarray]], q: np.ndarray, bound: float, k: int, m2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vids and scores of the objects in the trees that no k others beat; more than k only by ties."""
+    vids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+    square = int(q @ q) + m2
+    for tree, names in held:
+        objects, more, _ = tree.search(q, k, m2, bound)
+        vids, scores = np.concatenate([vids, names[objects]]), np.concatenate([scores, more])
+        if len(scores) >= k:
+            worst = int(np.partition(scores, len(scores) - k)[len(scores) - k])
+            vids, scores = vids[scores >= worst], scores[scores >= worst]
+            bound = min(bound, margin(square - 2 * worst))
+    return vids, scores
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256,
@@ -229,14 +266,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     least = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
     objects = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("v"))
     objects = staged(objects.withColumn("vid", F.monotonically_increasing_id()), "mtree-objects")
-    asked = staged(rows.where(is_query).join(objects.select("v", "vid"), "v").select("id", F.col("vid").alias("qid")), "mtree-asked")
+    # merge: as compressed columns the objects look small enough to broadcast
+    asked = staged(rows.where(is_query).join(objects.select("v", "vid").hint("merge"), "v").select("id", F.col("vid").alias("qid")), "mtree-asked")
     queries = objects.select("vid", "v", "dim").join(asked.select(F.col("qid").alias("vid")).distinct(), "vid", "left_semi")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     out = spark.createDataFrame([], "qid long, vid long, score long")
     for dim, m2, n in objects.groupBy("dim").agg(F.max(square).alias("m2"), F.count(F.lit(1)).alias("n")).where("dim > 0").collect():
         trees, pivots, extra = _shards(objects.where(F.col("dim") == dim), m2, dim, n, shard_rows)
         out = out.unionByName(_answers(queries.where(F.col("dim") == dim), trees, pivots, extra, dim, k, m2))
-    listed = out.join(objects.select("vid", "ids"), "vid").select("qid", "score", F.explode("ids").alias("id"))
+    listed = out.join(objects.select("vid", "ids").hint("merge"), "vid").select("qid", "score", F.explode("ids").alias("id"))
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     listed = listed.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
     listed = listed.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("best"))
@@ -256,22 +294,33 @@ def _answers(queries: DataFrame, trees: DataFrame, pivots: np.ndarray, extra: np
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home.astype(np.int64))], ["vid", "v", "home"])
 
     homes = arrow_pass(queries.select("vid", "v"), "vid long, v array<long>, home long", near)
-    # blocks of queries around one pivot: rows of a range-dealt table, cut every QUERY_BLOCK
     spread = staged(homes.withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(1 << 20))), "mtree-queries")
-    total = spread.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("n"))
-    spread = spread.join(total, "home").withColumn("block", F.floor(F.col("part") * F.col("n") / (1 << 20)))
-    blocks = lambda q: q.groupBy("home", "block").agg(F.collect_list(F.struct("vid", "v", "bound")).alias("q")).select(
-        "home", "block", F.col("q.vid").alias("qids"), F.col("q.v").alias("qs"), F.col("q.bound").alias("bounds"))
-    at_home = trees.where("chunk = 0")
-    first = blocks(spread.withColumn("bound", F.lit(float("inf")))).join(at_home, "home").drop("chunk", "shard")
+    fields = ["vids", *MTree.FIELDS]
+    # a tile of the first search: a block of the queries around one pivot, and that pivot's tree; a row a pivot at most
+    total = spread.groupBy("home").agg(F.count(F.lit(1)).alias("asked"), F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("n"))
+    total = total.withColumn("start", (F.sum("n").over(Window.orderBy("home")) - F.col("n")).cast("int"))
+    tiles, asked = total.agg(F.sum("n"), F.sum("asked")).first()
+    if tiles is None:
+        return spark.createDataFrame([], "qid long, vid long, score long")
+    total = F.broadcast(total)
+    part_of = lambda n: F.floor(F.col("part") * n / (1 << 20)).cast("int")
+    first = spread.join(total, "home").select((F.col("start") + part_of(F.col("n"))).alias("tile"), "vid", "v", F.lit(float("inf")).alias("bound"))
+    at_home = trees.where("chunk = 0").join(total, "home").select(F.explode(F.sequence("start", F.expr("start + n - 1"))).alias("tile"), *fields)
     # the (k + 1)-th score at home bounds the search elsewhere
     nth = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vid")
-    met = staged(_searched(first, dim, k + 1, m2), "mtree-home").withColumn("at", F.row_number().over(nth)).where(F.col("at") == k + 1)
+    met = staged(_searched(first, at_home, tiles, dim, k + 1, m2), "mtree-home").withColumn("at", F.row_number().over(nth)).where(F.col("at") == k + 1)
     own = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     distance = F.sqrt(F.greatest(F.lit(0).cast("long"), own + F.lit(m2) - 2 * F.col("score")).cast("double")) * (1 + 4 * MARGIN) + 4 * MARGIN
     bounded = spread.join(met.select(F.col("qid").alias("vid"), "score"), "vid", "left").withColumn(
         "bound", F.when(F.col("score").isNotNull(), distance).otherwise(float("inf")))
-    last = trees.agg(F.max("shard")).first()[0]
-    everywhere = blocks(bounded).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last)))).drop("home")
-    pairs = everywhere.join(trees.drop("home", "chunk"), "shard").drop("shard", "block")
-    return _searched(pairs, dim, k + 1, m2)
+    # a tile of the second: a pack of trees and a slice of all queries.  A query is sent once for each pack, a tree once for
+    # each slice; there are slices only where packs are too few for the tasks
+    shards, most = trees.agg(F.max("shard") + 1, F.max(F.length("objects"))).first()
+    tasks = shuffle_partitions(spark)
+    packs = max(min(shards, tasks), -(-shards // max(1, HELD_BYTES // (2 * most))))
+    slices = max(1, min(-(-tasks // packs), -(-asked // QUERY_BLOCK)))
+    whole = bounded.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).select(
+        (F.col("pack") * slices + part_of(slices)).alias("tile"), "vid", "v", "bound")
+    packed = trees.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(
+        (F.pmod("shard", F.lit(packs)).cast("int") * slices + F.col("slice")).alias("tile"), *fields)
+    return _searched(whole, packed, packs * slices, dim, k + 1, m2)

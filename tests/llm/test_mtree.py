@@ -57,3 +57,34 @@ def test_empty_table(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert mtree.top_k(df, F.col("id") % 50 == 0).count() == 0
+
+
+def test_best_of_several_trees_keeps_ties():
+    r = np.random.default_rng(3)
+    x = np.unique(r.integers(-3, 4, (900, 5)), axis=0)
+    m2 = int((x * x).sum(axis=1).max())
+    parts = np.array_split(r.permutation(len(x)), 5)
+    held = [(mtree.MTree.build(x[p], np.sqrt((m2 - (x[p] * x[p]).sum(axis=1)).astype(float)), page=8), p) for p in parts]
+    for q in r.integers(-3, 4, (40, 5)):
+        vids, scores = mtree._best(held, q, np.inf, 4, m2)
+        worst = np.sort(x @ q)[::-1][3]
+        assert sorted(vids.tolist()) == np.flatnonzero(x @ q >= worst).tolist() and (scores == x[vids] @ q).all()
+
+
+@pytest.mark.parametrize("held, block", [(1, 3), (1 << 26, 3), (1 << 26, 256)])
+def test_queries_pass_by_the_trees_and_meet_them_in_no_join(spark, monkeypatch, held, block):
+    from pyspark.sql import functions as F
+    r = np.random.default_rng(11)
+    rows = [(i, [float(f) for f in np.float32(r.normal(0, 1, 6) + 3 * (i % 3 == 0))]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(mtree, "HELD_BYTES", held, raising=False)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", block)
+    searched, plain = [], mtree.arrow_pass
+    monkeypatch.setattr(mtree, "arrow_pass", lambda d, *a: searched.append(d) or plain(d, *a))
+    got = sorted(map(tuple, mtree.top_k(df, F.col("id") % 50 == 0, shard_rows=40).collect()))
+    assert got == brute(rows)
+    last = [d for d in searched if "entry_child" in d.columns][-1]
+    lines = last._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = lambda what: [n for n, line in enumerate(lines) if what in line]
+    # queries times shards are dealt out as they are, never the side of a join, which could be broadcast from the driver
+    assert at("Generate explode") and min(at("Generate explode")) < min(at("Join") or [len(lines)])
